@@ -34,8 +34,8 @@ def monday_of(ts) -> Column:
 
 
 def cycle_of(day) -> Column:
-    """P10 — whole weeks since Monday 2020-01-06."""
-    return F.floor(F.datediff(_c(day), F.lit("2020-01-06").cast("date")) / 7).cast("int")
+    """P10 — whole weeks since Monday 2020-01-06, cut toward zero."""
+    return (F.datediff(_c(day), F.lit("2020-01-06").cast("date")) / 7).cast("int")
 
 
 def monday_of_week_key(week) -> Column:
@@ -99,7 +99,7 @@ def short(x, limit: int) -> Column:
 
 
 def one_line(x) -> Column:
-    return F.trim(F.regexp_replace(_c(x), r"\r\n|[\n\r\f\u0085  ]", " "))
+    return F.trim(F.regexp_replace(_c(x), r"\r\n|[\n\r\f\x{85}\x{2028}\x{2029}]", " "))
 
 
 def make_title(prompt) -> Column:
@@ -126,7 +126,7 @@ def redact(x, capture: bool, limit: int) -> Column:
 
 def thousands(n) -> Column:
     """P25 — digits grouped with a narrow no-break space."""
-    return F.replace(F.format_number(_c(n), 0), F.lit(","), F.lit(" "))
+    return F.replace(F.format_number(_c(n), 0), F.lit(","), F.lit("\u202f"))
 
 
 def percent(x) -> Column:
@@ -195,12 +195,12 @@ def call_target(j, limit: int = 160) -> Column:
 
 def number_from_text(s) -> Column:
     """P17 — integer with thousands separators, 0 when unreadable."""
-    return F.coalesce(F.regexp_replace(_c(s), "[ ,  ]", "").try_cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(F.regexp_replace(_c(s), r"[ ,\x{a0}\x{202f}]", "").try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def money_from_text(s) -> Column:
     """P17 — amount with a currency sign, 0 when unreadable."""
-    cleaned = F.regexp_replace(_c(s), "[$€   ]", "")
+    cleaned = F.regexp_replace(_c(s), r"[$€ \x{a0}\x{202f}]", "")
     plain = F.regexp_replace(cleaned, ",", "")
     return F.coalesce(plain.try_cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)"))
 

@@ -225,3 +225,10 @@ SELECT * FROM (VALUES
  (17,'loop_closure',4,0.60,true,true,'boucle_incomplete'), (18,'plan_structure',4,NULL,true,true,'boucle_incomplete'),
  (19,'graph_depth',5,NULL,true,false,'echec_sans_lecon'), (20,'self_correction',5,0.50,true,true,'echec_sans_lecon'))
  AS v(spec_order, signal, spec_level, target, higher, ratio, problem)""")
+
+
+def words(pattern: str) -> str:
+    r"""A ``\b(a|b)\b`` word pattern in RE2 syntax, with the word edges spelled out so that accents count as letters."""
+    inner = pattern.removeprefix(r"\b").removesuffix(r"\b")
+    edge = r"[^\p{L}\p{N}_]"
+    return f"(?i)(^|{edge}){inner}({edge}|$)".replace("'", "''")
