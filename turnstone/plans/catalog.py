@@ -1,6 +1,6 @@
 """All registered queries, in the order of the inventory."""
 
-from turnstone.plans import record_queries, review_queries, task_queries, usage_queries  # noqa: F401
+from turnstone.plans import event_queries, record_queries, review_queries, task_queries, usage_queries  # noqa: F401
 from turnstone.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "w07_task_rollup"
