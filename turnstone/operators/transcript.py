@@ -184,3 +184,14 @@ def build_sessions(records: DataFrame, hot_rows: int | None = None) -> dict[str,
     matched = U.classify_result(matched, F.try_parse_json("block_json"), F.try_parse_json("extra_json"))
     return {"sessions": sessions, "turns": turns, "steps": steps, "turn_skills": skills,
             "calls": matched.drop("block_json", "extra_json"), "records": seen}
+
+
+def message_probe(rows: DataFrame) -> DataFrame:
+    """A04 — usage fields, block types and tool names of assistant messages, as (what, value, n)."""
+    blocks = rows.select(F.explode(blocks_of("message")).alias("b")).filter(F.schema_of_variant("b").startswith("OBJECT"))
+    named = blocks.select(F.explode(F.array(
+        F.struct(F.lit("block").alias("what"), F.try_variant_get("b", "$.type", "string").alias("value")),
+        F.struct(F.lit("tool").alias("what"), F.try_variant_get("b", "$.name", "string").alias("value")))).alias("x")).select("x.*")
+    usage = rows.select(F.explode(F.json_object_keys(F.to_json(F.try_variant_get("message", "$.usage", "variant")))).alias("value"))
+    return (named.unionByName(usage.select(F.lit("usage").alias("what"), "value")).filter("value IS NOT NULL")
+            .groupBy("what", "value").agg(F.count(F.lit(1)).alias("n")))
