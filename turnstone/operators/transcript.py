@@ -29,13 +29,15 @@ def blocks_of(message) -> Column:
 def tool_use_blocks(rows: DataFrame, message: str, keep: list[str]) -> DataFrame:
     """P03 — one row per tool-use block that carries an id; position kept.
 
-    The input stays as JSON text; equal inputs give equal text.
+    The input is kept as the JSON text of the line when the record carries it (``block_inputs``), so that the order of
+    its keys still counts when two inputs are compared.
     """
-    out = rows.select(*keep, F.posexplode(blocks_of(message)).alias("pos", "_b"))
+    texts = F.col("block_inputs") if "block_inputs" in rows.columns else F.lit(None).cast("array<string>")
+    out = rows.select(*keep, texts.alias("_texts"), F.posexplode(blocks_of(message)).alias("pos", "_b"))
     return (out.filter(F.try_variant_get("_b", "$.type", "string") == "tool_use")
             .select(*keep, "pos", F.try_variant_get("_b", "$.id", "string").alias("tool_use_id"),
                     F.coalesce(F.try_variant_get("_b", "$.name", "string"), F.lit("unknown")).alias("name"),
-                    F.to_json(F.try_variant_get("_b", "$.input", "variant")).alias("input_json"))
+                    F.coalesce(F.get("_texts", F.col("pos")), F.to_json(F.try_variant_get("_b", "$.input", "variant"))).alias("input_json"))
             .filter(F.coalesce("tool_use_id", F.lit("")) != ""))
 
 
