@@ -68,7 +68,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], columns: dict
     ``order`` lists ascending columns that are unique within a key; ``bucket`` never decreases along
     that order and decides where a hot key may be cut.
     """
-    limit = HOT_ROWS if hot_rows is None else hot_rows
+    limit = hot_rows if hot_rows is not None else int(df.sparkSession.conf.get("spark.turnstone.hotRows", str(HOT_ROWS)))
     hot = hot_keys(df, keys, limit)
     if not hot:
         return _plain(df, keys, order, columns)

@@ -411,6 +411,15 @@ def r12(t):
     return C.approved_extract(verdicts(t).withColumn("case_id", F.col("case_id").cast("string")))
 
 
+@query("r12_set_fingerprint", """
+WITH h AS (SELECT sha256(case_id || '|' || evaluator || '|' || label) AS h FROM scored WHERE deterministic)
+SELECT substring(sha256(sum(CAST(('0x' || substring(h, 1, 14)) AS HUGEINT)) || '|' || sum(CAST(('0x' || substring(h, 15, 14)) AS HUGEINT)) || '|' || sum(CAST(('0x' || substring(h, 29, 14)) AS HUGEINT)) || '|'
+ || sum(CAST(('0x' || substring(h, 43, 14)) AS HUGEINT)) || '|' || count(*)), 1, 16) AS fingerprint FROM h""", "scored")
+def r12b(t):
+    v = verdicts(t).filter("deterministic")
+    return C.set_fingerprint(v, F.concat_ws("|", F.col("case_id").cast("string"), "evaluator", "label"))
+
+
 _CMP = """
 SELECT coalesce(a.case_id, c.case_id) AS case_id, coalesce(a.evaluator, c.evaluator) AS evaluator, coalesce(a.label, '—') AS before, coalesce(c.label, '—') AS after,
  CASE WHEN c.case_id IS NULL THEN 'disparu' WHEN c.score IS NULL THEN NULL WHEN a.case_id IS NULL THEN 'nouveau' WHEN a.label = c.label THEN NULL WHEN a.label = 'conforme' THEN 'régression' ELSE 'progrès' END AS way

@@ -218,6 +218,21 @@ def v16(t):
     return R.review_invariants(review(t), images).filter(F.col("check") != "pas_de_felicitation_polie")
 
 
+@query("v16_complete_levels", """
+SELECT count(*) FILTER (o_orderpriority <> '5-LOW') AS named, count(*) FILTER (o_orderpriority <> '5-LOW') >= 5 AS complete FROM (SELECT DISTINCT o_orderpriority FROM orders)""")
+def v16c(t):
+    levels = t.raw("orders").select(F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).otherwise(" ").alias("term")).distinct()
+    return R.complete_levels(levels)
+
+
+@query("v16_polite_praise", f"""
+SELECT 'pas_de_felicitation_polie' AS "check", true AS ok, count(*) AS proof FROM (
+ SELECT *, (CASE WHEN higher THEN a - b ELSE b - a END) / (CASE WHEN ratio THEN 1.0 ELSE greatest(1.0, target) END) AS delta FROM (SELECT n.signal, n.mean AS a, p.mean AS b, s.* EXCLUDE (signal) FROM means_now n JOIN means_then p USING (signal) JOIN specs s USING (signal) WHERE target IS NOT NULL)
+ WHERE (CASE WHEN higher THEN target - a ELSE a - target END) <= 0 QUALIFY row_number() OVER (ORDER BY delta DESC, spec_order) = 1) WHERE delta >= 0.12""", "means_now", "means_then", "specs")
+def v16d(t):
+    return R.review_invariants(review(t)).filter(F.col("check") == "pas_de_felicitation_polie")
+
+
 @query("v16_same_measures", "SELECT CAST(0 AS BIGINT) AS lone_rows, count(*) AS rows FROM (SELECT signal FROM signals GROUP BY signal HAVING count(value) > 0)", "signals")
 def v16b(t):
     a = R.means(t.signals).withColumn("mean", r6("mean"))
