@@ -21,6 +21,11 @@ def const(value) -> Column:
     return F.array(*[F.lit(v) for v in value]) if isinstance(value, (list, tuple)) else F.lit(value)
 
 
+def bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``use``: a one-item transform gives it a name."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 # ------------------------------------------------------------------------------------------ time
 def week_key(ts) -> Column:
     """P08 — ISO week key such as ``2026-W34``."""
@@ -213,26 +218,49 @@ def hook_name(body_name, url_segment) -> Column:
 
 
 # ---------------------------------------------------------------------------------------- rubric
+def holds_any(lower_text, literals: list[str]) -> Column:
+    """Plain byte search for any of the literals: cheap enough to run before a pattern."""
+    t = _c(lower_text)
+    found = F.contains(t, F.lit(literals[0]))
+    for x in literals[1:]:
+        found = found | F.contains(t, F.lit(x))
+    return found
+
+
 def rubric_hits(text, rubric=None) -> Column:
-    """P22 — keys of the rubric criteria a prompt meets, in rubric order."""
-    rubric = rubric or V.RUBRIC
-    return F.array_compact(F.array(*[F.when(word_match(text, p), F.lit(k)) for k, _, p in rubric]))
+    """P22 — keys of the rubric criteria a prompt meets, in rubric order. Each pattern runs once, and only on texts
+    that hold one of its literals."""
+    t = _c(text)
 
+    def met(low: Column, key: str, pattern: str) -> Column:
+        literals = V.RUBRIC_LITERALS.get(key) if rubric is None else None
+        full = word_match(t, pattern)
+        return F.when(holds_any(low, literals), full).otherwise(False) if literals else full
 
-def rubric_missing(text, rubric=None) -> Column:
-    """P22 — keys a prompt lacks, essential ones first."""
+    return bind(F.lower(t), lambda low: F.array_compact(F.array(*[F.when(met(low, k, p), F.lit(k)) for k, _, p in (rubric or V.RUBRIC)])))
+
+
+def missing_of(hits, rubric=None) -> Column:
+    """P22 — the criteria that are not met, essential ones first."""
     rubric = rubric or V.RUBRIC
-    ordered = [r for r in rubric if r[1]] + [r for r in rubric if not r[1]]
-    return F.array_compact(F.array(*[F.when(~word_match(text, p), F.lit(k)) for k, _, p in ordered]))
+    ordered = [r[0] for r in rubric if r[1]] + [r[0] for r in rubric if not r[1]]
+    return F.array_except(const(ordered), _c(hits))
 
 
-def rubric_coverage(text, rubric=None) -> Column:
-    """P22 — share of the essential criteria a prompt meets."""
-    essentials = [p for _, e, p in (rubric or V.RUBRIC) if e]
+def coverage_of(hits, rubric=None) -> Column:
+    """P22 — share of the essential criteria that are met."""
+    essentials = [k for k, e, _ in (rubric or V.RUBRIC) if e]
     if not essentials:
         return F.lit(1.0)
-    met = sum((word_match(text, p).cast("int") for p in essentials[1:]), word_match(text, essentials[0]).cast("int"))
-    return met / F.lit(float(len(essentials)))
+    return F.size(F.array_intersect(_c(hits), const(essentials))) / F.lit(float(len(essentials)))
+
+
+def rubric_missing(text, rubric=None) -> Column:
+    return missing_of(rubric_hits(text, rubric), rubric)
+
+
+def rubric_coverage(text, rubric=None) -> Column:
+    return coverage_of(rubric_hits(text, rubric), rubric)
 
 
 # ------------------------------------------------------------------------------------------ gaps

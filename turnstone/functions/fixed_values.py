@@ -47,6 +47,7 @@ CONTEXT_WINDOW = 200_000
 RETRY_HORIZON = 3
 
 # --- prompt rubric: key, essential, pattern --------------------------------------------------
+# RUBRIC_LITERALS: a text that matches the pattern holds one of these (lower case); they are looked for first.
 RUBRIC = [
     ("objectif", True,
      r"\b(ajoute|crée|créer|corrige|corriger|implémente|implémenter|écris|écrire|extrais|extraire|remplace"
@@ -73,6 +74,21 @@ RUBRIC = [
      r"|avant d'appliquer|sans me demander|autonom)\b"),
 ]
 
+RUBRIC_LITERALS = {
+    "objectif": ["ajoute", "crée", "corrige", "implémente", "écri", "extrai", "remplace", "supprime", "refactor", "migre",
+                 "documente", "teste", "optimise", "renomme", "déplace"],
+    "perimetre": [".cs", ".ts", ".js", ".py", ".html", ".scss", ".sql", ".md", ".y", ".razor", ".xaml", "dans le ", "uniquement dans",
+                  "sans toucher", "ne touche pas", "hors de"],
+    "acceptation": ["doit", "devra", "il faut que", "jusqu'à ce que", "critère", "attendu", "test", "quand ", "vérifie que", "valide que",
+                    "renvoie", "retourne", "affiche", "sans "],
+    "contraintes": ["sans ", "garde", "conserve", "compatib", "ne pas ", "reste en", "en gardant", "même ", "pas de nouvelle dépendance",
+                    "performance"],
+    "sortie": ["renvoie", "retourne", "donne", "écris dans", "dans un fichier", "au format", "en ", "un patch", "explique", "résume"],
+    "contexte": ["parce que", "car", "le but est", "on avait", "historiquement", "la contrainte est", "attention", "à savoir", "contexte"],
+    "autonomie": ["va jusqu'au bout", "jusqu'à ce que", "propose", "demande", "ne ", "avant d'appliquer", "sans me demander", "autonom"],
+}
+FILE_LITERALS = [".cs", ".ts", ".js", ".py", ".html", ".scss", ".sql", ".md", ".y", ".razor", ".xaml"]
+
 # --- rewrite checks --------------------------------------------------------------------------
 FILE_NAME_PATTERN = r"\b[\w\-/\.]+\.(?:cs|ts|js|py|json|html|scss|css|sql|md|yml|yaml|razor|xaml)\b"
 IDENTIFIER_PATTERN = r"\b[A-Z][a-z]+(?:[A-Z][A-Za-z0-9]*)+\b"

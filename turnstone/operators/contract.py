@@ -23,20 +23,15 @@ def violations(value: Column, schema: dict, path: str = "$") -> Column:
     return _violations(value, schema, F.lit(path))
 
 
-def _let(value: Column, use) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``use``: a one-item transform binds it to a name."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _violations(value: Column, schema: dict, path: Column) -> Column:
     parts = F.struct(value.alias("v"), F.try_variant_get(value, "$", "map<string,variant>").alias("fields"), F.try_variant_get(value, "$", "array<variant>").alias("items"))
 
     def described(p: Column) -> Column:
         # containers are told apart by a cast; only single values are described
         kind = F.when(p["fields"].isNotNull(), "OBJECT").when(p["items"].isNotNull(), "ARRAY").otherwise(F.schema_of_variant(p["v"]))
-        return _let(kind, lambda k: _checked(p["v"], p["fields"], p["items"], k, schema, path))
+        return X.bind(kind, lambda k: _checked(p["v"], p["fields"], p["items"], k, schema, path))
 
-    return _let(parts, described)
+    return X.bind(parts, described)
 
 
 def _checked(value: Column, fields: Column, items: Column, kind: Column, schema: dict, path: Column) -> Column:

@@ -11,6 +11,7 @@ from turnstone.functions import exprs as X
 from turnstone.functions import fixed_values as V
 from turnstone.operators import intervals, ordered as O
 from turnstone.operators.tasks import completed
+from turnstone.session import stored
 
 MAIN, HUMAN = "principal", "humain"
 WINDOW_SLOT_SECONDS = 6 * 3600
@@ -65,7 +66,7 @@ def think_intervals(steps: DataFrame, turns: DataFrame, calls: DataFrame, idle_m
     # backwards in time, steps ahead of calls of the same instant: the call seen last is the first one strictly after the step
     both = s.unionByName(c).withColumn("_t", -F.unix_micros("at"))
     seen = O.ordered_scan(both, key, ["_t", "_kind", "_no"], {"_call": O.last_known(F.when(F.col("_kind") == 1, F.col("at")))},
-                          F.floor(F.col("_t") / 86_400_000_000), hot_rows)
+                          F.floor(F.col("_t") / 86_400_000_000), hot_rows, steps.select(*key).unionByName(calls.select(*key)))
     j = (seen.filter("_kind = 0").select("_step.*", "_call")
          .join(turns.select(*key, F.col("ended_at").alias("_turn_end")), key))
     bound = F.coalesce("_next", "_turn_end")
@@ -83,34 +84,36 @@ def run_events(sessions: DataFrame, turns: DataFrame, calls: DataFrame, steps: D
     Each kind of event is one projection; their union is numbered per run by time and emission rank.
     The rank is a struct (phase, turn, item, part), so no driver-side counter is needed.
     """
-    windows = agent_windows(calls, turns, sessions, hot_rows)
-    actors = turn_actors(turns, windows).select("session_id", "turn_no", "actor")
     key = ["session_id", "turn_no"]
-    empty = F.lit(None).cast("string")
+    windows = stored(agent_windows(calls, turns, sessions, hot_rows), "windows")        # used by the log and by the actors
+    actors = stored(turn_actors(turns, windows).select(*key, "actor"), "actors")
     no = F.lit(0).cast("bigint")
 
-    def ev(df: DataFrame, at, actor, kind: str, phase: int, turn=None, item=None, sub: int = 0, origin: str = "observed", ref=None, group: int = 0,
-           tok_in=None, tok_out=None, calls_=None, **payload) -> DataFrame:
+    def ev(at, actor, kind: str, phase: int, turn=None, item=None, sub: int = 0, origin: str = "observed", ref=None, group: int = 0,
+           tok_in=None, tok_out=None, calls_=None, **payload) -> Column:
         cells = [F.lit(x) if isinstance(x, str) else x for k, v in payload.items() for x in (k, v)]
-        body = F.map_filter(F.create_map(*cells), lambda k, v: v.isNotNull()) if cells else F.create_map().cast("map<string,string>")
-        return df.select(
-            "session_id", X._c(at).alias("at"), F.lit(phase).alias("phase"), (no if turn is None else X._c(turn).cast("bigint")).alias("r_turn"),
+        body = F.map_filter(F.create_map(*cells), lambda k, v: v.isNotNull())
+        count = lambda c: (F.lit(None) if c is None else c).cast("bigint")
+        return F.struct(
+            X._c(at).alias("at"), F.lit(phase).alias("phase"), (no if turn is None else X._c(turn).cast("bigint")).alias("r_turn"),
             F.lit(group).alias("r_group"), (no if item is None else X._c(item).cast("bigint")).alias("r_item"), F.lit(sub).alias("r_sub"),
-            (F.lit(actor) if isinstance(actor, str) and actor in (MAIN, HUMAN) else X._c(actor)).alias("actor"), F.lit(origin).alias("origin"),
-            F.lit(kind).alias("kind"), (empty if ref is None else ref).alias("ref"),
-            (F.lit(None).cast("bigint") if tok_in is None else tok_in).alias("tok_in"), (F.lit(None).cast("bigint") if tok_out is None else tok_out).alias("tok_out"),
-            (F.lit(None).cast("bigint") if calls_ is None else F.lit(calls_).cast("bigint")).alias("calls"), body.alias("payload"))
+            (F.lit(actor) if actor in (MAIN, HUMAN) else F.col(actor)).alias("actor"), F.lit(origin).alias("origin"), F.lit(kind).alias("kind"),
+            (F.lit(None).cast("string") if ref is None else ref).alias("ref"), count(tok_in).alias("tok_in"), count(tok_out).alias("tok_out"),
+            count(None if calls_ is None else F.lit(calls_)).alias("calls"), body.alias("payload"))
+
+    def emit(df: DataFrame, *events: Column) -> DataFrame:
+        """All events of a row in one pass over its table."""
+        return df.select("session_id", F.explode(F.array(*events)).alias("_e")).select("session_id", "_e.*")
 
     s = lambda c: F.col(c).cast("string")
     first = turns.groupBy("session_id").agg(F.min_by("prompt", "turn_no").alias("prompt"), F.min("turn_no").alias("first_turn"))
     opened = sessions.join(first, "session_id")
-    t = turns.join(actors, key)
-    follow = t.join(first.select("session_id", "first_turn"), "session_id").filter(
+    follow = turns.join(first.select("session_id", "first_turn"), "session_id").filter(
         (F.col("turn_no") > F.col("first_turn")) & ~F.col("is_sidechain") & ~X.is_blank("prompt"))
     thinks = think_intervals(steps, turns, calls, idle_minutes, hot_rows).join(actors, key)
     read = X.total_input("input_tokens", "cache_read_tokens", "cache_creation_tokens")
     model = F.coalesce("model", F.lit("modèle"))
-    tools = calls.join(actors, key).withColumn("_args", X.call_target("input_json", max_arg) if capture_args else F.lit(""))
+    args = X.call_target("input_json", max_arg) if capture_args else F.lit("")
     done = F.coalesce("result_at", F.timestamp_micros(F.unix_micros("called_at") + F.coalesce((F.col("duration_ms") * 1000).cast("bigint"), F.lit(1000).cast("bigint"))))
     ms = F.coalesce("duration_ms", (F.unix_micros(done) - F.unix_micros("called_at")) / 1000.0).cast("bigint")
     result_ref = X.fingerprint("result_text") if "result_text" in calls.columns else None
@@ -120,28 +123,28 @@ def run_events(sessions: DataFrame, turns: DataFrame, calls: DataFrame, steps: D
     eur = F.bround(F.coalesce("t_in", no) / 1e6 * eur_in + F.coalesce("t_out", no) / 1e6 * eur_out, 4)
     wall = F.greatest(no, F.floor((F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1000).cast("bigint"))
 
-    parts = [
-        ev(windows, "from_at", "actor", "agent.spawn", 0, "turn_no", "call_no", 0, role=F.col("role"), parent=MAIN, depth="1"),
-        ev(windows, "to_at", "actor", "agent.end", 0, "turn_no", "call_no", 1, status="completed"),
-        ev(opened, "started_at", MAIN, "run.start", 1, ref=X.fingerprint("prompt"), task=F.substring(s("session_id"), 1, 8),
-           title=X.redact("prompt", capture_text, 200)),
-        ev(opened, "started_at", MAIN, "agent.spawn", 1, sub=1, role=MAIN, depth="0"),
-        ev(follow, "started_at", HUMAN, "human", 2, "turn_no", origin="human", ref=X.fingerprint("prompt"), to=MAIN, text=X.redact("prompt", capture_text, 200)),
-        ev(thinks, "at", "actor", "think.start", 2, "turn_no", "step_no", 0, group=1, summary=model),
-        ev(thinks, "ends_at", "actor", "think.end", 2, "turn_no", "step_no", 1, group=1, tok_in=read, tok_out=F.col("output_tokens"), calls_=1, summary=model,
-           parallele=F.when(F.col("tool_blocks") > 1, s("tool_blocks"))),
-        ev(tools, "called_at", "actor", "tool.start", 2, "turn_no", "call_no", 0, group=2, tool=F.col("name"), args=F.col("_args")),
-        ev(tools, done, "actor", "tool.end", 2, "turn_no", "call_no", 1, group=2, ref=result_ref, tool=F.col("name"), args=F.col("_args"), ok=(~F.col("failed")).cast("string"),
-           ms=ms.cast("string"), out=F.when(F.col("failed") & (F.coalesce("failure_reason", F.lit("")) != ""), X.redact("failure_reason", capture_text, 120))),
-        ev(closed, "ended_at", MAIN, "agent.end", 3, status="completed"),
-        ev(closed, "ended_at", MAIN, "run.end", 3, sub=1, status="completed", calls=F.coalesce("n_calls", no).cast("string"), tok_in_total=F.coalesce("t_in", no).cast("string"),
-           tok_out_total=F.coalesce("t_out", no).cast("string"), eur=eur.cast("string"), wall_clock_ms=wall.cast("string"), human_interventions=F.coalesce("n_human", no).cast("string")),
-    ]
-    log = reduce(DataFrame.unionByName, parts)
+    log = reduce(DataFrame.unionByName, [
+        emit(windows, ev("from_at", "actor", "agent.spawn", 0, "turn_no", "call_no", 0, role=F.col("role"), parent=MAIN, depth="1"),
+             ev("to_at", "actor", "agent.end", 0, "turn_no", "call_no", 1, status="completed")),
+        emit(opened, ev("started_at", MAIN, "run.start", 1, ref=X.fingerprint("prompt"), task=F.substring(s("session_id"), 1, 8), title=X.redact("prompt", capture_text, 200)),
+             ev("started_at", MAIN, "agent.spawn", 1, sub=1, role=MAIN, depth="0")),
+        emit(follow, ev("started_at", HUMAN, "human", 2, "turn_no", origin="human", ref=X.fingerprint("prompt"), to=MAIN, text=X.redact("prompt", capture_text, 200))),
+        emit(thinks, ev("at", "actor", "think.start", 2, "turn_no", "step_no", 0, group=1, summary=model),
+             ev("ends_at", "actor", "think.end", 2, "turn_no", "step_no", 1, group=1, tok_in=read, tok_out=F.col("output_tokens"), calls_=1, summary=model,
+                parallele=F.when(F.col("tool_blocks") > 1, s("tool_blocks")))),
+        emit(calls.join(actors, key), ev("called_at", "actor", "tool.start", 2, "turn_no", "call_no", 0, group=2, tool=F.col("name"), args=args),
+             ev(done, "actor", "tool.end", 2, "turn_no", "call_no", 1, group=2, ref=result_ref, tool=F.col("name"), args=args, ok=(~F.col("failed")).cast("string"), ms=ms.cast("string"),
+                out=F.when(F.col("failed") & (F.coalesce("failure_reason", F.lit("")) != ""), X.redact("failure_reason", capture_text, 120)))),
+        emit(closed, ev("ended_at", MAIN, "agent.end", 3, status="completed"),
+             ev("ended_at", MAIN, "run.end", 3, sub=1, status="completed", calls=F.coalesce("n_calls", no).cast("string"), tok_in_total=F.coalesce("t_in", no).cast("string"),
+                tok_out_total=F.coalesce("t_out", no).cast("string"), eur=eur.cast("string"), wall_clock_ms=wall.cast("string"), human_interventions=F.coalesce("n_human", no).cast("string"))),
+    ])
     log = log.join(sessions.select("session_id", F.col("started_at").alias("_t0")), "session_id")
     log = log.withColumn("t", F.greatest(no, F.floor((F.unix_micros("at") - F.unix_micros("_t0")) / 1000).cast("bigint"))).drop("_t0")
     rank = ["at", "phase", "r_turn", "r_group", "r_item", "r_sub"]
-    out = O.ordered_scan(log, ["session_id"], rank, {"_pos": O.number()}, F.date_trunc("day", "at"), hot_rows)
+    one = ["session_id"]
+    sources = calls.select(one).unionByName(steps.select(one)).unionByName(turns.select(one))       # at most four events per row
+    out = O.ordered_scan(log, one, rank, {"_pos": O.number()}, F.date_trunc("day", "at"), hot_rows, sources, 4)
     return out.select("session_id", (F.col("_pos") - 1).alias("seq"), "t", "actor", "origin", "kind", "ref", "tok_in", "tok_out", "calls", "payload")
 
 

@@ -62,14 +62,15 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
 
 
 def ordered_scan(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Scan],
-                 bucket: Column, hot_rows: int | None = None) -> DataFrame:
+                 bucket: Column, hot_rows: int | None = None, hot_from: DataFrame | None = None, weight: int = 1) -> DataFrame:
     """Add one column per scan to ``df``.
 
     ``order`` lists ascending columns that are unique within a key; ``bucket`` never decreases along
-    that order and decides where a hot key may be cut.
+    that order and decides where a hot key may be cut. When ``df`` is dear to compute, ``hot_from`` is a
+    cheaper table with the same keys, each row of which stands for at most ``weight`` rows of ``df``.
     """
     limit = hot_rows if hot_rows is not None else int(df.sparkSession.conf.get("spark.turnstone.hotRows", str(HOT_ROWS)))
-    hot = hot_keys(df, keys, limit)
+    hot = hot_keys(df if hot_from is None else hot_from, keys, limit // weight)
     if not hot:
         return _plain(df, keys, order, columns)
     hot_df = df.sparkSession.createDataFrame(hot, df.select(*keys).schema)

@@ -27,7 +27,8 @@ def invented(kind: str, pattern: str, flags: str = "(?U)") -> Column:
 @evaluator("sans_invention", "reecriture", "conformite")
 def no_invention(df: DataFrame) -> DataFrame:
     """V07 — file names, identifiers and numbers of the rewrite must occur in the source."""
-    first = F.coalesce(invented("file", V.FILE_NAME_PATTERN, "(?iU)"), invented("identifier", V.IDENTIFIER_PATTERN), invented("number", V.NUMBER_PATTERN))
+    file = F.when(X.bind(F.lower("rewrite"), lambda low: X.holds_any(low, V.FILE_LITERALS)), invented("file", V.FILE_NAME_PATTERN, "(?iU)"))
+    first = F.coalesce(file, invented("identifier", V.IDENTIFIER_PATTERN), invented("number", V.NUMBER_PATTERN))
     return _verdict(df, F.when(first.isNull(), "conforme").otherwise("non_conforme"), first)
 
 
@@ -65,7 +66,7 @@ def not_a_comment(df: DataFrame) -> DataFrame:
 def coverage_change(original, rewrite, rubric=None) -> dict[str, Column]:
     """V12, E05 — rubric coverage before and after, criteria gained and lost."""
     a, b = X.rubric_hits(original, rubric), X.rubric_hits(rewrite, rubric)
-    return {"before": X.rubric_coverage(original, rubric), "after": X.rubric_coverage(rewrite, rubric),
+    return {"before": X.coverage_of(a, rubric), "after": X.coverage_of(b, rubric),
             "gained": F.array_except(b, a), "lost": F.array_except(a, b)}
 
 

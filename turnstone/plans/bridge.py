@@ -88,14 +88,14 @@ class Tables:
     @cached_property
     def turn_calls(self) -> DataFrame:
         """Calls that belong to a turn."""
-        return self.calls.join(self.turns.select("session_id", "turn_no"), ["session_id", "turn_no"], "left_semi")
+        return stored(self.calls.join(self.turns.select("session_id", "turn_no"), ["session_id", "turn_no"], "left_semi"), "turn_calls")
 
     @cached_property
     def sessions(self) -> DataFrame:
         """Sessions that have turns, over all their calls."""
         s = self.calls.groupBy("session_id").agg(F.min("called_at").alias("started_at"), F.max("called_at").alias("ended_at"),
                                                  F.min_by("event_type", "call_no").alias("entrypoint"))
-        return s.join(self.turns.select("session_id").distinct(), "session_id", "left_semi")
+        return stored(s.join(self.turns.select("session_id").distinct(), "session_id", "left_semi"), "sessions")
 
     @property
     def steps(self) -> DataFrame:

@@ -222,8 +222,9 @@ _ORDERED = [r[0] for r in V.RUBRIC if r[1]] + [r[0] for r in V.RUBRIC if not r[1
        + "concat_ws(',', " + ", ".join(f"CASE WHEN NOT {_RUBRIC_SQL[k]} THEN '{k}' END" for k in _ORDERED) + ") AS missing, round(("
        + " + ".join(f"CAST({_RUBRIC_SQL[k]} AS INT)" for k, e, _ in V.RUBRIC if e) + ") / 5.0, 6) AS coverage FROM documents")
 def p22(t):
-    return t.raw("documents").select("doc_id", F.array_join(X.rubric_hits("text"), ",").alias("present"),
-                                     F.array_join(X.rubric_missing("text"), ",").alias("missing"), r6(X.rubric_coverage("text")).alias("coverage"))
+    d = t.raw("documents").select("doc_id", X.rubric_hits("text").alias("hits"))
+    return d.select("doc_id", F.array_join("hits", ",").alias("present"), F.array_join(X.missing_of("hits"), ",").alias("missing"),
+                    r6(X.coverage_of("hits")).alias("coverage"))
 
 
 @query("p23_cost_phrase", """
