@@ -37,7 +37,7 @@ def bounded_length(df: DataFrame) -> DataFrame:
     """V08 — at most twice as long as the original; undecided when the original is empty."""
     a, b = F.length("original"), F.length("rewrite")
     label = F.when(a == 0, UNDECIDED).when(b <= a * 2, "conforme").otherwise("non_conforme")
-    return _verdict(df, label, F.when(b > a * 2, F.concat_ws("/", b.cast("string"), (a * 2).cast("string"))))
+    return _verdict(df, label, F.when((a > 0) & (b > a * 2), F.concat_ws("/", b.cast("string"), (a * 2).cast("string"))))
 
 
 @evaluator("reste_francais", "reecriture", "conformite")

@@ -5,4 +5,4 @@ from turnstone.plans import (  # noqa: F401
 )
 from turnstone.plans.registry import ORACLES, QUERIES  # noqa: F401
 
-FLAGSHIP = "w07_task_rollup"
+FLAGSHIP = "r01_usage_alerts_by_user"
