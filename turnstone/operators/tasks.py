@@ -47,8 +47,9 @@ def boundary_decisions(turns: DataFrame, rules: BoundaryRules = BoundaryRules(),
     main = turns.filter(~F.col("is_sidechain"))
     seen = O.ordered_scan(main, ["session_id"], ["turn_no"],
                           {"_prev": O.lag(F.struct("ended_at", "stop_reason"))}, turn_bucket(), hot_rows)
-    prompt = X.trimmed(F.coalesce(F.col("prompt"), F.lit("")))
-    lower = F.lower(prompt)
+    # trimmed and lower-cased once; the rules below only refer to the two columns
+    seen = seen.withColumn("_p", X.trimmed(F.coalesce(F.col("prompt"), F.lit("")))).withColumn("_lp", F.lower("_p"))
+    prompt, lower = F.col("_p"), F.col("_lp")
     gap = F.unix_micros("started_at") - F.unix_micros("_prev.ended_at")
     minute = 60_000_000
     corrective = X.first_opener(lower, rules.corrective)

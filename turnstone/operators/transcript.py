@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnstone.functions import exprs as X
 from turnstone.functions import fixed_values as V
 from turnstone.operators import ordered as O, turns as U
+from turnstone.session import stored
 
 
 def with_session(records: DataFrame) -> DataFrame:
@@ -123,7 +124,10 @@ def mark_humans(records: DataFrame) -> DataFrame:
 
 
 def build_sessions(records: DataFrame, hot_rows: int | None = None) -> dict[str, DataFrame]:
-    """W01-W03, J01, J02 — the session tables of a record scan ordered by (file, line_no)."""
+    """W01-W03, J01, J02 — the session tables of a record scan ordered by (file, line_no).
+
+    The records with their turn index feed every table below, so they are written once.
+    """
     order = ["file", "line_no"]
     rank = F.struct(*order)
     marked = mark_humans(with_session(records))
@@ -132,6 +136,7 @@ def build_sessions(records: DataFrame, hot_rows: int | None = None) -> dict[str,
         "ended_so_far": O.running_max(F.col("timestamp"))}, seq_bucket(), hot_rows)
     seen = seen.withColumns({"lane": F.when(F.col("is_sidechain") & ~F.col("is_human"), "agent").otherwise("main"),
                              "at": F.coalesce("timestamp", "ended_so_far")})
+    seen = stored(seen, "records")
     sessions = seen.groupBy("session_id").agg(
         *[F.min_by(c, rank).alias(c) for c in ("cwd", "git_branch", "version", "entrypoint")],
         F.min("timestamp").alias("started_at"), F.max("timestamp").alias("ended_at"))
@@ -159,7 +164,7 @@ def build_sessions(records: DataFrame, hot_rows: int | None = None) -> dict[str,
         (F.col("human_side") | (F.col("lane") == "agent")).alias("is_sidechain"))
     turns = O.ordered_scan(turns.withColumns({"file": F.col("opened.file"), "line_no": F.col("opened.line_no")}),
                            ["session_id"], order, {"pos": O.number()}, seq_bucket(), hot_rows)
-    turns = turns.withColumn("turn_no", F.col("pos") - 1).drop("pos", "opened", "file", "line_no")
+    turns = stored(turns.withColumn("turn_no", F.col("pos") - 1).drop("pos", "opened", "file", "line_no"), "turns")
 
     ids = turns.select(*key, "turn_no")
     answers = part.filter(steps_only).join(ids, key)

@@ -59,6 +59,34 @@ def load_packs(spark: SparkSession, folder: str, reserved: str = "maturite.json"
             .select("pack_id", F.col("value").alias("pack_json"), "file"))
 
 
+_ENTITY = "nom: string, alias: array<string>, race: string, aerien: boolean, invisible: boolean, detecteur: boolean"
+_DICTIONARY = (f"unites array<struct<{_ENTITY}>>, batiments array<struct<{_ENTITY}>>, mecaniques array<struct<nom: string>>, "
+               "vernaculaire array<struct<terme: string>>, punitions array<struct<id: string, palier: int, signal: string>>")
+
+
+def load_dictionary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S07 — a fact file as tables for the claim rules and lookups: names (one row per name or alias), terms, situations.
+
+    An absent file gives empty tables.
+    """
+    try:
+        doc = spark.read.schema(_DICTIONARY).options(**_COMMENTS).json(path)
+    except AnalysisException:
+        doc = spark.createDataFrame([], _DICTIONARY)
+
+    def entities(column: str, kind: str) -> DataFrame:
+        e = doc.select(F.explode(column).alias("e")).select("e.*")
+        names = F.filter(F.concat(F.array("nom"), F.coalesce("alias", F.array().cast("array<string>"))), lambda x: F.coalesce(x, F.lit("")) != "")
+        off = F.lit(False)
+        return e.select(F.col("nom").alias("entity"), F.explode(names).alias("alias"), F.coalesce("race", F.lit("")).alias("side"), F.lit(kind).alias("kind"),
+                        F.coalesce("aerien", off).alias("air"), F.coalesce("invisible", off).alias("cloaked"), F.coalesce("detecteur", off).alias("detector"))
+
+    names = entities("unites", "unit").unionByName(entities("batiments", "building"))
+    terms = doc.select(F.explode("mecaniques.nom").alias("term")).unionByName(doc.select(F.explode("vernaculaire.terme").alias("term")))
+    situations = doc.select(F.explode("punitions").alias("p")).select(F.col("p.id").alias("situation_id"), "p.signal", F.col("p.palier").alias("level"))
+    return names, terms, situations
+
+
 def load_cases(spark: SparkSession, folder: str, shareable_only: bool = True) -> tuple[DataFrame, DataFrame]:
     """S09 — evaluation cases of a folder and the warnings: malformed files, cases without id or family, refused private cases."""
     try:
