@@ -175,7 +175,7 @@ def span_id(*parts) -> Column:
 
 
 def spans(sessions: DataFrame, tasks: DataFrame, owners: DataFrame, turns: DataFrame, calls: DataFrame, steps: DataFrame, signals_wide: DataFrame | None = None,
-          learner: str = "default", surface: str = "vscode", capture: bool = False, max_chars: int = 4000) -> DataFrame:
+          learner: str = "default", surface: str = "vscode", agent: str = "assistant", capture: bool = False, max_chars: int = 4000) -> DataFrame:
     """R08, S16 — the span tree session → task → turn → tool at the original times.
 
     ``owners`` says which task a turn belongs to. Text is only written when capture is on.
@@ -195,7 +195,7 @@ def spans(sessions: DataFrame, tasks: DataFrame, owners: DataFrame, turns: DataF
     top = span_id("session", "session_id")
     with_turns = sessions.join(turns.select("session_id").distinct(), "session_id", "left_semi")
     meta = {f"coaching__{n}": c(x) for n, x in [("cwd", "cwd"), ("git_branch", "git_branch"), ("cc_version", "version"), ("entrypoint", "entrypoint")] if x in sessions.columns}
-    s = span(with_turns, top, hidden, F.lit("session"), F.lit("AGENT"), "started_at", "ended_at", agent__name=F.lit("claude-code"), **meta)
+    s = span(with_turns, top, hidden, F.lit("session"), F.lit("AGENT"), "started_at", "ended_at", agent__name=F.lit(agent), **meta)
 
     t = tasks
     measured = {}

@@ -147,16 +147,22 @@ def alerts(weeks: DataFrame, as_of: str, budget: int = 0, keys: list[str] | None
 
 # ------------------------------------------------------------------------------------------ spend
 def learner_spend(rows: DataFrame, order: list[str]) -> DataFrame:
-    """A12 — per person (case ignored): tokens, requests, spend (net, else gross) and tokens per model family."""
+    """A12 — per person (case ignored): tokens, requests, spend (net, else gross) and tokens per model family.
+
+    ``order`` decides which spelling of the address is shown. Sums are taken per spelling first: with one numeric order
+    column that step is a hash aggregation on the map side, and only spellings meet afterwards.
+    """
     tokens = F.col("prompt_tokens") + F.col("completion_tokens")
     family = X.model_family("model")
     zero = F.lit(0).cast("bigint")
-    return (rows.filter(F.coalesce("email", F.lit("")) != "").groupBy(F.lower("email").alias("person")).agg(
-        F.min_by("email", F.struct(*order)).alias("email"), F.sum("prompt_tokens").alias("prompt_tokens"),
-        F.sum("completion_tokens").alias("completion_tokens"), F.sum("requests").alias("requests"),
-        F.sum(F.when(F.col("net") != 0, F.col("net")).otherwise(F.col("gross"))).alias("spend"),
-        *[F.sum(F.when(family == f, tokens).otherwise(zero)).alias(f"{f.lower()}_tokens") for f in ("Haiku", "Sonnet", "Opus", "Autre")])
-        .withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens")))
+    first = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    sums = {"prompt_tokens": F.col("prompt_tokens"), "completion_tokens": F.col("completion_tokens"), "requests": F.col("requests"),
+            "spend": F.when(F.col("net") != 0, F.col("net")).otherwise(F.col("gross")),
+            **{f"{f.lower()}_tokens": F.when(family == f, tokens).otherwise(zero) for f in ("Haiku", "Sonnet", "Opus", "Autre")}}
+    spelled = (rows.filter(F.coalesce("email", F.lit("")) != "").groupBy(F.lower("email").alias("person"), "email")
+               .agg(F.min(first).alias("_first"), *[F.sum(c).alias(n) for n, c in sums.items()]))
+    return (spelled.groupBy("person").agg(F.min_by("email", "_first").alias("email"), *[F.sum(n).alias(n) for n in sums])
+            .withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens")))
 
 
 def learner_products(rows: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey
 
 
 def spend(t: Tables):
-    li = t.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
+    li = t.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
     o = t.raw("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     j = (li.join(o, li.l_orderkey == o.o_orderkey).join(t.raw("customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
          .join(t.raw("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")))
@@ -159,7 +159,7 @@ def spend(t: Tables):
         F.when(F.col("l_linenumber") % 2 == 0, F.upper("c_name")).otherwise(F.col("c_name")).alias("email"), F.col("o_orderpriority").alias("product"),
         F.expr("CASE CAST(replace(p_brand, 'Brand#', '') AS INT) % 4 WHEN 0 THEN 'x-Opus' WHEN 1 THEN 'x-sonnet' WHEN 2 THEN 'x-haiku' ELSE 'other' END").alias("model"),
         F.lit(1).cast("bigint").alias("requests"), F.col("l_quantity").cast("bigint").alias("prompt_tokens"), F.col("l_linenumber").cast("bigint").alias("completion_tokens"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("line"),
         F.expr("CASE WHEN l_discount = 0 THEN 0 ELSE CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2))) END").cast("decimal(18,6)").alias("net"),
         F.round("l_extendedprice", 2).cast("decimal(18,2)").alias("gross"))
 
@@ -172,7 +172,7 @@ _LEARNERS = """SELECT lower(email) AS person, arg_min(email, (l_orderkey, l_line
 
 
 def learners(t: Tables):
-    return U.learner_spend(spend(t), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return U.learner_spend(spend(t), ["line"])
 
 
 @query("a12_learner_spend", _LEARNERS, "spend")
