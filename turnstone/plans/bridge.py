@@ -132,7 +132,8 @@ class Tables:
 
     @cached_property
     def signals(self) -> DataFrame:
-        return G.signals_long(self.signals_wide)
+        """One row per task and signal, written so that a query on values does not carry the sentences."""
+        return stored(G.signals_long(self.signals_wide), "signals")
 
 
 _cache: dict[tuple[str, str], Tables] = {}

@@ -39,7 +39,7 @@ def session_tables(spark: SparkSession, root: str, settings: Settings = Settings
     wide = stored(G.signals_wide(tasks, task_turns, calls, steps, parts["turn_skills"], turns, agents, settings.context_window), "signals")
     owners = U.all_turns(task_turns, agents)
     return {"lines": scanned, "sessions": parts["sessions"], "turns": turns, "calls": calls, "steps": steps, "turn_skills": parts["turn_skills"], "task_turns": task_turns,
-            "agent_turns": agents, "owners": owners, "tasks": tasks, "signals_wide": wide, "signals": G.signals_long(wide),
+            "agent_turns": agents, "owners": owners, "tasks": tasks, "signals_wide": wide, "signals": stored(G.signals_long(wide), "signals_long"),
             "weeks": U.week_usage(tasks, owners, calls, steps, active), "parse_report": TR.parse_report(scanned)}
 
 

@@ -27,7 +27,7 @@ def sql(body: str, *names: str) -> str:
     if not done:
         return body.strip()
     text = body.strip()
-    ctes = ",\n".join(f"{n} AS (\n{PARTS[n][1]}\n)" for n in done)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED (\n{PARTS[n][1]}\n)" for n in done)          # shared fragments run once
     if text[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{text[5:]}"
     return f"WITH {ctes}\n{text}"
