@@ -66,7 +66,7 @@ def think_intervals(steps: DataFrame, turns: DataFrame, calls: DataFrame, idle_m
     # backwards in time, steps ahead of calls of the same instant: the call seen last is the first one strictly after the step
     both = s.unionByName(c).withColumn("_t", -F.unix_micros("at"))
     seen = O.ordered_scan(both, key, ["_t", "_kind", "_no"], {"_call": O.last_known(F.when(F.col("_kind") == 1, F.col("at")))},
-                          F.floor(F.col("_t") / 86_400_000_000), hot_rows, steps.select(*key).unionByName(calls.select(*key)))
+                          F.floor(F.col("_t") / 60_000_000), hot_rows, steps.select(*key).unionByName(calls.select(*key)))
     j = (seen.filter("_kind = 0").select("_step.*", "_call")
          .join(turns.select(*key, F.col("ended_at").alias("_turn_end")), key))
     bound = F.coalesce("_next", "_turn_end")
@@ -144,7 +144,7 @@ def run_events(sessions: DataFrame, turns: DataFrame, calls: DataFrame, steps: D
     rank = ["at", "phase", "r_turn", "r_group", "r_item", "r_sub"]
     one = ["session_id"]
     sources = calls.select(one).unionByName(steps.select(one)).unionByName(turns.select(one))       # at most four events per row
-    out = O.ordered_scan(log, one, rank, {"_pos": O.number()}, F.date_trunc("day", "at"), hot_rows, sources, 4)
+    out = O.ordered_scan(log, one, rank, {"_pos": O.number()}, F.date_trunc("minute", "at"), hot_rows, sources, 4)
     return out.select("session_id", (F.col("_pos") - 1).alias("seq"), "t", "actor", "origin", "kind", "ref", "tok_in", "tok_out", "calls", "payload")
 
 

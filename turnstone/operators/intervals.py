@@ -26,7 +26,7 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str]
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, tie: str,
-          carry: list[str], bucket_seconds: int = 86_400, hot_rows: int | None = None) -> DataFrame:
+          carry: list[str], bucket_seconds: int = 60, hot_rows: int | None = None) -> DataFrame:
     """Each left row with the columns of the latest right row at or before it (NULL when there is none).
 
     One union and one ordered scan: linear in the rows, no range join. ``tie`` orders right rows of equal time.

@@ -104,9 +104,9 @@ def drop_empty_turns(turns: DataFrame, calls: DataFrame, steps: DataFrame) -> Da
 def active_time(marks: DataFrame, keys: list[str], cap_minutes: float = V.IDLE_GAP_MINUTES,
                 hot_rows: int | None = None) -> DataFrame:
     """W04 — per key, the sum of the gaps between consecutive marks that are positive and within the cap."""
-    day = F.date_trunc("day", "at")
+    minute = F.date_trunc("minute", "at")
     gaps = O.ordered_scan(marks.filter("at IS NOT NULL"), keys, ["at"], {"_before": O.lag(F.unix_micros("at"))},
-                          day, hot_rows)
+                          minute, hot_rows)
     gap = F.unix_micros("at") - F.col("_before")
     counted = F.when((gap > 0) & (gap <= int(cap_minutes * 60_000_000)), gap).otherwise(F.lit(0))
     return gaps.groupBy(*keys).agg(F.sum(counted).alias("active_us"))

@@ -39,7 +39,7 @@ class Tables:
     def calls(self) -> DataFrame:
         e = self.raw("events").select("event_id", "ts", "user_id", "event_type", "value", "props")
         seen = O.ordered_scan(e, ["user_id"], ["ts", "event_id"],
-                              {"pos": O.number(), "result_at": O.lead(F.col("ts"))}, F.date_trunc("day", "ts"))
+                              {"pos": O.number(), "result_at": O.lead(F.col("ts"))}, F.date_trunc("minute", "ts"))
         rows = seen.selectExpr(
             "user_id AS session_id", "event_id AS call_id", "ts AS called_at", "result_at", "pos - 1 AS call_no",
             "CAST(floor((pos - 1) / 5) AS BIGINT) AS turn_no", "value", "event_type",

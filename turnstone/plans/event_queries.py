@@ -63,7 +63,7 @@ SELECT event_id, CASE WHEN n = 1 THEN event_type ELSE event_type || '#' || n END
  SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events)""")
 def w10b(t):
     e = t.raw("events").select("event_id", "user_id", "event_type", "ts")
-    r = O.ordered_scan(e, ["user_id", "event_type"], ["ts", "event_id"], {"n": O.number()}, F.date_trunc("day", "ts"))
+    r = O.ordered_scan(e, ["user_id", "event_type"], ["ts", "event_id"], {"n": O.number()}, F.date_trunc("minute", "ts"))
     return r.select("event_id", F.when(F.col("n") == 1, F.col("event_type")).otherwise(F.concat("event_type", F.lit("#"), F.col("n").cast("string"))).alias("label"))
 
 

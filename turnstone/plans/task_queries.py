@@ -95,7 +95,7 @@ SELECT user_id AS session_id, count(*) FILTER (k = 'identical') AS identical, co
 def w08(t):
     calls = t.raw("events").select(F.col("user_id").alias("session_id"), "ts", "event_id", F.col("event_type").alias("name"),
                                    F.col("props").alias("input_json"), (F.col("event_type") == "error").alias("failed"))
-    seq = G.next_calls(calls, ["session_id"], ["ts", "event_id"], F.date_trunc("day", "ts"))
+    seq = G.next_calls(calls, ["session_id"], ["ts", "event_id"], F.date_trunc("minute", "ts"))
     return (seq.filter("failed").withColumn("k", G.retry_kind()).groupBy("session_id")
             .agg(F.count_if(F.col("k") == "identical").alias("identical"), F.count_if(F.col("k") == "different").alias("different")))
 
@@ -160,7 +160,7 @@ def j01(t):
     calls = e.select("session_id", "ts", "event_id", F.lit(1).alias("side"), F.col("event_id").alias("call_id"))
     results = e.select("session_id", "ts", "event_id", F.lit(0).alias("side"))
     got = match_results(calls.withColumn("called_at", F.col("ts")), results.withColumn("result_at", F.col("ts")),
-                        ["session_id"], ["ts", "event_id", "side"], ["result_at"], F.date_trunc("day", "ts"))
+                        ["session_id"], ["ts", "event_id", "side"], ["result_at"], F.date_trunc("minute", "ts"))
     return got.select("session_id", "call_id", us("called_at").alias("called_us"), us("result_at").alias("result_us"))
 
 
