@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnstone.llm import exact_dedup, mixing, packing, planes, shards, url_cascade
+from turnstone.llm import exact_dedup, mixing, packing, planes, shards, toxicity, url_cascade
 from turnstone.llm.base import table
 
 QUERIES: dict = {}
@@ -27,6 +28,19 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def held_out():
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+@query
+def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~held_out()))
+    scored = toxicity.score_rows(docs, model, ["doc_id"])
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("tox_score").alias("score"),
+                         (F.col("tox_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query
 def op6_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), True, 1)
