@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import exact_dedup, minhash, mixing, packing, planes, shards, toxicity, url_cascade
+from turnstone.llm import exact_dedup, minhash, mixing, packing, planes, shards, substrings, toxicity, url_cascade
 from turnstone.llm.base import table
 
 QUERIES: dict = {}
@@ -17,6 +17,11 @@ def query(fn):
     return fn
 
 
+@query
+def op2_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query
 def op3_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "class_id", "verified_links")
