@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import exact_dedup, minhash, mixing, packing, planes, shards, substrings, toxicity, url_cascade
+from turnstone.llm import exact_dedup, minhash, mixing, multi_index, packing, planes, shards, substrings, toxicity, url_cascade
 from turnstone.llm.base import table
 
 QUERIES: dict = {}
@@ -17,6 +17,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return multi_index.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 @query
 def op2_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
