@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
-    """Per document ``doc_id, size, source_size, target, copies, taken`` (and the columns in ``keep``); ``copies`` may be 0."""
+    """Per document ``doc_id, source, size, source_size, target, copies, taken`` (and the columns in ``keep``); ``copies`` may be 0."""
     keep = keep or []
     rows = stored(docs.select("doc_id", "source", n_words(text_or_empty()).alias("size"), *keep), "mix-sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
@@ -58,7 +58,7 @@ def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     placed = numbered(rows, ["source"], [F.col("doc_id")], "place", block)
     joined = placed.join(aims, F.col("source").eqNullSafe(F.col("of")))
     return joined.withColumn("copies", copies(seed)).select(
-        "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
 
 
 def copies(seed: int) -> Column:
