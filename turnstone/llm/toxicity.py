@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnstone.llm.base import text_or_empty
 
@@ -199,8 +200,8 @@ def scorer(model: Model):
 
 def score_rows(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns in ``keep`` and ``tox_score``; a map over the rows, no shuffle."""
-    rows = docs.select(*[F.col(c) for c in keep], text_or_empty().alias("_scored"))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_scored")
+    rows = docs.select(*keep, text_or_empty().alias("_scored"))
+    shape = T.StructType([f for f in rows.schema if f.name != "_scored"] + [T.StructField("tox_score", T.DoubleType())])
 
     def run(batches):
         score = scorer(model)
@@ -208,4 +209,4 @@ def score_rows(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             out = pa.array(score(batch.column("_scored").to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], out], names=[*keep, "tox_score"])
 
-    return rows.mapInArrow(run, f"{shape}, tox_score double")
+    return rows.mapInArrow(run, shape)
