@@ -16,36 +16,41 @@ from turnstone.llm.base import stored, table
 from turnstone.llm.queries import held_out, tokenizer
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """The row as one column ``row`` beside its id, source and text, so that no column of the input can clash."""
+    return docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold go. The model learns from the labels outside the held-out quarter."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
-    return toxicity.score_rows(docs, model, docs.columns).filter(F.col("tox_score") < toxicity.THRESHOLD).drop("tox_score")
+    return toxicity.score_rows(_whole(docs), model, ["row"]).filter(F.col("tox_score") < toxicity.THRESHOLD).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal normalised texts stays: the longest, then the smallest id."""
-    found = exact_dedup.exact_duplicates(docs.select("doc_id", "text"))
-    kept = found.filter("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
-    kept = kept.select("*", F.xxhash64("_id", "_digest").alias("_key"))
-    rows = docs.withColumn("_clean", F.unhex(F.sha2(exact_dedup.normalised(), 256))).withColumn("_row", F.xxhash64("doc_id", "_clean"))
-    met = rows.join(kept, (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_clean") == F.col("_digest")))
-    of_one = Window.partitionBy("_row", "_clean").orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc())      # rows that repeat the id as well
-    return met.withColumn("_n", F.row_number().over(of_one)).filter("_n = 1").select(*docs.columns)
+    found = exact_dedup.exact_duplicates(docs)
+    kept = found.filter("kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest"))
+    kept = kept.select("*", F.xxhash64("id", "digest").alias("key"))
+    rows = _whole(docs).withColumn("clean", F.unhex(F.sha2(exact_dedup.normalised(), 256))).withColumn("own_key", F.xxhash64("doc_id", "clean"))
+    met = rows.join(kept, (F.col("own_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("clean") == F.col("digest")))
+    of_one = Window.partitionBy("own_key", "clean").orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc())      # rows that repeat the id as well
+    return met.withColumn("n", F.row_number().over(of_one)).filter("n = 1").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar word shingles the one with the smallest id stays. Rows without id stay."""
-    gone = minhash.near_duplicates(docs.select("doc_id", "text")).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = minhash.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("id")).distinct()
+    return _whole(docs).join(gone, F.col("doc_id") == F.col("id"), "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as systematic sampling to the target weights takes it."""
-    taken = mixing.mix_rows(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("_text")), keep=["_text"])
-    copies = taken.filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_text", "copies").dropDuplicates(["_id", "_source", "_text"])
-    met = docs.withColumn("_key", F.xxhash64("text")).join(
-        copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_text")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    taken = mixing.mix_rows(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_key")), keep=["text_key"])
+    copies = taken.filter("copies > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("text_key").alias("key"), "copies").dropDuplicates(["id", "of", "key"])
+    met = _whole(docs).withColumn("own_key", F.xxhash64("text")).join(
+        copies, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("own_key") == F.col("key")))
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
