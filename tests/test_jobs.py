@@ -84,3 +84,37 @@ def test_dictionary_file(spark, tmp_path):
     found = {r.request_id: (r.entity, r.suggestions) for r in L.lookup(spark.createDataFrame([(1, "CAFARD"), (2, "spine"), (3, "les roach"), (4, "zz")], "request_id int, asked string"), names).collect()}
     assert found == {1: ("Roach", None), 2: (None, ["Spine Crawler"]), 3: (None, ["Roach"]), 4: (None, [])}
     assert SF.load_dictionary(spark, str(tmp_path / "none.json"))[0].count() == 0
+
+
+def test_calls_are_numbered_over_all_files_of_a_session(spark, tmp_path):
+    """A resumed session and a sub-agent file: the verification of the first file is not the last call."""
+    start = dt.datetime(2026, 1, 5, 9)
+    at = lambda m: (start + dt.timedelta(minutes=m)).isoformat() + "+00:00"
+
+    def line(m, n, command, **more):
+        return json.dumps({"type": "assistant", "sessionId": "s", "timestamp": at(m), **more, "message": {"model": "m-sonnet", "stop_reason": "tool_use", "usage": {"input_tokens": 1},
+                           "content": [{"type": "tool_use", "id": f"c{n}", "name": "Bash", "input": {"command": command}}]}})
+
+    prompt = json.dumps({"type": "user", "sessionId": "s", "timestamp": at(0), "promptId": "p1", "message": {"role": "user", "content": "Corrige le calcul"}})
+    (tmp_path / "a.jsonl").write_text("\n".join([prompt, line(1, 1, "pytest -q"), line(2, 2, "ls")]) + "\n")
+    (tmp_path / "b.jsonl").write_text("\n".join([line(3, 3, "ls"), line(4, 4, "ls"), line(5, 5, "ls")]) + "\n")
+    (tmp_path / "c-agent.jsonl").write_text(line(6, 6, "ls", isSidechain=True) + "\n")
+    t = jobs.session_tables(spark, str(tmp_path))
+    assert [(r.call_id, r.call_no) for r in t["calls"].orderBy("call_no").collect()] == [(f"c{i}", i - 1) for i in range(1, 7)]
+    assert sorted(r.step_no for r in t["steps"].collect()) == list(range(6))
+
+
+def test_snapshot_keeps_versions_and_fails_on_other_errors(spark, tmp_path):
+    from turnstone.operators.snapshot import write_snapshot
+
+    one = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    two = spark.createDataFrame([("a", 1), ("b", 3), ("c", 4)], "k string, v int")
+    path = str(tmp_path / "snap")
+    assert {r.outcome for r in write_snapshot(one, path, "k", "20260105-0900").collect()} == {"created"}
+    assert {r.k: r.outcome for r in write_snapshot(two, path, "k", "20260112-0900").collect()} == {"a": "unchanged", "b": "archived", "c": "created"}
+    assert {r.k: r.v for r in spark.read.parquet(f"{path}/current").collect()} == {"a": 1, "b": 3, "c": 4}
+    assert [(r.k, r.v) for r in spark.read.parquet(f"{path}/archives").collect()] == [("b", 2)]
+    (tmp_path / "broken" / "current").mkdir(parents=True)
+    (tmp_path / "broken" / "current" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        write_snapshot(two, str(tmp_path / "broken"), "k", "20260112-0900")

@@ -138,11 +138,6 @@ HOOK_MARKERS = {
 IDLE_SESSION_HOURS = 6
 
 # --- run event log ---------------------------------------------------------------------------
-RUN_EVENT_KINDS = [
-    "run.start", "run.end", "agent.spawn", "agent.end", "agent.stop.attempt", "think.start", "think.end",
-    "tool.start", "tool.end", "hook.allow", "hook.deny", "wait.start", "wait.end", "msg", "human", "flag",
-    "flag.clear",
-]
 REDACTED = "(contenu non capturé)"
 TARGET_FIELDS = ["file_path", "path", "command", "pattern", "url", "description"]
 VALUE_MARKER = "… [tronqué]"

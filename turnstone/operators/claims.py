@@ -154,12 +154,16 @@ def situations(requests: DataFrame, known: DataFrame) -> DataFrame:
 
     The covered signals are the distinct signals of the reference, a list as long as the signal table.
     """
-    r = requests.select("request_id", F.lower("signal").alias("_s"), F.col("level").alias("_l"))
-    k = known.select("situation_id", F.lower("signal").alias("_ks"), F.col("level").alias("_kl"))
-    by_signal = r.filter("_s IS NOT NULL").join(k, F.col("_s") == F.col("_ks")).filter(F.col("_l").isNull() | (F.col("_l") == F.col("_kl")))
-    by_level = r.filter("_s IS NULL AND _l IS NOT NULL").join(k, F.col("_l") == F.col("_kl"))
-    hits = by_signal.select("request_id", "situation_id").unionByName(by_level.select("request_id", "situation_id"))
-    counts = hits.groupBy("request_id").agg(F.count(F.lit(1)).alias("found"), F.min("situation_id").alias("first"))
+    r = requests.select("request_id", F.lower("signal").alias("_s"), F.col("level").alias("_l")).filter("_s IS NOT NULL OR _l IS NOT NULL")
+    k = known.select("situation_id", F.lower("signal").alias("_s"), F.col("level").alias("_l"))
+    counted = [F.count(F.lit(1)).alias("found"), F.min("situation_id").alias("first")]
+
+    def by(keys: list[str], asked: DataFrame) -> DataFrame:
+        """The situations are counted per key before they meet the requests: at most one row per request."""
+        return asked.join(k.dropna(subset=keys).groupBy(*keys).agg(*counted), keys).select("request_id", "found", "first")
+
+    counts = reduce(DataFrame.unionByName, [by(["_s"], r.filter("_l IS NULL")), by(["_l"], r.filter("_s IS NULL")),
+                                            by(["_s", "_l"], r.filter("_s IS NOT NULL AND _l IS NOT NULL"))])
     covered = known.agg(F.array_join(F.array_sort(F.collect_set("signal")), ", ").alias("covered"))
     out = requests.select("request_id", "signal", "level").join(counts, "request_id", "left").crossJoin(F.broadcast(covered))     # one row
     return out.select("request_id", F.coalesce("found", F.lit(0).cast("bigint")).alias("found"), "first", F.when(F.col("found").isNull(), F.col("covered")).alias("covered"))

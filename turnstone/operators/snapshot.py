@@ -31,7 +31,9 @@ def write_snapshot(current: DataFrame, path: str, key: str, stamp: str) -> DataF
     row = F.to_json(F.struct(*[c for c in current.columns if c != key]))
     try:
         previous = spark.read.schema(current.schema).parquet(f"{path}/current")
-    except Exception:  # noqa: BLE001 — nothing written yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":          # any other failure must not pass for "nothing written yet"
+            raise
         previous = spark.createDataFrame([], current.schema)
     from turnstone.session import stored
     outcome = stored(write_outcomes(previous, current, key, row), "snapshot-outcome")

@@ -40,9 +40,11 @@ class Tables:
         e = self.raw("events").select("event_id", "ts", "user_id", "event_type", "value", "props")
         seen = O.ordered_scan(e, ["user_id"], ["ts", "event_id"],
                               {"pos": O.number(), "result_at": O.lead(F.col("ts"))}, F.date_trunc("minute", "ts"))
+        asked = self.prompts.groupBy("session_id").agg(F.count(F.lit(1)).alias("prompts"))
+        seen = seen.join(asked, F.col("user_id") == F.col("session_id"), "left").drop("session_id").withColumn("prompts", F.coalesce("prompts", F.lit(1)))
         rows = seen.selectExpr(
             "user_id AS session_id", "event_id AS call_id", "ts AS called_at", "result_at", "pos - 1 AS call_no",
-            "CAST(floor((pos - 1) / 5) AS BIGINT) AS turn_no", "value", "event_type",
+            "least(CAST(floor((pos - 1) / 5) AS BIGINT), prompts - 1) AS turn_no", "value", "event_type",
             """CASE event_type WHEN 'click' THEN 'Read' WHEN 'view' THEN 'Grep' WHEN 'purchase' THEN 'Edit'
                WHEN 'signup' THEN 'Task' ELSE 'Bash' END AS tool""",
             "event_id % 6 = 0 AS failed", "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 3 AS arg",
@@ -76,12 +78,13 @@ class Tables:
 
     @cached_property
     def turns(self) -> DataFrame:
-        """Turn j of a conversation owns calls 5j to 5j+4 of the session of the same number."""
+        """Turn j of a conversation owns calls 5j to 5j+4 of the session of the same number, the last turn all later ones.
+
+        A session without prompts has one turn with an empty prompt, as a session that goes on from another file."""
         spans = self.calls.groupBy("session_id", "turn_no").agg(
-            F.min("called_at").alias("started_at"), F.max_by("called_at", "call_no").alias("ended_at"),
-            F.max_by("call_id", "call_no").alias("last_call"), F.count(F.lit(1)).alias("n")).filter("n = 5")
-        t = self.prompts.join(spans, ["session_id", "turn_no"]).selectExpr(
-            "session_id", "turn_no", "prompt", "role = 'system' AS is_sidechain", "started_at", "ended_at",
+            F.min("called_at").alias("started_at"), F.max_by("called_at", "call_no").alias("ended_at"), F.max_by("call_id", "call_no").alias("last_call"))
+        t = spans.join(self.prompts, ["session_id", "turn_no"], "left").selectExpr(
+            "session_id", "turn_no", "coalesce(prompt, '') AS prompt", "coalesce(role = 'system', false) AS is_sidechain", "started_at", "ended_at",
             """CASE last_call % 4 WHEN 2 THEN 'tool_use' WHEN 3 THEN CAST(NULL AS STRING) ELSE 'end_turn' END AS stop_reason""")
         return stored(t, "turns")
 

@@ -249,10 +249,11 @@ def a26(t):
 
 
 @query("w18_consecutive_cycles", """
-SELECT cycle, lag(cycle) OVER (ORDER BY cycle) AS previous, cycle = lag(cycle) OVER (ORDER BY cycle) + 1 AS consecutive FROM (SELECT DISTINCT CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) / 1 AS INT) AS cycle FROM orders WHERE o_totalprice > 300000)""")
+SELECT cycle, lag(cycle) OVER (ORDER BY cycle) AS previous, cycle = lag(cycle) OVER (ORDER BY cycle) + 1 AS consecutive FROM (SELECT DISTINCT CAST(d + d // 5 AS INT) AS cycle FROM (SELECT date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS d FROM orders))""")
 def w18(t):
     day = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date"))
-    return Q.consecutive_cycles(t.raw("orders").filter("o_totalprice > 300000").select(day.alias("cycle")).distinct())
+    return Q.consecutive_cycles(t.raw("orders").select((day + F.floor(day / 5)).cast("int").alias("cycle"))          # a hole after every fifth day
+                                .distinct())
 
 
 @query("j19_unresolved_references", """

@@ -78,7 +78,7 @@ SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY at_us, phase, tn,
   greatest(0, CAST(floor((at_us - t0) / 1000) AS BIGINT)) AS t FROM (SELECT e.*, epoch_us(s.started_at) AS t0 FROM (
  SELECT session_id, epoch_us(from_at) AS at_us, 0 AS phase, turn_no AS tn, 0 AS grp, call_no AS it, 0 AS sub, actor, 'agent.spawn' AS kind, 'depth=1;parent=principal;role=' || role AS body FROM windows
  UNION ALL SELECT session_id, epoch_us(to_at), 0, turn_no, 0, call_no, 1, actor, 'agent.end', 'status=completed' FROM windows
- UNION ALL SELECT session_id, epoch_us(started_at), 1, 0, 0, 0, 0, 'principal', 'run.start', 'task=' || session_id || ';title=(contenu non capturé)' FROM sessions
+ UNION ALL SELECT session_id, epoch_us(started_at), 1, 0, 0, 0, 0, 'principal', 'run.start', 'task=' || session_id || ';title=' || CASE WHEN o.prompt = '' THEN '' ELSE '(contenu non capturé)' END FROM sessions JOIN (SELECT session_id, arg_min(prompt, turn_no) AS prompt FROM turns GROUP BY ALL) o USING (session_id)
  UNION ALL SELECT session_id, epoch_us(started_at), 1, 0, 0, 0, 1, 'principal', 'agent.spawn', 'depth=0;role=principal' FROM sessions
  UNION ALL SELECT t.session_id, epoch_us(t.started_at), 2, t.turn_no, 0, 0, 0, 'humain', 'human', 'text=(contenu non capturé);to=principal' FROM turns t
    JOIN (SELECT session_id, min(turn_no) AS f FROM turns GROUP BY ALL) f ON f.session_id = t.session_id AND t.turn_no > f.f WHERE NOT is_sidechain AND trim(prompt) <> ''

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.functions import fixed_values as V
-from turnstone.operators import dims, events as E, retro as T, review as R, signals as G, tasks as K, transcript as TR, usage as U
+from turnstone.operators import dims, events as E, ordered as O, retro as T, review as R, signals as G, tasks as K, transcript as TR, usage as U
 from turnstone.session import stored
 from turnstone.sources import transcripts as ST
 
@@ -24,13 +24,18 @@ class Settings:
     capture_text: bool = False
 
 
+def _numbered(rows: DataFrame, order: list[str], into: str) -> DataFrame:
+    """Places within the session over all its files: in order of file, line and block, from 0."""
+    cut = F.struct("file", F.floor(F.col("line_no") / 100_000).alias("lines"))
+    return O.ordered_scan(rows, ["session_id"], order, {into: O.number()}, cut).withColumn(into, F.col(into) - 1)
+
+
 def session_tables(spark: SparkSession, root: str, settings: Settings = Settings(), **reading) -> dict[str, DataFrame]:
     """All session tables of a folder; ``reading`` takes the options of ``read_lines`` (pattern, modified_after, limit_files)."""
     scanned = stored(ST.scan(ST.number_lines(ST.read_lines(spark, root, **reading))), "lines")
     parts = TR.build_sessions(ST.records(scanned))
-    place = F.col("line_no") * 10_000 + F.coalesce(F.col("pos"), F.lit(0)) if "pos" in parts["calls"].columns else F.col("line_no")
-    calls = stored(parts["calls"].withColumns({"call_no": place, "call_id": F.col("tool_use_id")}), "calls")
-    steps = stored(parts["steps"].withColumn("step_no", F.col("line_no")), "steps")
+    calls = stored(_numbered(parts["calls"], ["file", "line_no", "pos"], "call_no").withColumn("call_id", F.col("tool_use_id")), "calls")
+    steps = stored(_numbered(parts["steps"], ["file", "line_no"], "step_no"), "steps")
     turns = parts["turns"]
     task_turns = stored(K.number_tasks(K.boundary_decisions(turns, settings.rules)), "task_turns")
     agents = stored(K.attach_agent_turns(turns, task_turns), "agent_turns")

@@ -48,8 +48,8 @@ SELECT user_id AS session_id, event_id AS call_id, ts AS called_at, value, event
   event_id % 7 * 10 AS cache_creation_tokens, event_id % 50 AS output_tokens, 1 + event_id % 3 AS tool_blocks
 FROM events""")
 
-part("calls", "b1")("""
-SELECT *, CAST(floor(call_no / 5) AS BIGINT) AS turn_no,
+part("calls", "b1", "prompts")("""
+SELECT * EXCLUDE (prompts), least(CAST(floor(call_no / 5) AS BIGINT), coalesce(prompts, 1) - 1) AS turn_no,
   CASE WHEN call_id % 11 = 0 THEN 'mcp__srv' || (call_id % 3) || '__query' WHEN call_id % 13 = 0 THEN 'Skill'
        WHEN call_id % 17 = 0 THEN 'TaskCreate' ELSE tool END AS name,
   CASE tool WHEN 'Bash' THEN '{"command":"' || command || '"}'
@@ -60,7 +60,7 @@ SELECT *, CAST(floor(call_no / 5) AS BIGINT) AS turn_no,
   CASE WHEN call_id % 19 = 0 THEN 'skill-' || (call_id % 2) END AS skill,
   CAST(epoch_us(result_at) - epoch_us(called_at) AS DOUBLE) / 1000 AS duration_ms,
   input_tokens + cache_read_tokens + cache_creation_tokens AS total_in
-FROM b1""")
+FROM b1 LEFT JOIN (SELECT session_id, count(*) AS prompts FROM prompts GROUP BY ALL) USING (session_id)""")
 
 part("prompts")("""
 SELECT conv_id AS session_id, turn, role, text AS prompt,
@@ -68,12 +68,11 @@ SELECT conv_id AS session_id, turn, role, text AS prompt,
 FROM conversations WHERE role IN ('user', 'system')""")
 
 part("turns", "prompts", "calls")("""
-SELECT p.session_id, p.turn_no, p.prompt, p.role = 'system' AS is_sidechain, a.called_at AS started_at,
-  z.called_at AS ended_at,
-  CASE z.call_id % 4 WHEN 2 THEN 'tool_use' WHEN 3 THEN CAST(NULL AS VARCHAR) ELSE 'end_turn' END AS stop_reason
-FROM prompts p
-JOIN calls a ON a.session_id = p.session_id AND a.call_no = 5 * p.turn_no
-JOIN calls z ON z.session_id = p.session_id AND z.call_no = 5 * p.turn_no + 4""")
+SELECT c.session_id, c.turn_no, coalesce(p.prompt, '') AS prompt, coalesce(p.role = 'system', false) AS is_sidechain, c.started_at, c.ended_at,
+  CASE c.last_call % 4 WHEN 2 THEN 'tool_use' WHEN 3 THEN CAST(NULL AS VARCHAR) ELSE 'end_turn' END AS stop_reason
+FROM (SELECT session_id, turn_no, min(called_at) AS started_at, arg_max(called_at, call_no) AS ended_at, arg_max(call_id, call_no) AS last_call
+      FROM calls GROUP BY ALL) c
+LEFT JOIN prompts p ON p.session_id = c.session_id AND p.turn_no = c.turn_no""")
 
 part("turn_calls", "turns", "calls")("""
 SELECT c.* FROM calls c JOIN turns t ON t.session_id = c.session_id AND t.turn_no = c.turn_no""")
@@ -141,7 +140,7 @@ SELECT b.*, turns - 1 AS rework_turns, epoch_us(ended_at) - epoch_us(started_at)
   coalesce(active_us, 0) AS active_us, coalesce(lower(last_stop) = 'end_turn', false) AS completed,
   coalesce(last_stop = 'tool_use', true) AS in_progress, coalesce(tool_calls, 0) AS tool_calls,
   coalesce(agent_n, 0) AS agent_turns, coalesce(has_task_events, false) AS has_task_events,
-  CASE WHEN length(flat) <= 80 THEN flat ELSE substring(flat, 1, 79) || '…' END AS title
+  CASE WHEN flat = '' THEN 'Travail sans prompt initial' WHEN length(flat) <= 80 THEN flat ELSE substring(flat, 1, 79) || '…' END AS title
 FROM (SELECT *, trim(regexp_replace(CASE WHEN length(head) > 12 AND length(head) < length(tp) THEN head ELSE tp END,
                                     '\s+', ' ', 'g')) AS flat
   FROM (SELECT *, trim(first_prompt) AS tp, regexp_extract(trim(first_prompt), '^[^.?!\n]*') AS head FROM (

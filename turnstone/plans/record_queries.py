@@ -213,7 +213,7 @@ _RUBRIC_SQL = {
     k: f"regexp_matches(text, '{words(p)}')" for k, _, p in V.RUBRIC if p.startswith(r"\b(")
 }
 _RUBRIC_SQL["perimetre"] = (f"(regexp_matches(text, '(?i){_EXT}') OR regexp_matches(text, '"
-                            + words(V.RUBRIC[1][2].split(")|", 1)[1] if False else r"\b(dans le (module|dossier|service|projet|fichier)|uniquement dans|sans toucher|ne touche pas|hors de)\b") + "'))")
+                            + words(r"\b(dans le (module|dossier|service|projet|fichier)|uniquement dans|sans toucher|ne touche pas|hors de)\b") + "'))")
 _ORDERED = [r[0] for r in V.RUBRIC if r[1]] + [r[0] for r in V.RUBRIC if not r[1]]
 
 

@@ -131,9 +131,9 @@ def r03(t):
 
 @query("k07_ordered_trails", """
 SELECT user_id, event_type, verdict, round(abs(delta), 6) AS change FROM trails
-ORDER BY CASE verdict WHEN 'Acquis' THEN 0 WHEN 'EnRecul' THEN 1 WHEN 'EnProgres' THEN 2 WHEN 'Stable' THEN 3 ELSE 4 END, abs(delta) DESC, user_id, event_type LIMIT 20""", "trails")
+ORDER BY CASE verdict WHEN 'Acquis' THEN 0 WHEN 'EnRecul' THEN 1 WHEN 'EnProgres' THEN 2 WHEN 'Stable' THEN 3 ELSE 4 END, abs(delta) DESC, user_id, event_type""", "trails")
 def k07(t):
-    return T.ordered_trails(trails(t), KEYS).limit(20).select(*KEYS, "verdict", r6(F.abs("delta")).alias("change"))
+    return T.ordered_trails(trails(t), KEYS).select(*KEYS, "verdict", r6(F.abs("delta")).alias("change"))
 
 
 @query("k03_win_by_user", """

@@ -119,7 +119,7 @@ def w03r(t):
 
 
 @query("j01_rebuilt_calls", """
-SELECT CAST(session_id AS VARCHAR) AS session_id, turn_no, 'c' || call_id AS tool_use_id, name, input_json, epoch_us(called_at) AS called_us, epoch_us(result_at) AS result_us, failed, failure_reason, round(duration_ms, 3) AS duration_ms FROM turn_calls""", "turn_calls")
+SELECT CAST(session_id AS VARCHAR) AS session_id, turn_no, 'c' || call_id AS tool_use_id, name, input_json, epoch_us(called_at) AS called_us, epoch_us(result_at) AS result_us, failed AND result_at IS NOT NULL AS failed, CASE WHEN result_at IS NOT NULL THEN failure_reason END AS failure_reason, round(duration_ms, 3) AS duration_ms FROM turn_calls""", "turn_calls")
 def j01r(t):
     c = rebuilt(t)["calls"]
     return c.select("session_id", "turn_no", "tool_use_id", "name", "input_json", us("called_at").alias("called_us"), us("result_at").alias("result_us"), "failed", "failure_reason", F.round("duration_ms", 3).alias("duration_ms"))

@@ -65,10 +65,10 @@ def scan(lines: DataFrame) -> DataFrame:
     return parsed.withColumns({"line_len": F.length("value"), "readable": is_object})
 
 
-def warnings(scanned: DataFrame, limit: int = 20) -> DataFrame:
-    """S02 — place of the first unreadable lines."""
+def warnings(scanned: DataFrame) -> DataFrame:
+    """S02 — places of the unreadable lines, in order."""
     name = F.element_at(F.split("file", "/"), -1)
-    return (scanned.filter((F.col("line_len") > 0) & ~F.col("readable")).orderBy("file", "line_no").limit(limit)
+    return (scanned.filter((F.col("line_len") > 0) & ~F.col("readable")).orderBy("file", "line_no")
             .select(F.concat(name, F.lit(":"), F.col("line_no").cast("string"), F.lit(" unreadable JSON line, skipped")).alias("warning")))
 
 
