@@ -294,7 +294,7 @@ def _entities(t):
 
 
 def texts(t):
-    return t.raw("documents").select(F.col("doc_id").alias("text_id"), "text", F.lit(None).cast("string").alias("side"), F.col("lang").alias("pack"))
+    return t.raw("documents").select(F.col("doc_id").alias("text_id"), "text", F.when(F.col("doc_id") % 2 == 0, "Terran").otherwise("Zerg").alias("side"), F.col("lang").alias("pack"))
 
 
 @query("j16_dictionary_mentions", "SELECT DISTINCT doc_id AS text_id, entity FROM tokens JOIN entities ON lower(w) = lower(entity) OR lower(w) = lower(entity) || 's'", "tokens", "entities")
@@ -307,6 +307,10 @@ WITH m AS (SELECT doc_id, bool_or(air) AS air, bool_or(cloaked) AS cloaked, bool
  x AS (SELECT d.doc_id, d.lang, d.text, m.doc_id IS NOT NULL AS named, coalesce(m.air, false) AS air, coalesce(m.cloaked, false) AS cloaked, coalesce(m.detector, false) OR regexp_matches(d.text, '(?i)(^|[^\p{L}\p{N}_])scan([^\p{L}\p{N}_]|$)') AS answer FROM documents d LEFT JOIN m USING (doc_id)),
  issues AS (SELECT doc_id, 'Erreur' AS level, 'invisible sans nom' AS rule FROM x WHERE regexp_matches(text, '(?i)invisible|cloak|enterr') AND NOT cloaked AND NOT answer
   UNION ALL SELECT doc_id, 'Erreur', 'anti-aérien sans air' FROM x WHERE regexp_matches(text, '(?i)anti[- ]a[ée]rien|dans les airs|tire en l''air') AND NOT air
+  UNION ALL SELECT doc_id, 'Erreur', 'détection mal attribuée' FROM x WHERE NOT (regexp_matches(text, '(?i)invisible|cloak|enterr') AND NOT cloaked AND NOT answer) AND regexp_matches(text, '(?i)détect') AND named AND NOT cloaked AND NOT answer
+  UNION ALL SELECT doc_id, 'Erreur', 'supply d''avant-patch' FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b\d{1,2}\s*(hatch|pool|gate|rax|nexus|ouvriers?|drones?)\b')) FROM x)
+  UNION ALL SELECT doc_id, 'Erreur', 'mauvais camp' FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:tes|ton|ta|mes|mon|ma|nos|notre)\s+([A-Za-zÀ-ÿ][\p{L}\p{N}_''’-]*)', 1)) AS word FROM x WHERE doc_id % 2 = 0)
+    JOIN entities ON lower(entity) = lower(word)
   UNION ALL SELECT doc_id, 'Doute', 'sans ancrage' FROM x WHERE NOT named)
 """
 
@@ -314,7 +318,7 @@ WITH m AS (SELECT doc_id, bool_or(air) AS air, bool_or(cloaked) AS cloaked, bool
 @query("v13_text_claims", _CLAIM + "SELECT doc_id AS text_id, level, rule FROM issues", "tokens", "entities")
 def v13(t):
     none = t.spark.createDataFrame([], "term string")
-    return L.check_claims(texts(t), entities(t), none).filter("rule NOT IN ('unité inconnue', 'supply d''avant-patch', 'détection mal attribuée')").select("text_id", "level", "rule")
+    return L.check_claims(texts(t), entities(t), none).filter("rule <> 'unité inconnue'").select("text_id", "level", "rule")
 
 
 @query("v13_unknown_names")
@@ -328,7 +332,7 @@ SELECT lang AS pack, count(*) AS texts, count(*) FILTER (p.doc_id IS NULL) AS cl
 FROM documents LEFT JOIN p USING (doc_id) GROUP BY lang""", "tokens", "entities")
 def v14(t):
     none = t.spark.createDataFrame([], "term string")
-    issues = L.check_claims(texts(t), entities(t), none).filter("rule NOT IN ('unité inconnue', 'supply d''avant-patch', 'détection mal attribuée')")
+    issues = L.check_claims(texts(t), entities(t), none).filter("rule <> 'unité inconnue'")
     return L.lint_summary(texts(t), issues)
 
 
