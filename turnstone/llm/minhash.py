@@ -5,11 +5,11 @@ linked with nothing); A-Z are lowered. Documents with equal sets form a class, r
 one row. Each representative gets ``BANDS * ROWS`` minima of universal hash functions and one key per band; two representatives
 with similarity 0.85 share no key with probability 8e-7.
 
-No bucket is turned into pairs. Round one compares each representative with one other, the smallest of a bucket that it meets in most
-bands. Later rounds look only at buckets whose members are in several components still, and compare one pivot per bucket, another in
-each round, with the members of other components. What is left is settled exactly: members of one bucket in different components
-are all compared, so no link that joins components is lost once two documents share a band. Pairs inside a component are not needed.
-Every comparison checks sizes and the byte signatures first and then the full sets.
+No bucket is turned into pairs. Representatives connected by common bands form a group; its members are cut into blocks, and a task
+compares two blocks on their full sets and returns a spanning forest of the links. Groups of more than ``LARGE`` are first thinned:
+each member is compared with the smallest of the bucket that it meets in most bands, then bucket by bucket one pivot, another in
+each round, with the members of other components, after a look at sizes and byte signatures; the buckets that still hold several
+components are then settled in blocks like a group. Every pair that shares a band is compared or already connected.
 
 Rows with null id take part in no link and keep a null component. Rows that repeat an id and text get equal results; an id that
 comes with several texts is linked through one of them, the others stand alone. Other columns are not read. Empty tables give no rows.
@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.llm.base import stored, text_or_empty
+from turnstone.llm.base import release, stored, text_or_empty
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
 PERCENT = 85
 SURE = 0.25               # a signature this far below the similarity asked for settles a pair: over 7 standard errors
-PIVOTS, LINEAR = 4, 8   # rounds by pivot; settle at once while pairs are at most so many times the rows
+TILE, LARGE = 256, 8192   # documents of a block; a group of more is first thinned by pivots
+PIVOTS, LINEAR = 4, 8     # rounds by pivot; stop while open pairs are at most so many times the rows
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20_240_607)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,8 +84,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             sizes, digests, bands, marks = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                found = shingle_set(text)
+            for text in batch.column("text"):
+                found = shingle_set(text.as_py())
                 sizes.append(len(found))
                 if not len(found):
                     digests.append(None), bands.append(None), marks.append(None)
@@ -95,6 +96,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
                 names=["doc_id", "text_id", "n_shingles", "set_id", "bands", "marks"])
+        release()
 
     return rows.mapInArrow(run, f"doc_id {id_type}, text_id bigint, n_shingles bigint, set_id binary, bands array<bigint>, marks binary")
 
@@ -108,7 +110,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
         tool = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            small = [tool.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+            small = [tool.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array(small, pa.binary())], names=["node", "text_id", "small"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -194,49 +196,113 @@ def _across_pivot(members: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
-def _across_all(members: DataFrame) -> DataFrame:
-    """All pairs of one bucket and different components."""
-    left = members.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = members.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
-    return left.join(right, "bucket").filter("a < b and ca <> cb").select("a", "b").distinct()
+def tile_links(members: DataFrame, texts: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+    """Edges ``a, b`` that connect what is linked inside each group of ``members`` (``grp, node, size``).
 
+    A group's members are cut into blocks of about ``tile``; a task compares two blocks on full sets, all at once by counting common
+    shingles with matrix products, and returns a spanning forest: no more rows than members.
+    """
+    blocks = F.ceil(F.col("size") / tile).cast("int")
+    mine = F.pmod(F.xxhash64("node", F.lit(5)), blocks).cast("int")
+    rows = (members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")}).select("grp", "low", "high", "node", "mine"))
+    met = rows.join(texts.select("node", "small"), "node")
+    id_type = met.schema["node"].dataType
 
-def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Compared pairs ``a, b, linked, similarity`` among representatives (``node, text_id, n, bands, marks``): every link that can join
-    two components, and those of the first rounds."""
-    spread = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
-    shared = spread.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("members")).filter("members > 1")
-    buckets = stored(spread.join(shared.select("bucket", "first"), "bucket"), "minhash-buckets")
-    texts = stored(texts_of(docs, nodes.join(buckets.select("node").distinct(), "node")), "minhash-texts")
+    def run(found: pa.Table) -> pa.Table:
+        import zstandard
+
+        tool = zstandard.ZstdDecompressor()
+        found = found.sort_by("node")
+        nodes, mine = found.column("node").to_pylist(), np.array(found.column("mine").to_pylist())
+        sets = [shingle_set(tool.decompress(t).decode("utf-8", "surrogatepass")) for t in found.column("small").to_pylist()]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        both = common(sets)
+        linked = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (both > 0)
+        if len(set(mine.tolist())) > 1:
+            linked &= mine[:, None] != mine[None, :]            # pairs inside a block belong to its own tile
+        up, a, b = list(range(len(nodes))), [], []
+
+        def top(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for x, y in zip(*np.nonzero(np.triu(linked, 1))):
+            p, q = top(int(x)), top(int(y))
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                a.append(nodes[x]), b.append(nodes[y])
+        kind = found.schema.field("node").type
+        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+
+    return met.groupBy("grp", "low", "high").applyInArrow(run, f"a {id_type.simpleString()}, b {id_type.simpleString()}")
+
+
+def common(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections."""
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    use = shared[which]
+    row, place = row[use], place[which[use]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    for start in range(0, int(shared.sum()), columns):
+        lo, hi = np.searchsorted(place, [start, start + columns])
+        part = np.zeros((len(sets), columns), np.float32)
+        part[row[lo:hi], place[lo:hi] - start] = 1
+        out += (part @ part.T).astype(np.int64)
+    return out
+
+
+def _large_groups(buckets: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Edges from comparisons with pivots, and what these leave open, as groups for tiles: the buckets with several components."""
     best = F.max(F.struct("shared_bands", (-F.col("first")).alias("f")))
     star = buckets.filter("first <> node").groupBy("node", "first").agg(F.count("*").alias("shared_bands")).groupBy("node").agg(best.alias("best"))
     seen = stored(compare(star.select((-F.col("best.f")).alias("a"), F.col("node").alias("b")), texts, percent), "minhash-compared")
-    buckets, turn = buckets.drop("first"), 0
-    while True:
+    buckets = buckets.drop("first")
+    for turn in range(PIVOTS + 1):
         members, rows, pairs = _open(buckets, components(seen.filter("linked")))
-        if not pairs:
-            return seen
-        last = turn == PIVOTS or pairs <= LINEAR * rows       # few enough to settle all at once
-        members = stored(members, "minhash-open")
-        new = (_across_all(members) if last else _across_pivot(members, turn)).join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        if turn == PIVOTS or pairs <= LINEAR * rows:
+            break
+        new = _across_pivot(stored(members, "minhash-open"), turn).join(seen.select("a", "b"), ["a", "b"], "left_anti")
         seen = stored(seen.unionByName(compare(new, texts, percent)), "minhash-compared")
-        turn += 1
-        if last:
-            return seen
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    return seen.filter("linked").select("a", "b"), members.join(sizes, "bucket").select(F.col("bucket").alias("grp"), "node", "size")
+
+
+def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Edges ``a, b`` among representatives (``node, text_id, n, bands, marks``) that connect every linked pair which shares a band."""
+    spread = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
+    shared = spread.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("members")).filter("members > 1")
+    buckets = stored(spread.join(shared.select("bucket", "first"), "bucket"), "minhash-buckets")
+    near = components(buckets.filter("first <> node").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
+    near = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct())
+    sized = stored(near.join(near.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("size")), F.col("component") == F.col("c")).drop("c"), "minhash-near")
+    texts = stored(texts_of(docs, nodes.join(sized.select("node"), "node")), "minhash-texts")
+    edges = tile_links(sized.filter(F.col("size") <= LARGE).select(F.col("component").alias("grp"), "node", "size"), texts, percent)
+    large = sized.filter(F.col("size") > LARGE).select("node")
+    if large.take(1):
+        by_pivot, left = _large_groups(stored(buckets.join(large, "node"), "minhash-large"), texts, percent)
+        edges = edges.unionByName(by_pivot).unionByName(tile_links(left, texts, percent))
+    return stored(edges, "minhash-edges")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per row ``doc_id, n_shingles, component_id, kept``; ``class_id``, the smallest id with the same set; ``verified_links`` of the class."""
+    """Per row ``doc_id, n_shingles, component_id, kept``, and ``class_id``, the smallest id with the same set."""
     sketch = stored(sketches(docs), "minhash-sketches")
     classes = sketch.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(
         F.min(F.struct("doc_id", "text_id")).alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     nodes = stored(classes.select("set_id", F.col("least.doc_id").alias("node"), F.col("least.text_id").alias("text_id"), "n", "bands", "marks")
                    .dropDuplicates(["node"]), "minhash-nodes")
-    found = links(docs, nodes, percent).filter("linked")
-    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").count()
-    named = nodes.select("set_id", "node").join(components(found), "node", "left").join(ends, "node", "left").select(
-        F.col("set_id").alias("s"), F.col("node").alias("class_id"), F.coalesce("component", "node").alias("class_component"), F.col("count").alias("verified_links"))
+    found = components(links(docs, nodes, percent))
+    named = nodes.select("set_id", "node").join(found, "node", "left").select(
+        F.col("set_id").alias("s"), F.col("node").alias("class_id"), F.coalesce("component", "node").alias("class_component"))
     component = F.coalesce("class_component", "doc_id")
     return (sketch.drop("bands", "marks").join(named, F.col("set_id") == F.col("s"), "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
-                    F.col("doc_id").eqNullSafe(component).alias("kept"), "class_id", F.coalesce("verified_links", F.lit(0)).alias("verified_links")))
+                    F.col("doc_id").eqNullSafe(component).alias("kept"), "class_id"))

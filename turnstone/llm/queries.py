@@ -30,7 +30,7 @@ def op2_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "class_id", "verified_links")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
 def tokenizer(name: str) -> str:
