@@ -49,8 +49,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, words: bool = False, end_id: in
         encode = encoder(tokenizer_path, words, end_id).encode
         for batch in batches:
             row, no, starts, lengths, sums, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                data = encode(text)
+            for i, text in enumerate(batch.column("text")):
+                data = encode(text.as_py())
                 for k, (start, length) in enumerate(cut(len(data) // 4, size)):
                     part = data[4 * start:4 * (start + length)]
                     row.append(i), no.append(k), starts.append(start), lengths.append(length), sums.append(zlib.crc32(part))

@@ -84,8 +84,8 @@ def write_planes(docs: DataFrame, path: str, tokenizer_path: str, words: bool, e
                 list_of = pa.list_(batch.schema.field("doc_id").type)
                 shape = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()), ("ids", list_of), ("lengths", pa.list_(pa.int64())),
                                    ("block", pa.int64()), ("kind", pa.string()), ("chunks", pa.list_(CHUNK)), ("data", pa.binary())])
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                data = encode(text)
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                data = encode(text.as_py())
                 ids.append(doc_id), held.append(data)
                 n += len(data) // 4
                 if n >= segment:

@@ -66,6 +66,11 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
+def forget() -> None:
+    """Drop all encoders of this worker."""
+    _ENCODERS.clear()
+
+
 def encoder(path: str, words: bool, end_id: int) -> Encoder:
     """The worker's encoder; Spark reuses Python workers, so the file is read once per worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

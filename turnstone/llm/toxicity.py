@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,14 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstone.llm.base import text_or_empty
+from turnstone.llm import tokens
+from turnstone.llm.base import release, text_or_empty
 
 SAMPLE, FIT_CHARS = 1500, 20_000
 ORDINARY_BYTES, TOXIC_BYTES, FOLD_BYTES = 3 << 19, 1 << 13, 2 << 20
 GAIN, LONGEST = 5, 64
 LEVELS = (3, 5, 6, 7, 8, 10)
 CARRIER, SPACE = b"\x01window under two dictionaries\x02 ", zlib.crc32(b" ").to_bytes(4, "little")
-CACHE = 300_000
+CACHE = 200_000
 THRESHOLD = 0.3
 
 
@@ -185,14 +187,13 @@ def scorer(model: Model):
     """A function from texts to scores; keeps the distances of words it has seen, up to ``CACHE``."""
     distance, weights = Distance(model.ordinary, model.toxic), np.array(model.weights)
 
-    def score(texts: list[str]) -> np.ndarray:
-        if not weights.any():
-            return np.full(len(texts), 1 / (1 + np.exp(-model.intercept)))
-        x = np.empty((len(texts), len(weights)))
-        for i, text in enumerate(texts):
+    def score(texts: Iterable[str]) -> np.ndarray:
+        rows = []
+        for text in texts:
             if len(distance) > CACHE:
                 distance.clear()
-            x[i] = features(text, distance)
+            rows.append(features(text, distance) if weights.any() else [0.0] * len(weights))
+        x = np.array(rows).reshape(-1, len(weights))
         return 1 / (1 + np.exp(-np.clip(x @ weights + model.intercept, -30, 30)))
 
     return score
@@ -204,9 +205,12 @@ def score_rows(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     shape = T.StructType([f for f in rows.schema if f.name != "_scored"] + [T.StructField("tox_score", T.DoubleType())])
 
     def run(batches):
+        tokens.forget()
         score = scorer(model)
         for batch in batches:
-            out = pa.array(score(batch.column("_scored").to_pylist()), pa.float64())
+            out = pa.array(score(t.as_py() for t in batch.column("_scored")), pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], out], names=[*keep, "tox_score"])
+        del score
+        release()
 
     return rows.mapInArrow(run, shape)
