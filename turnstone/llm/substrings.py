@@ -86,9 +86,11 @@ def whole_texts(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, whole``: number of words and digest of all of them."""
     def run(batches):
         for batch in batches:
-            words = [split(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array([sha(w) for w in words], pa.binary())],
-                                             names=["doc_id", "n_words", "whole"])
+            sizes, digests = [], []
+            for text in batch.column("text"):                  # one text's words at a time
+                words = split(text.as_py())
+                sizes.append(len(words)), digests.append(sha(words))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n_words", "whole"])
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {_id_type(docs)}, n_words bigint, whole binary")
 
@@ -98,8 +100,8 @@ def anchors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     def run(batches):
         for batch in batches:
             row, key, found, at = [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                words = split(text)
+            for i, text in enumerate(batch.column("text")):
+                words = split(text.as_py())
                 if len(words) < window:
                     continue
                 places, grams = anchor_places(word_hashes(words), window, anchor)
@@ -128,10 +130,11 @@ def candidates(docs: DataFrame, wholes: DataFrame, window: int = WINDOW, anchor:
 
         tool = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([sha(split(t)) for t in texts], pa.binary()),
-                 pa.array([tool.compress(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], names=["id", "whole", "small"])
+            digests, small = [], []
+            for text in batch.column("text"):
+                data = text.as_py()
+                digests.append(sha(split(data))), small.append(tool.compress(data.encode("utf-8", "surrogatepass")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(small, pa.binary())], names=["id", "whole", "small"])
 
     texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(squeeze, f"id {_id_type(docs)}, whole binary, small binary")
     met = texts.join(places, (F.col("id") == F.col("doc_id")) & (F.col("whole") == F.col("of")))
