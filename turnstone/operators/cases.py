@@ -21,8 +21,8 @@ def privacy_guard(cases: DataFrame) -> DataFrame:
 def score_labels(verdicts: DataFrame, scale_table: DataFrame | None = None) -> DataFrame:
     """R09 — label of a closed scale to score 1, 0 or NULL; a label outside the scale becomes undecided."""
     scales = dims.label_scales(verdicts.sparkSession) if scale_table is None else scale_table
-    known = F.broadcast(scales.select(F.col("scale"), F.lower("label").alias("_label"), F.col("score").alias("_score"),
-                                      F.lit(True).alias("_known")))
+    known = scales.select(F.col("scale"), F.lower("label").alias("_label"), F.col("score").alias("_score"),
+                                      F.lit(True).alias("_known"))
     v = verdicts.withColumn("_label", F.lower("label")).join(known, ["scale", "_label"], "left")
     return (v.withColumns({"label": F.when(F.col("_known"), F.col("label")).otherwise(V.UNDECIDED), "score": F.col("_score")})
             .drop("_label", "_score", "_known"))
@@ -43,9 +43,9 @@ def run_campaign(cases: DataFrame, producers: DataFrame, evaluators: DataFrame)
     ``producers`` has one row per family; ``evaluators`` has one row per evaluator. Both are registries with
     a fixed number of rows. Returns the pairs to judge and a warning for each case without a producer.
     """
-    known = cases.join(F.broadcast(producers), "family")
-    pairs = known.join(F.broadcast(evaluators), "family")
-    orphans = cases.join(F.broadcast(producers), "family", "left_anti").select(
+    known = cases.join(producers, "family")
+    pairs = known.join(evaluators, "family")
+    orphans = cases.join(producers, "family", "left_anti").select(
         "case_id", F.concat(F.lit("no producer for family "), "family").alias("warning"))
     return pairs, orphans
 

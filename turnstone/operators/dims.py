@@ -26,4 +26,4 @@ def label_scales(spark: SparkSession) -> DataFrame:
 def with_spec(signals: DataFrame, spec_table: DataFrame | None = None) -> DataFrame:
     """J05 — signal rows with their spec and problem; the dimension has one row per signal key."""
     s = specs(signals.sparkSession) if spec_table is None else spec_table
-    return signals.join(F.broadcast(s), "signal", "left")
+    return signals.join(s, "signal", "left")
