@@ -36,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors reach: ``spark.checkpoint.dir``. Only a local session, as in tests, gets one of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not configured:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="turnstone-")
         spark.conf.set("spark.checkpoint.dir", configured)
