@@ -16,6 +16,9 @@ from turnstone.llm.base import stored, table
 from turnstone.llm.queries import held_out, tokenizer
 
 
+NEAR = 80            # per cent of common word shingles from which documents are near copies; op3 has its own
+
+
 def _whole(docs: DataFrame) -> DataFrame:
     """The row as one column ``row`` beside its id, source and text, so that no column of the input can clash."""
     return docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")
@@ -40,7 +43,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar word shingles the one with the smallest id stays. Rows without id stay."""
-    gone = minhash.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("id")).distinct()
+    gone = minhash.near_duplicates(docs, NEAR).filter("not kept").select(F.col("doc_id").alias("id")).distinct()
     return _whole(docs).join(gone, F.col("doc_id") == F.col("id"), "left_anti").select("row.*")
 
 

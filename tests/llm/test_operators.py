@@ -132,6 +132,34 @@ def test_components_match_brute_force(spark, sf, monkeypatch):
         assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_pipeline_drops_near_copies_from_eighty_per_cent(spark):
+    import corpus_pipeline
+
+    docs, planted = [], set()
+    for g in range(40):                                    # 100 shingles each; k edits five words apart cost 5 k of them
+        base = [f"g{g}w{i}" for i in range(104)]
+        docs.append((2 * g, " ".join(base)))
+        w = list(base)
+        for j in range(2 if g % 2 else 3):                 # similarity 90 / 110 = 0.818 or 85 / 115 = 0.739
+            w[10 + 20 * j] = f"g{g}e{j}"
+        docs.append((2 * g + 1, " ".join(w)))
+        if g % 2:
+            planted.add(2 * g + 1)
+    want = brute_components(docs, 80)
+    assert {d for d, (_, c) in want.items() if c != d} == planted and all(c == d for d, (_, c) in brute_components(docs, 85).items())
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()}
+    assert left == {d for d, _ in docs} - planted
+    assert all(r.doc_id == r.component_id for r in minhash.near_duplicates(frame).collect())
+
+
+def test_bands_follow_the_similarity():
+    assert [minhash.bands_for(p) for p in (85, 80, 100)] == [24, 36, 1]
+    assert all((1 - (p / 100) ** 5) ** minhash.bands_for(p) <= minhash.MISS for p in range(30, 100))
+    short, long = minhash.hash_functions(120), minhash.hash_functions(180)
+    assert all((a == b[:120]).all() and len(set(b.tolist())) == 180 for a, b in zip(short, long))
+
+
 def test_common_counts_intersections():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(12)]

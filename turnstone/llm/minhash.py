@@ -2,8 +2,9 @@
 
 A document's set holds the different runs of ``SHINGLE`` words (with fewer words, the whole sequence; without words it is empty and
 linked with nothing); A-Z are lowered. Documents with equal sets form a class, represented by its smallest id, so copies cost
-one row. Each representative gets ``BANDS * ROWS`` minima of universal hash functions and one key per band; two representatives
-with similarity 0.85 share no key with probability 8e-7.
+one row. Each representative gets ``ROWS`` minima of universal hash functions per band and one key per band. The number of bands
+follows the similarity asked for: two representatives that just reach it share no key with probability ``MISS`` at most (24 bands at
+0.85, 36 at 0.80).
 
 No bucket is turned into pairs. Representatives connected by common bands form a group; its members are cut into blocks, and a task
 compares two blocks on their full sets and returns a spanning forest of the links. Groups of more than ``LARGE`` are first thinned:
@@ -17,7 +18,9 @@ comes with several texts is linked through one of them, the others stand alone.
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +30,26 @@ from pyspark.sql import functions as F
 from turnstone.llm.base import release, stored, text_or_empty
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
-PERCENT = 85
+PERCENT, MISS = 85, 8e-7
 SURE = 0.25               # a signature this far below the similarity asked for settles a pair: over 7 standard errors
 TILE, LARGE = 256, 8192   # documents of a block; a group of more is first thinned by pivots
 PIVOTS, LINEAR = 4, 8     # rounds by pivot; stop while open pairs are at most so many times the rows
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_RNG = np.random.default_rng(20_240_607)
-_A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def bands_for(percent: int) -> int:
+    """Bands with which a pair of this similarity is missed with probability ``MISS`` at most."""
+    return 1 if percent >= 100 else math.ceil(math.log(MISS) / math.log1p(-(percent / 100) ** ROWS))
+
+
+@lru_cache(maxsize=8)
+def hash_functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of the first n universal hash functions."""
+    rng, step, a, b = np.random.default_rng(20_240_607), BANDS * ROWS, [], []
+    for _ in range(0, n, step):
+        a.append(rng.integers(1, 1 << 63, step, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        b.append(rng.integers(0, 1 << 63, step, dtype=np.uint64))
+    return np.concatenate(a)[:n], np.concatenate(b)[:n]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,23 +73,24 @@ def shingle_set(text: str, n: int = SHINGLE) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    best = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
+def minima(shingles: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    factors, summands = hash_functions(bands * ROWS)
+    best = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(shingles), 1024):
         part = shingles[start:start + 1024]
-        best = np.minimum(best, (_A[:, None] * part[None, :] + _B[:, None]).min(axis=1))
+        best = np.minimum(best, (factors[:, None] * part[None, :] + summands[:, None]).min(axis=1))
     return best
 
 
 def band_keys(best: np.ndarray) -> np.ndarray:
-    rows = best.reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
+    rows = best.reshape(-1, ROWS)
+    key = np.arange(len(rows), dtype=np.uint64)
     for i in range(ROWS):
         key = _mix(key * _ODD + rows[:, i])
     return key.view(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
     """``doc_id, text_id, n_shingles, set_id, bands, marks``: hash of the text, digest of the set, key per band, lowest byte of each minimum."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_id"), text_or_empty().alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -90,7 +106,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 if not len(found):
                     digests.append(None), bands.append(None), marks.append(None)
                     continue
-                best = minima(found)
+                best = minima(found, n_bands)
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(best)), marks.append(best.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -294,7 +310,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row ``doc_id, n_shingles, component_id, kept``, and ``class_id``, the smallest id with the same set."""
-    sketch = stored(sketches(docs), "minhash-sketches")
+    sketch = stored(sketches(docs, bands_for(percent)), "minhash-sketches")
     classes = sketch.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(
         F.min(F.struct("doc_id", "text_id")).alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     nodes = stored(classes.select("set_id", F.col("least.doc_id").alias("node"), F.col("least.text_id").alias("text_id"), "n", "bands", "marks")
