@@ -43,8 +43,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar word shingles the one with the smallest id stays. Rows without id stay."""
-    gone = minhash.near_duplicates(docs, NEAR).filter("not kept").select(F.col("doc_id").alias("id")).distinct()
-    return _whole(docs).join(gone, F.col("doc_id") == F.col("id"), "left_anti").select("row.*")
+    gone = minhash.near_duplicates(docs, NEAR).filter("not kept").select(F.col("doc_id").alias("id"), F.col("text_id").alias("key")).distinct()
+    rows = _whole(docs).withColumn("own_key", F.xxhash64("text"))
+    return rows.join(gone, (F.col("doc_id") == F.col("id")) & (F.col("own_key") == F.col("key")), "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,6 +91,19 @@ def test_minhash_of_odd_rows(spark):
     assert all(r.component_id is None for r in rows if r.doc_id is None) and {(r.n_shingles, r.kept) for r in rows if r.doc_id in (2, 3, 4)} == {(0, True)}
 
 
+def test_texts_that_share_an_id_are_linked_each(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(120)) for k in "abcd")
+    rows = [(1, a), (1, b), (1, c), (2, a), (3, b), (4, c + " z"), (5, a + " z"), (5, d), (6, d), (7, a.upper()), (1, b + " z")]
+    docs = documents(spark, [(i, t, "en", "s", 1) for i, t in rows])
+    found = minhash.near_duplicates(docs)
+    got = sorted((r.doc_id, r.component_id) for r in found.collect())
+    assert got == [(1, 1)] * 4 + [(2, 1), (3, 1), (4, 1), (5, 1), (5, 5), (6, 5), (7, 1)]
+    kept = sorted(r.doc_id for r in found.filter("kept").collect())
+    assert kept == [1, 1, 1, 5]                                        # one text each of a, b, c and d
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(i for i, _ in left) == kept and {t.split()[0] for _, t in left} == {"a0", "b0", "c0", "d0"} and (5, d) in left
+
+
 def test_substrings_of_odd_rows(spark):
     rows = RUN["substrings"](odd(spark), spark).collect()
     gone = {r.doc_id: r.n_removed for r in rows}

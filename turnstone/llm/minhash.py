@@ -12,8 +12,10 @@ each member is compared with the smallest of the bucket that it meets in most ba
 each round, with the members of other components, after a look at sizes and byte signatures; the buckets that still hold several
 components are then settled in blocks like a group. Every pair that shares a band is compared or already connected.
 
-Rows with null id take part in no link and keep a null component. Rows that repeat an id and text get equal results; an id that
-comes with several texts is linked through one of them, the others stand alone. Other columns are not read. Empty tables give no rows.
+Classes are linked under numbers of their own; a component is named by the smallest id in it. Rows with null id take part in no link
+and keep a null component. Rows that repeat an id and text get equal results; each text of an id that comes with several is linked on
+its own, and where several of them are in one component only one text (and its repeated rows) is kept. Other columns are not read.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -118,7 +120,7 @@ def sketches(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Compressed texts of the documents that take part in a comparison: what comparisons move."""
+    """``node, small, n, marks``: compressed texts of the representatives that take part in a comparison, which is what comparisons move."""
     rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_id"), "text").filter("text is not null and doc_id is not null")
 
     def squeeze(batches):
@@ -127,11 +129,11 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         tool = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             small = [tool.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array(small, pa.binary())], names=["node", "text_id", "small"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array(small, pa.binary())], names=["doc_id", "text_id", "small"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(squeeze, f"node {id_type}, text_id bigint, small binary")
-    return found.join(nodes.select("node", "text_id", "n", "marks"), ["node", "text_id"]).dropDuplicates(["node", "text_id"])
+    found = rows.mapInArrow(squeeze, f"doc_id {id_type}, text_id bigint, small binary")
+    return found.join(nodes.select("node", "doc_id", "text_id", "n", "marks"), ["doc_id", "text_id"]).drop("doc_id", "text_id").dropDuplicates(["node"])
 
 
 def compare(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -292,7 +294,7 @@ def _large_groups(buckets: DataFrame, texts: DataFrame, percent: int) -> tuple[D
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges ``a, b`` among representatives (``node, text_id, n, bands, marks``) that connect every linked pair which shares a band."""
+    """Edges ``a, b`` among representatives (``node, doc_id, text_id, n, bands, marks``) that connect every linked pair which shares a band."""
     spread = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
     shared = spread.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("members")).filter("members > 1")
     buckets = stored(spread.join(shared.select("bucket", "first"), "bucket"), "minhash-buckets")
@@ -309,16 +311,17 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per row ``doc_id, n_shingles, component_id, kept``, and ``class_id``, the smallest id with the same set."""
+    """Per row ``doc_id, text_id, n_shingles, component_id, kept``, and ``class_id``, the smallest id with the same set."""
     sketch = stored(sketches(docs, bands_for(percent)), "minhash-sketches")
     classes = sketch.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(
         F.min(F.struct("doc_id", "text_id")).alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
-    nodes = stored(classes.select("set_id", F.col("least.doc_id").alias("node"), F.col("least.text_id").alias("text_id"), "n", "bands", "marks")
-                   .dropDuplicates(["node"]), "minhash-nodes")
-    found = components(links(docs, nodes, percent))
-    named = nodes.select("set_id", "node").join(found, "node", "left").select(
-        F.col("set_id").alias("s"), F.col("node").alias("class_id"), F.coalesce("component", "node").alias("class_component"))
-    component = F.coalesce("class_component", "doc_id")
+    nodes = stored(classes.select("set_id", F.monotonically_increasing_id().alias("node"), "least.doc_id", "least.text_id", "n", "bands", "marks"), "minhash-nodes")
+    found = components(links(docs, nodes, percent)).withColumnRenamed("node", "of")
+    member = nodes.select("set_id", "node", F.struct("doc_id", "text_id").alias("least")).join(found, F.col("node") == F.col("of"), "left")
+    member = stored(member.select("set_id", "least", F.coalesce("component", "node").alias("component")), "minhash-members")
+    heads = member.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("head"))
+    named = member.join(heads, F.col("component") == F.col("c")).select(F.col("set_id").alias("s"), F.col("least.doc_id").alias("class_id"), "head")
+    component = F.coalesce("head.doc_id", "doc_id")
+    own = F.col("doc_id").eqNullSafe(component) & F.coalesce(F.col("text_id") == F.col("head.text_id"), F.lit(True))
     return (sketch.drop("bands", "marks").join(named, F.col("set_id") == F.col("s"), "left")
-            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
-                    F.col("doc_id").eqNullSafe(component).alias("kept"), "class_id"))
+            .select("doc_id", "text_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), own.alias("kept"), "class_id"))
