@@ -119,6 +119,13 @@ def test_index_of_odd_vectors(spark):
     assert multi_index.search(df.filter("false"), df, k=3).collect() == []
 
 
+def test_index_keeps_the_commonest_length(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(1, 6)] + [(6, [1.0, 1.0, 9.0]), (7, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in multi_index.search(df, df.filter("vec_id in (1, 6, 7)"), k=2).collect())
+    assert got == [(1, 1, 5), (1, 2, 4)]                              # the queries' own lengths do not count
+
+
 def test_urls_of_odd_pages(spark):
     rules = spark.createDataFrame([], "action string, host string, path string")
     pages = spark.createDataFrame([(1, None), (None, "http://x/"), (2, ""), (2, "http://" + "a." * 3000 + "com/" + "p" * 50_000)], "page_id long, url string").selectExpr("*", "'q' AS key", "'q' AS host", "'q' AS rule")

@@ -11,7 +11,7 @@ tables, have no near cells to speak of: nine tenths of the nearest are found in
 smaller share.
 
 No part take rows with null id, null, empty or zero vectors, vectors with null or non-finite components, and vectors of another length
-than the longest. Of rows that repeat a query's id the smallest vector asks; a query never finds its own id. Ties go to the smaller
+than the commonest one in the table (of equally common ones the largest). Of rows that repeat a query's id the smallest vector asks; a query never finds its own id. Ties go to the smaller
 id. Other columns are not read. Empty tables give no rows; with fewer than k candidates found, all are returned.
 """
 
@@ -33,13 +33,15 @@ SHARE, LEAST = 0.45, 2000
 BLOCK, CHUNK = 8192, 4096
 
 
-def sound(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
-    """``vec_id, vec`` (doubles) of the vectors that take part."""
+def sound(vectors: DataFrame, id_column: str, column: str, length: int | None = None) -> DataFrame:
+    """``vec_id, vec`` (doubles) of the vectors that take part: those of the given length, else of the commonest (of equally common ones the largest)."""
     rows = vectors.select(F.col(id_column).alias("vec_id"), F.col(column).cast("array<double>").alias("vec")).filter("vec_id is not null and size(vec) > 0")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.filter(finite & F.exists("vec", lambda x: x != 0))
-    longest = rows.agg(F.max(F.size("vec"))).first()[0] or 0
-    return rows.filter(F.size("vec") == longest)
+    if length is None:
+        found = rows.groupBy(F.size("vec").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("length")).first()
+        length = found["length"] if found else 0
+    return rows.filter(F.size("vec") == length)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -145,7 +147,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = S
     enough = max(least, math.ceil(share * sum(sizes)))
     places = spark.createDataFrame([(c, first[c], parts[c]) for c in range(cells) if sizes[c]], "of int, first int, parts int")
 
-    asked = sound(queries, id_column, column).filter(F.size("vec") == len(rows.first()["vec"])).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    asked = sound(queries, id_column, column, len(rows.first()["vec"])).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     chunks = max(1, math.ceil(asked.count() / chunk))
 
     def visit(batches):
