@@ -62,6 +62,17 @@ def test_scan_counts_and_numbers_lines(built):
     assert [w.split(" ")[0] for w in warned] == ["a.jsonl:5", "a.jsonl:12"]
 
 
+def test_long_results_with_one_start_have_different_refs(spark, built):
+    from turnstone.operators.transcript import tool_result_blocks
+
+    start = "x" * 2500
+    lines = [json.dumps({"content": [{"type": "tool_result", "tool_use_id": i, "content": start + i}]}) for i in ("a", "b")]
+    rows = spark.createDataFrame([(t,) for t in lines], "line string").select(F.parse_json("line").alias("message"))
+    got = tool_result_blocks(rows, "message", []).collect()
+    assert len({r.result_ref for r in got}) == 2 and {len(r.result_text) for r in got} == {2001}
+    assert all((r.result_ref is None) == (r.result_text is None) for r in built[1]["calls"].collect())
+
+
 def test_sessions_turns_and_calls(built):
     _, parts = built
     s = parts["sessions"].collect()

@@ -116,7 +116,7 @@ def run_events(sessions: DataFrame, turns: DataFrame, calls: DataFrame, steps: D
     args = X.call_target("input_json", max_arg) if capture_args else F.lit("")
     done = F.coalesce("result_at", F.timestamp_micros(F.unix_micros("called_at") + F.coalesce((F.col("duration_ms") * 1000).cast("bigint"), F.lit(1000).cast("bigint"))))
     ms = F.coalesce("duration_ms", (F.unix_micros(done) - F.unix_micros("called_at")) / 1000.0).cast("bigint")
-    result_ref = X.fingerprint("result_text") if "result_text" in calls.columns else None
+    result_ref = F.col("result_ref") if "result_ref" in calls.columns else X.fingerprint("result_text") if "result_text" in calls.columns else None
     totals = (steps.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_calls"), F.sum(read).alias("t_in"), F.sum("output_tokens").alias("t_out"))
               .join(follow.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_human")), "session_id", "left"))
     closed = sessions.join(turns.select("session_id").distinct(), "session_id", "left_semi").join(totals, "session_id", "left")

@@ -42,14 +42,17 @@ def tool_use_blocks(rows: DataFrame, message: str, keep: list[str]) -> DataFrame
             .filter(F.coalesce("tool_use_id", F.lit("")) != ""))
 
 
-def tool_result_blocks(rows: DataFrame, message: str, keep: list[str]) -> DataFrame:
-    """The tool-result blocks of user lines that are not human prompts."""
+def tool_result_blocks(rows: DataFrame, message: str, keep: list[str], max_text: int = 2000) -> DataFrame:
+    """The tool-result blocks of user lines that are not human prompts.
+
+    ``result_text`` is cut to ``max_text`` characters; ``result_ref`` is the fingerprint of the whole text.
+    """
     out = rows.select(*keep, F.posexplode(blocks_of(message)).alias("pos", "block"))
     content = F.try_variant_get("block", "$.content", "variant")
     text = F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get("block", "$.content", "string")).otherwise(F.to_json(content))
     return (out.filter(F.try_variant_get("block", "$.type", "string") == "tool_result")
             .withColumns({"tool_use_id": F.try_variant_get("block", "$.tool_use_id", "string"),
-                          "result_text": X.truncate(text, 2000)})
+                          "result_text": X.truncate(text, max_text), "result_ref": X.fingerprint(text)})
             .filter("tool_use_id IS NOT NULL"))
 
 
@@ -184,10 +187,10 @@ def build_sessions(records: DataFrame, hot_rows: int | None = None) -> dict[str,
     results = tool_result_blocks(seen.filter("type = 'user' AND NOT is_human"), "message",
                                  [*order, "timestamp", "tool_use_result"])
     results = results.select("tool_use_id", *order, F.col("pos").cast("bigint").alias("pos"),
-                             F.col("timestamp").alias("result_at"), "result_text",
+                             F.col("timestamp").alias("result_at"), "result_text", "result_ref",
                              F.to_json("block").alias("block_json"), F.to_json("tool_use_result").alias("extra_json"))
     matched = U.match_results(calls, results, ["tool_use_id"], [*order, "pos"],
-                              ["result_at", "result_text", "block_json", "extra_json"], seq_bucket(), hot_rows)
+                              ["result_at", "result_text", "result_ref", "block_json", "extra_json"], seq_bucket(), hot_rows)
     matched = U.classify_result(matched, F.try_parse_json("block_json"), F.try_parse_json("extra_json"))
     return {"sessions": sessions, "turns": turns, "steps": steps, "turn_skills": skills,
             "calls": matched.drop("block_json", "extra_json"), "records": seen}
