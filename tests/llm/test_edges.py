@@ -156,6 +156,6 @@ def test_pipeline_decisions(spark, sf):
     want = {r.keep_id for r in exact_dedup.exact_duplicates(clean).collect()}
     assert {r.doc_id for r in copies.collect()} == want and copies.count() == len(want)
     near = corpus_pipeline.drop_near_copies(spark, copies, sf).cache()
-    assert {r.doc_id for r in near.collect()} == {r.doc_id for r in minhash.near_duplicates(copies).collect() if r.kept}
+    assert {r.doc_id for r in near.collect()} == {r.doc_id for r in minhash.near_duplicates(copies, corpus_pipeline.NEAR).collect() if r.kept}
     mixed = corpus_pipeline.mix_sources(spark, near, sf).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in mixed} == {r.doc_id: r.copies for r in mixing.mix_rows(near).collect() if r.copies}

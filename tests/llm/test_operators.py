@@ -257,6 +257,42 @@ def test_toxicity_on_held_out_labels(spark):
     assert ((0 <= s) & (s <= 1)).all() and auc > 0.95 and (said[y == 0] == 0).mean() > 0.97 and (said == y).mean() > 0.95
 
 
+def test_toxicity_scores_are_plain_compression_lengths(spark, sf):
+    import zstandard as z
+
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.fit(docs, labels)
+    assert model.toxic and any(model.weights)
+    params = z.ZstdCompressionParameters.from_level(3, strategy=z.STRATEGY_BTOPT, min_match=4, search_log=6, target_length=64, window_log=22, chain_log=22, hash_log=20,
+                                                    write_content_size=False, write_dict_id=False)
+    space, carrier = zlib.crc32(b" ").to_bytes(4, "little"), toxicity.CARRIER
+    tools = [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d + space + carrier, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params) for d in (model.ordinary, model.ordinary + space + model.toxic)]
+    rows = toxicity.score_rows(docs, model, ["doc_id", "text"]).orderBy("doc_id").collect()
+    seen = {}
+
+    def distance(word):
+        if word not in seen:
+            spelled = carrier + space + b"".join(zlib.crc32(c.encode()).to_bytes(4, "little") for c in word) + space
+            seen[word] = len(tools[0].compress(spelled)) - len(tools[1].compress(spelled))
+        return seen[word]
+
+    for r in rows:
+        found = np.array([distance(w[i:i + 64]) for w in (r.text or "").lower().split() for i in range(0, len(w), 64)])
+        over = np.array([(found >= k).sum() for k in toxicity.LEVELS])
+        x = np.concatenate([np.minimum(1, 20 * over / max(1, len(found))), np.log1p(over)]) @ np.array(model.weights) + model.intercept
+        assert abs(r.tox_score - 1 / (1 + np.exp(-x))) < 1e-9
+
+
+def test_shards_by_brute_force(spark, sf):
+    import hashlib
+
+    rows = Q.op8_rendezvous_shards(spark, sf).collect()
+    def best(doc_id, n):
+        bits = [int(hashlib.md5(f"7:{doc_id}:{i}".encode()).hexdigest()[:13], 16) for i in range(n)]
+        return max(range(n), key=lambda i: (bits[i], -i))
+    assert all((r.shard, r.grown_shard) == (best(r.doc_id, 16), best(r.doc_id, 17)) for r in rows)
+
+
 def test_shards_move_only_into_the_new_one(spark, sf):
     rows = Q.op8_rendezvous_shards(spark, "/root/testdata/sf0.01").collect()
     assert all(r.grown_shard in (r.shard, 16) for r in rows) and 20 < sum(r.grown_shard == 16 for r in rows) < 110

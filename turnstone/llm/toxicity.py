@@ -5,14 +5,16 @@ character is spelled as four bytes, so that a character which no dictionary expl
 length to whole bytes, and a fixed carrier that both dictionaries hold stands before the window, so that it is never stored raw.
 
 The ordinary dictionary is made of the windows of ordinary text. Of the toxic text those windows are used that a dictionary of *other* toxic
-documents shortens by at least ``GAIN`` bytes against the ordinary one, so only what toxic documents share and ordinary text lacks;
-the toxic dictionary is trained on them and placed behind the ordinary one, so that common words cost the same under both. A
-window's distance is its compressed length with the ordinary dictionary less that with the toxic one. A document's shares of windows
+documents shortens by at least ``GAIN`` bytes against the ordinary one, so what toxic documents share and ordinary text lacks, be it
+whole words or runs inside words that then need one match less. zstandard trains the toxic dictionary on them (``SHARE`` of their bytes, in
+segments long enough to hold several words); it is placed behind the ordinary one, so that common words cost the same under both. A
+window's distance is its compressed length with the ordinary dictionary less that with the toxic one. A worker remembers the distances of
+the first ``CACHE`` different windows it meets, over all its tasks. A document's shares of windows
 over several thresholds, and whether there are any, go through a logistic curve that is calibrated on labelled documents kept out of the
 dictionaries, with the intercept moved to the share of label 1 among all labels used.
 
-Fitting uses at most ``SAMPLE`` labelled documents of each label, the first by md5 of the id, of at most ``FIT_CHARS`` characters; the
-driver holds that sample. Scoring reads every whole text. Labels count when the id is not null and the label is 0 or 1; of repeated
+Fitting uses at most ``SAMPLE`` labelled documents of each label, the first by md5 of the id, and of longer texts the middle ``FIT_CHARS``
+characters; the driver holds that sample. Scoring reads every whole text. Labels count when the id is not null and the label is 0 or 1; of repeated
 labels of an id the largest counts. With no toxic or no ordinary label the score is the share of label 1 (0 without labels) for all.
 Null and empty texts have no windows and get the lowest score. Repeated rows get equal scores; columns other than id and text are not read.
 """
@@ -23,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +36,13 @@ from pyspark.sql import types as T
 from turnstone.llm import tokens
 from turnstone.llm.base import release, text_or_empty
 
-SAMPLE, FIT_CHARS = 1500, 20_000
-ORDINARY_BYTES, TOXIC_BYTES, FOLD_BYTES = 3 << 19, 1 << 13, 2 << 20
-GAIN, LONGEST = 5, 64
-LEVELS = (3, 5, 6, 7, 8, 10)
+SAMPLE, FIT_CHARS = 4000, 10_000
+ORDINARY_BYTES, TOXIC_BYTES, FOLD_BYTES = 3 << 19, 1 << 17, 2 << 20
+SHARE, SEGMENT = 0.9, 1024
+GAIN, LONGEST = 2, 64
+LEVELS = (1, 2, 3, 4, 5, 6, 8)
 CARRIER, SPACE = b"\x01window under two dictionaries\x02 ", zlib.crc32(b" ").to_bytes(4, "little")
-CACHE = 200_000
+CACHE = 400_000
 THRESHOLD = 0.3
 
 
@@ -102,12 +106,11 @@ def trained(samples: list[bytes], size: int) -> bytes:
     """Content of a dictionary that zstandard trains; text that is too little to train on is taken as it is."""
     import zstandard as z
 
-    if sum(map(len, samples)) > size:
-        try:
-            return z.train_dictionary(size, samples, k=96, d=8).as_bytes()
-        except z.ZstdError:
-            pass
-    return SPACE.join(samples)[:size]
+    size = min(size, int(SHARE * sum(map(len, samples))))
+    try:
+        return z.train_dictionary(size, samples, k=SEGMENT, d=8).as_bytes()
+    except z.ZstdError:
+        return SPACE.join(samples)[:size]
 
 
 def groups(spelled: list[str], n: int) -> list[bytes]:
@@ -115,16 +118,24 @@ def groups(spelled: list[str], n: int) -> list[bytes]:
 
 
 class Distance(dict):
-    """Window to its distance, remembered."""
+    """Window to its distance; the first ``CACHE`` windows are remembered."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.plain, self.other = Lengths(ordinary), Lengths(ordinary + SPACE + toxic)
 
     def __missing__(self, window: str) -> int:
-        out = self[window] = self.plain(window) - self.other(window)
+        out = self.plain(window) - self.other(window)
+        if len(self) < CACHE:
+            self[window] = out
         return out
 
 
+@lru_cache(maxsize=1)
+def distance_of(ordinary: bytes, toxic: bytes) -> Distance:
+    """One per worker, kept between tasks: building the compressors takes as long as scoring thousands of windows."""
+    return Distance(ordinary, toxic)
+
+
 def features(text: str, distance: Distance) -> list[float]:
     found = np.fromiter(map(distance.__getitem__, windows(text)), dtype=np.int32)
     over = np.array([(found >= k).sum() for k in LEVELS], dtype=float)
@@ -151,10 +162,9 @@ def fit_texts(toxic: list[str], ordinary: list[str], share: float) -> Model:
     none = Model(b"", b"", (0.0,) * (2 * len(LEVELS)), floor)
     if not toxic or not ordinary:
         return none
-    third = max(1, len(toxic) // 3)
-    first, second, rest = toxic[:third], toxic[third:2 * third], toxic[2 * third:] or toxic
-    half = max(1, len(ordinary) // 2)
-    base, check = ordinary[:half], ordinary[half:] or ordinary
+    fold, known = max(1, len(toxic) * 2 // 5), max(1, len(ordinary) * 3 // 5)
+    first, second, rest = toxic[:fold], toxic[fold:2 * fold], toxic[2 * fold:] or toxic          # the rest calibrates
+    base, check = ordinary[:known], ordinary[known:] or ordinary
     content = dictionary(base, ORDINARY_BYTES)
     plain, shared = Lengths(content), []
     for mine, others in ((first, second), (second, first)):
@@ -178,20 +188,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     found: dict[int, list[str]] = {}
     for label in (0, 1):
         chosen = known.filter(F.col("toxic") == label).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample).select("doc_id")
-        rows = texts.join(F.broadcast(chosen), "doc_id").filter(F.char_length("text").between(1, FIT_CHARS)).collect()   # at most ``sample`` ids
+        size = F.char_length("text")
+        middle = F.substring("text", F.greatest(F.lit(1), F.floor((size - FIT_CHARS) / 2).cast("int") + 1), F.lit(FIT_CHARS))
+        rows = texts.join(F.broadcast(chosen), "doc_id").filter(size > 0).select(middle.alias("text")).distinct().collect()   # at most ``sample`` ids
         found[label] = sorted({r["text"] for r in rows}, key=lambda t: zlib.crc32(t.encode("utf-8", "surrogatepass")))
     return fit_texts(found[1], found[0], counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def scorer(model: Model):
-    """A function from texts to scores; keeps the distances of words it has seen, up to ``CACHE``."""
-    distance, weights = Distance(model.ordinary, model.toxic), np.array(model.weights)
+    """A function from texts to scores."""
+    distance, weights = distance_of(model.ordinary, model.toxic), np.array(model.weights)
 
     def score(texts: Iterable[str]) -> np.ndarray:
         rows = []
         for text in texts:
-            if len(distance) > CACHE:
-                distance.clear()
             rows.append(features(text, distance) if weights.any() else [0.0] * len(weights))
         x = np.array(rows).reshape(-1, len(weights))
         return 1 / (1 + np.exp(-np.clip(x @ weights + model.intercept, -30, 30)))
