@@ -93,13 +93,21 @@ def _write(spark, rows, folder):
     return df.schema
 
 
+def _final(rows):
+    """What the last watermark has passed is final: events before it, and spans idle until then."""
+    limit = max(_us(r[0]) for r in rows) - 600_000_000
+    return _simulate(sorted((r for r in rows if _us(r[0]) < limit), key=lambda r: (r[0], r[1])), limit - 1)
+
+
+def _rows(out):
+    return sorted(str((r.session_id, r.scope, r.id, r.name, r.parent, r.start_us, r.end_us, r.outcome)) for r in out.collect())
+
+
 def test_span_pairing_matches_simulation(spark, tmp_path):
     rows = _events()
     schema = _write(spark, rows, str(tmp_path / "in"))
     out = S.drain(S.pair_spans(S.read_events(spark, str(tmp_path / "in"), schema)), "pair")
-    got = sorted(str((r.session_id, r.scope, r.id, r.name, r.parent, r.start_us, r.end_us, r.outcome)) for r in out.collect())
-    # timers fire for what the final watermark has passed
-    assert got == _simulate(rows, _us(rows[-1][0]) - 600_000_000)
+    assert _rows(out) == _final(rows)
     assert {r.outcome for r in out.collect()} >= {"abandoned", "superseded", "completed", "failed", "ended", "ok"}
     assert out.filter("reason = 'recovered'").count() > 0
 
@@ -116,10 +124,51 @@ def test_state_survives_a_restart(spark, tmp_path):
 
     run()
     _write(spark, rows[60:], f"{base}/in")
-    out = run()
-    closed = lambda xs: [x for x in xs if "abandoned" not in x]
-    got = sorted(str((r.session_id, r.scope, r.id, r.name, r.parent, r.start_us, r.end_us, r.outcome)) for r in out.collect())
-    assert closed(got) == closed(_simulate(rows, 0))
+    assert _rows(run()) == _final(rows)
+
+
+@pytest.mark.parametrize("batch,files", [(5, 1), (10_000, 1), (5, 7)])
+def test_span_pairing_for_any_batches_and_files(spark, tmp_path, batch, files):
+    rows, rnd = _events(200, 11), random.Random(1)
+    mixed = rows[:]
+    rnd.shuffle(mixed)                                   # order within the input is free
+    parts = [mixed] if files == 1 else [rows[i * 30:(i + 1) * 30][::-1] for i in range(7)]
+    for part in parts:
+        schema = _write(spark, part, str(tmp_path / "in"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+        assert _rows(S.drain(S.pair_spans(stream), "pair")) == _final(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_turn_state_ends(spark, tmp_path):
+    """A long stream of short turns: the store holds the running turns only."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    base, start = str(tmp_path), dt.datetime(2026, 1, 1)
+    try:
+        for day in range(6):
+            rows = [(start + dt.timedelta(days=day, minutes=i), i, f"s{i % 2}", f"p{day}-{i % 5}", f"m{i % 3}", i, 2 * i, 0, 1) for i in range(20)]
+            df = spark.createDataFrame(rows, "ts timestamp, step_no bigint, session_id string, prompt_id string, model string, input_tokens bigint, cache_read_tokens bigint, cache_creation_tokens bigint, output_tokens bigint")
+            df.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(f"{base}/in")
+        kept = []
+
+        def put(batch, batch_id):
+            batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+
+        q = S.last_turns(stream).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start()
+        q.awaitTermination()
+        kept = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in q.recentProgress]
+        out = spark.read.parquet(f"{base}/out")
+        assert out.select("session_id", "prompt_id").distinct().count() == 60
+        last = out.filter("prompt_id = 'p3-1' AND session_id = 's1'").collect()          # steps 1 and 11
+        assert [(r.model, r.prompt_tokens, r.completion_tokens, r.cache_read_tokens) for r in last] == [("m2", 33, 2, 24)]
+        assert max(kept) <= 3 * 20 and len(kept) >= 6                                     # two days of turns and their timers, not six
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def test_hook_bodies_and_unknown_names(spark, tmp_path):
@@ -160,7 +209,13 @@ def test_delivery_retries_then_abandons(spark, tmp_path, failures, kept):
             raise ConnectionError("away")
         sent.extend(r.identifier for r in batch.collect())
 
-    S.deliver(S.read_events(spark, f"{base}/in", "ts timestamp, identifier string"), send, f"{base}/dead").awaitTermination()
+    def run(place):
+        S.deliver(S.read_events(spark, f"{base}/in", "ts timestamp, identifier string"), send, f"{base}/dead", checkpoint=f"{base}/{place}", commits=f"{base}/log").awaitTermination()
+
+    run("ck")
     assert len(sent) == kept == len(set(sent))
+    run("other")                                         # the batch is replayed, as after a lost checkpoint
+    log = spark.read.parquet(f"{base}/log").collect()
+    assert len(sent) == kept and {r.outcome for r in log} == {"sent" if kept else "abandoned"} and len({r.batch for r in log}) == len(log)
     if not kept:
         assert spark.read.parquet(f"{base}/dead").filter(F.col("reason").contains("away")).count() == 2

@@ -28,9 +28,10 @@ def sql(body: str, *names: str) -> str:
         return body.strip()
     text = body.strip()
     ctes = ",\n".join(f"{n} AS MATERIALIZED (\n{PARTS[n][1]}\n)" for n in done)          # shared fragments run once
+    recursive = "RECURSIVE " if any("WITH RECURSIVE" in PARTS[n][1] for n in done) else ""
     if text[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{text[5:]}"
-    return f"WITH {ctes}\n{text}"
+        return f"WITH {recursive}{ctes},\n{text[5:]}"
+    return f"WITH {recursive}{ctes}\n{text}"
 
 
 part("b1")("""

@@ -6,11 +6,15 @@ it stopped. Stateless parts are plain projections; only the pairing of open and
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -62,12 +66,19 @@ STATE_SCHEMA = "name string, parent string, opened_us bigint, seen_us bigint, re
 _US = 1_000_000
 
 
+EVENT_COLUMNS = ["us", "tie", "hook", "prompt_id", "tool_name", "tool_use_id", "tool_execution_time_ms", "agent_id", "agent_type", "model", "total_in",
+                 "output_tokens", "cache_read_tokens"]
+OUT_ROWS = 5_000
+
+
 class SpanPairing(StatefulProcessor):
-    """ST02-ST05, ST07, ST09 — open and close events of a session paired into spans.
+    """ST02-ST05, ST07, ST09 — open and close events of a session paired into spans, in event-time order.
 
-    Open spans of a session are few; they are loaded once per call and written back once. Events of a batch are taken in
-    the order they arrive, each chunk sorted by time. A span that is not seen for ``idle_hours`` of event time is closed
-    as abandoned, either by a later event of its session or by a timer when the watermark passes.
+    Events wait in state until the watermark passes them and are then taken in the order ``(us, tie)``, so the result does not
+    depend on how rows are spread over files, micro-batches and Arrow batches. An Arrow batch waits as one sorted entry under its first
+    and last time; release merges the entries, opening each only when the merge reaches its first row, and writes back what is not due. Open spans of
+    a session are few; they are loaded once per call and written back once. A span that is not seen for ``idle_hours`` of event time is
+    closed as abandoned. One timer per session wakes it for the first waiting event or idle span.
     """
 
     def __init__(self, idle_hours: float = V.IDLE_SESSION_HOURS):
@@ -76,6 +87,41 @@ class SpanPairing(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getMapState("open", "key string", STATE_SCHEMA)
+        self.waiting = handle.getMapState("waiting", "lo bigint, hi bigint, n bigint", "rows binary")
+        self.serial = handle.getValueState("serial", "n bigint")
+
+    def _wait(self, rows: pa.Table) -> None:
+        """Put sorted rows into the buffer as one entry."""
+        n = self.serial.get()[0] + 1 if self.serial.exists() else 0
+        self.serial.update((n,))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as writer:
+            writer.write_table(rows)
+        us = rows.column("us")
+        self.waiting.updateValue((us[0].as_py(), us[-1].as_py(), n), (sink.getvalue().to_pybytes(),))
+
+    def _due(self, limit: int) -> Iterator[dict]:
+        """Waiting events before ``limit`` in order; they leave the buffer."""
+        entries = sorted(k for k in self.waiting.keys() if k[0] < limit)
+        heads: list = []
+        while entries or heads:
+            while entries and (not heads or entries[0][0] <= heads[0][0]):
+                key = entries.pop(0)
+                rows = pa.ipc.open_stream(self.waiting.getValue(key)[0]).read_all()
+                self.waiting.removeKey(key)
+                ready = int(np.searchsorted(rows.column("us").to_numpy(), limit))
+                if ready < rows.num_rows:
+                    self._wait(rows.slice(ready))
+                found = iter(rows.slice(0, ready).to_pylist())
+                first = next(found)
+                heapq.heappush(heads, (first["us"], first["tie"], key[2], first, found))
+            _, _, n, event, found = heads[0]
+            yield event
+            following = next(found, None)
+            if following is None:
+                heapq.heappop(heads)
+            else:
+                heapq.heapreplace(heads, (following["us"], following["tie"], n, following, found))
 
     # one row per closed span, in SPAN_SCHEMA order
     def _span(self, session, key, s, end, outcome, usage=False):
@@ -93,12 +139,12 @@ class SpanPairing(StatefulProcessor):
         for key, s in spans.items():
             self.open.updateValue((key,), tuple(s.values()))
 
-    def _reset_timer(self, spans: dict[str, dict]) -> None:
+    def _reset_timer(self, spans: dict[str, dict], watermark: int) -> None:
         for (at,) in [(t,) for t in self.handle.listTimers()]:
             self.handle.deleteTimer(at)
-        if spans:
-            first = min(s["seen_us"] for s in spans.values()) + self.idle_us
-            self.handle.registerTimer(-(-first // 1000))
+        first = min([k[0] for k in self.waiting.keys()] + [s["seen_us"] + self.idle_us for s in spans.values()], default=None)
+        if first is not None:
+            self.handle.registerTimer(max(first // 1000, watermark + 1))
 
     def _sweep(self, session, spans, now, out) -> None:
         for key in [k for k, s in spans.items() if s["seen_us"] + self.idle_us <= now]:
@@ -172,30 +218,31 @@ class SpanPairing(StatefulProcessor):
                 s["output"] += int(e["output_tokens"])
                 s["cache"] += int(e["cache_read_tokens"])
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        session = key[0]
+    def _advance(self, session, watermark: int) -> Iterator[pd.DataFrame]:
+        """Everything that the watermark has passed: events in order, then idle spans."""
+        limit, out = watermark * 1000, []
         spans = self._load()
         before = set(spans)
-        for chunk in rows:
-            out: list = []
-            chunk = chunk.sort_values(["us", "tie"], kind="stable").astype(object).where(chunk.notna(), None)
-            for e in chunk.to_dict("records"):
-                self._event(session, e, spans, out)
-            if out:
+        for e in self._due(limit):
+            self._event(session, e, spans, out)
+            if len(out) >= OUT_ROWS:
                 yield _frame(out)
+                out = []
+        self._sweep(session, spans, limit - 1, out)
         self._store(before, spans)
-        self._reset_timer(spans)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        session, out = key[0], []
-        spans = self._load()
-        before = set(spans)
-        self._sweep(session, spans, expiredTimerInfo.getExpiryTimeInMs() * 1000, out)
-        self._store(before, spans)
-        self._reset_timer(spans)
+        self._reset_timer(spans, watermark)
         if out:
             yield _frame(out)
 
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for chunk in rows:
+            if len(chunk):
+                self._wait(pa.Table.from_pandas(chunk[EVENT_COLUMNS].sort_values(["us", "tie"], kind="stable"), preserve_index=False))
+        yield from self._advance(key[0], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key[0], timerValues.getCurrentWatermarkInMs())
+
     def close(self) -> None:
         pass
 
@@ -241,15 +288,74 @@ def failure_rate(events: DataFrame, width: str = "1 day", slide: str = "6 hours"
             .select(F.col("w.start").alias("start_at"), "calls", "failures"))
 
 
-def last_turns(steps: DataFrame) -> DataFrame:
-    """ST08 — usage of each turn so far; a step without a prompt is left out, so it never counts for another turn."""
+TURN_SCHEMA = "model string, prompt_tokens bigint, completion_tokens bigint, cache_read_tokens bigint"
+
+
+class TurnUsage(StatefulProcessor):
+    """ST08 — usage of a session's running turns, each forgotten when the watermark is ``keep_hours`` past its last step."""
+
+    def __init__(self, keep_hours: float = V.IDLE_SESSION_HOURS):
+        self.keep_us = int(keep_hours * 3600 * _US)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.turns = handle.getMapState("turns", "prompt_id string", f"last_us bigint, last_no bigint, {TURN_SCHEMA}")
+
+    def _wake(self, first: int | None, watermark: int) -> None:
+        """One timer for the turn that ends first; it may come early, then it is set anew."""
+        if first is not None:
+            self.handle.registerTimer(max((first + self.keep_us) // 1000, watermark + 1))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        seen: dict[str, tuple] = {}
+        for chunk in rows:
+            by_turn = chunk.sort_values(["us", "step_no"]).groupby("prompt_id")
+            last, most, total = by_turn[["us", "step_no", "model"]].tail(1), by_turn["total"].max(), by_turn[["output_tokens", "cache_read_tokens"]].sum()
+            for i, us, no, model in zip(chunk["prompt_id"].loc[last.index], last["us"], last["step_no"], last["model"]):
+                old = seen.get(i) or (self.turns.getValue((i,)) if self.turns.containsKey((i,)) else (-1, -1, None, 0, 0, 0))
+                newest = (us, no) >= old[:2]
+                seen[i] = (int(us) if newest else old[0], int(no) if newest else old[1], model if newest else old[2], max(old[3], int(most[i])),
+                           old[4] + int(total["output_tokens"][i]), old[5] + int(total["cache_read_tokens"][i]))
+        for i, s in seen.items():
+            self.turns.updateValue((i,), s)
+        if seen and not any(True for _ in self.handle.listTimers()):
+            self._wake(min(s[0] for s in seen.values()), timerValues.getCurrentWatermarkInMs())
+        names = [f.split()[0] for f in TURN_SCHEMA.split(", ")]
+        if seen:
+            yield pd.DataFrame([{"session_id": key[0], "prompt_id": i, **dict(zip(names, s[2:]))} for i, s in seen.items()])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        known = {k[0]: v[0] for k, v in self.turns.iterator()}
+        over = [i for i, last in known.items() if last + self.keep_us < watermark * 1000]
+        for i in over:
+            self.turns.removeKey((i,))
+        self._wake(min((last for i, last in known.items() if i not in set(over)), default=None), watermark)
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def last_turns(steps: DataFrame, watermark: str = "10 minutes", keep_hours: float = V.IDLE_SESSION_HOURS) -> DataFrame:
+    """ST08 — usage of each turn so far; a step without a prompt is left out, so it never counts for another turn.
+
+    A turn's state lives until the watermark is ``keep_hours`` past its last step, so the store holds running turns only.
+    """
     total = X.total_input("input_tokens", "cache_read_tokens", "cache_creation_tokens")
-    return (steps.filter(F.coalesce("prompt_id", F.lit("")) != "").groupBy("session_id", "prompt_id").agg(
-        F.max_by("model", F.struct("ts", "step_no")).alias("model"), F.max(total).alias("prompt_tokens"), F.sum("output_tokens").alias("completion_tokens"),
-        F.sum("cache_read_tokens").alias("cache_read_tokens")))
+    rows = steps.filter(F.coalesce("prompt_id", F.lit("")) != "").withWatermark("ts", watermark).select(
+        "session_id", "prompt_id", "ts", F.unix_micros("ts").alias("us"), F.col("step_no").cast("bigint").alias("step_no"), "model",
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for c, n in ((total, "total"), (F.col("output_tokens"), "output_tokens"), (F.col("cache_read_tokens"), "cache_read_tokens"))])
+    return rows.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=TurnUsage(keep_hours), outputStructType=f"session_id string, prompt_id string, {TURN_SCHEMA}", outputMode="update", timeMode="eventTime")
 
 
 # --------------------------------------------------------------------------------------- running
+def use_rocksdb(spark: SparkSession) -> None:
+    """State processors with several states and timers need this store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over everything available and read its output back."""
     spark = stream.sparkSession
@@ -276,26 +382,59 @@ def drain_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
 
 
 def deliver(stream: DataFrame, send: Callable[[DataFrame, int], None], abandoned: str, tries: int = 3, identifier: str = "identifier",
-            watermark: str = "1 hour", checkpoint: str | None = None):
+            watermark: str = "1 hour", checkpoint: str | None = None, commits: str | None = None):
     """ST11 — hand each micro-batch to ``send``; after the last try its rows go to the ``abandoned`` folder instead of stopping the stream.
 
-    Repeats of an identifier within the watermark are sent once.
+    Repeats of an identifier within the watermark are sent once. A batch that was sent or abandoned leaves a row in the ``commits`` table; a
+    restarted query that replays the batch finds it there and does not send it again.
     """
     spark = stream.sparkSession
     once = stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([identifier])
     place = checkpoint or f"{shared_dir(spark)}/deliver-{uuid.uuid4().hex}"
+    log = commits or f"{place}-commits"
+    done = {r["batch"] for r in _commits(spark, log).select("batch").collect()}          # one short row per batch
 
     def put(batch: DataFrame, batch_id: int) -> None:
+        if batch_id in done:
+            return batch.write.format("noop").mode("overwrite").save()          # the identifiers seen still go into the state
+        outcome = "sent"
         for attempt in range(tries + 1):
             try:
-                return send(batch, batch_id)
+                send(batch, batch_id)
+                break
             except Exception as e:  # noqa: BLE001 — any failure of the receiver counts as a try
                 reason = f"{type(e).__name__}: {e}"[:200]
-        batch.withColumn("reason", F.lit(reason)).write.mode("overwrite").parquet(f"{abandoned}/batch_id={batch_id}")
+        else:
+            outcome = "abandoned"
+            batch.withColumn("reason", F.lit(reason)).write.mode("overwrite").parquet(f"{abandoned}/batch_id={batch_id}")
+        spark.createDataFrame([(batch_id, outcome)], COMMIT_SCHEMA).coalesce(1).write.mode("append").parquet(log)
+        done.add(batch_id)
 
     return once.writeStream.foreachBatch(put).option("checkpointLocation", place).trigger(availableNow=True).start()
 
 
+COMMIT_SCHEMA = "batch bigint, outcome string"
+
+
+def _commits(spark: SparkSession, log: str) -> DataFrame:
+    try:
+        return spark.read.schema(COMMIT_SCHEMA).parquet(log)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMIT_SCHEMA)
+
+
+def abandoned_rows(spark: SparkSession, abandoned: str, schema) -> DataFrame:
+    """ST11 — the rows given up, with ``reason`` and ``batch_id``; none when the folder was never written."""
+    try:
+        return spark.read.option("basePath", abandoned).parquet(abandoned)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema).withColumns({"reason": F.lit(""), "batch_id": F.lit(0)})
+
+
 def read_events(spark: SparkSession, folder: str, schema, files: str = "*.parquet") -> DataFrame:
     """Parquet files of a folder as a stream."""
     return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
