@@ -1,4 +1,4 @@
-"""Divided scans must equal plain windows, for any limit and any number of partitions."""
+"""Prefix scans over ranges must equal plain windows, for any width of the ranges and any number of partitions."""
 
 import random
 
@@ -20,10 +20,14 @@ def scans():
         "after3": O.lead(F.struct("id", "v"), 3), "known": O.last_known(F.col("v")), "top": O.running_max(F.col("v"))}
 
 
-@pytest.mark.parametrize("limit,parts", [(1, 1), (30, 8), (10_000, 8)])
-def test_same_values_for_any_limit(spark, limit, parts):
+@pytest.mark.parametrize("width,parts,shuffled", [(1, 1, 8), (5, 8, 3), (5, 3, 11), (1000, 8, 8)])
+def test_same_values_for_any_ranges(spark, width, parts, shuffled):
     df = spark.createDataFrame(_rows(), "k string, id int, t int, v int").repartition(parts)
-    got = O.ordered_scan(df, ["k"], ["t", "id"], scans(), F.floor(F.col("t") / 5), limit).orderBy("id").collect()
+    spark.conf.set("spark.sql.shuffle.partitions", str(shuffled))
+    try:
+        got = O.ordered_scan(df, ["k"], ["t", "id"], scans(), F.floor(F.col("t") / width)).orderBy("id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
     want = []
     by_key = {}
     for r in sorted(_rows(), key=lambda r: (r[2], r[1])):
@@ -43,14 +47,14 @@ def test_same_values_for_any_limit(spark, limit, parts):
 
 def test_empty_input(spark):
     df = spark.createDataFrame([], "k string, id int, t int, v int")
-    assert O.ordered_scan(df, ["k"], ["t", "id"], scans(), F.col("t"), 1).count() == 0
+    assert O.ordered_scan(df, ["k"], ["t", "id"], scans(), F.col("t")).count() == 0
 
 
-@pytest.mark.parametrize("limit", [1, 1000])
-def test_as_of_takes_the_latest_at_or_before(spark, limit):
+@pytest.mark.parametrize("width", [1, 1000])
+def test_as_of_takes_the_latest_at_or_before(spark, width):
     left = spark.sql("SELECT k, id, timestamp_seconds(s) AS at FROM VALUES ('x', 1, 5), ('x', 2, 10), ('x', 3, 99), ('y', 4, 7) AS v(k, id, s)")
     right = spark.sql("SELECT k, timestamp_seconds(s) AS since, n, n AS tie FROM VALUES ('x', 6, 1), ('x', 10, 2), ('x', 10, 3), ('z', 1, 9) AS v(k, s, n)")
-    got = {r.id: r.n for r in intervals.as_of(left, right, ["k"], "at", "since", "tie", ["n"], hot_rows=limit).collect()}
+    got = {r.id: r.n for r in intervals.as_of(left, right, ["k"], "at", "since", "tie", ["n"], width).collect()}
     assert got == {1: None, 2: 3, 3: 3, 4: None}
 
 
@@ -60,5 +64,17 @@ def test_points_in_intervals_matches_brute_force(spark):
     spans = [(rnd.choice("ab"), i, (s := rnd.randint(0, 5000)), s + rnd.randint(-50, 900)) for i in range(40)]
     p = spark.createDataFrame(points, "k string, id int, s int").selectExpr("k", "id", "timestamp_seconds(s) AS at")
     w = spark.createDataFrame(spans, "k string, w int, a int, b int").selectExpr("k", "w", "timestamp_seconds(a) AS a", "timestamp_seconds(b) AS b")
-    got = {(r.id, r.w) for r in intervals.points_in_intervals(p, w, ["k"], "at", "a", "b", 300).collect()}
+    got = {(r.id, r.w) for r in intervals.points_in_intervals(p, w, ["k"], "at", "a", "b").collect()}
     assert got == {(i, j) for k, i, s in points for k2, j, a, b in spans if k == k2 and a <= s <= b}
+    latest = {r.id: (r.found, r.candidates) for r in intervals.latest_interval(p, w, ["k"], ["id"], "at", "a", "b", "w", "w").collect()}
+    held = {i: [j for k2, j, a, b in spans if k == k2 and a <= s <= b] for k, i, s in points}
+    assert latest == {i: (max(js), len(js)) for i, js in held.items() if js}
+
+
+def test_cover_is_small_and_exact(spark):
+    rnd = random.Random(9)
+    rows = [(i, (s := rnd.randint(0, 1 << 40)), s + rnd.choice([0, 1, 2, rnd.randint(0, 1 << 38)])) for i in range(200)] + [(200, 0, (1 << 45) - 1)]
+    df = spark.createDataFrame(rows, "i int, s long, e long").selectExpr("*", "timestamp_micros(s) AS a", "timestamp_micros(e) AS b")
+    for r in df.withColumn("nodes", intervals.cover("a", "b")).collect():
+        parts = sorted((n.node << n.level, (n.node + 1) << n.level) for n in r.nodes)
+        assert parts[0][0] == r.s and parts[-1][1] == r.e + 1 and all(x[1] == y[0] for x, y in zip(parts, parts[1:])) and len(parts) <= 90

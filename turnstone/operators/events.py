@@ -14,7 +14,6 @@ from turnstone.operators.tasks import completed
 from turnstone.session import stored
 
 MAIN, HUMAN = "principal", "humain"
-WINDOW_SLOT_SECONDS = 6 * 3600
 
 
 def select_sessions(sessions: DataFrame, prefix: str = "", everything: bool = False) -> DataFrame:
@@ -23,26 +22,25 @@ def select_sessions(sessions: DataFrame, prefix: str = "", everything: bool = Fa
     return picked if everything else picked.orderBy(F.desc("started_at"), F.desc("session_id")).limit(1)
 
 
-def agent_windows(calls: DataFrame, turns: DataFrame, sessions: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def agent_windows(calls: DataFrame, turns: DataFrame, sessions: DataFrame) -> DataFrame:
     """W10 — one window per agent launched from the main lane, named ``type`` and then ``type#2``, ``type#3`` …"""
     main = turns.filter(~F.col("is_sidechain")).select("session_id", "turn_no")
     spawns = (calls.filter(F.lower("name") == "task").join(main, ["session_id", "turn_no"])
               .withColumn("role", F.coalesce(X.json_field("input_json", "subagent_type"), F.lit("sous-agent"))))
     ranked = O.ordered_scan(spawns, ["session_id", "role"], ["turn_no", "call_no"], {"n": O.number()},
-                            F.floor(F.col("turn_no") / 100_000), hot_rows)
+                            O.runs("turn_no"))
     named = F.when(F.col("n") == 1, F.col("role")).otherwise(F.concat("role", F.lit("#"), F.col("n").cast("string")))
     return (ranked.join(sessions.select("session_id", F.col("ended_at").alias("_end")), "session_id")
             .select("session_id", named.alias("actor"), "role", F.col("called_at").alias("from_at"),
                     F.coalesce("result_at", "_end").alias("to_at"), "turn_no", "call_no"))
 
 
-def turn_actors(turns: DataFrame, windows: DataFrame, slot_seconds: int = WINDOW_SLOT_SECONDS) -> DataFrame:
+def turn_actors(turns: DataFrame, windows: DataFrame) -> DataFrame:
     """J04 — who acted in each turn: the latest listed window that holds its start, else the main lane; with the decision."""
     key = ["session_id", "turn_no"]
     w = windows.select("session_id", "actor", "from_at", "to_at", F.struct("turn_no", "call_no").alias("_listed"))
     agent = turns.filter("is_sidechain").select(*key, "started_at")
-    found = (intervals.points_in_intervals(agent, w, ["session_id"], "started_at", "from_at", "to_at", slot_seconds)
-             .groupBy(*key).agg(F.max_by("actor", "_listed").alias("_actor"), F.count(F.lit(1)).alias("candidates")))
+    found = intervals.latest_interval(agent, w, ["session_id"], key, "started_at", "from_at", "to_at", "_listed", "actor").withColumnRenamed("found", "_actor")
     j = turns.join(found, key, "left")
     n = F.coalesce("candidates", F.lit(0).cast("bigint"))
     decision = (F.when(~F.col("is_sidechain") | (n == 1), F.lit(None).cast("string"))
@@ -51,22 +49,21 @@ def turn_actors(turns: DataFrame, windows: DataFrame, slot_seconds: int = WINDOW
     return (j.withColumns({"actor": F.coalesce("_actor", F.lit(MAIN)), "candidates": n, "decision": decision}).drop("_actor"))
 
 
-def think_intervals(steps: DataFrame, turns: DataFrame, calls: DataFrame, idle_minutes: float = V.IDLE_GAP_MINUTES,
-                    hot_rows: int | None = None) -> DataFrame:
+def think_intervals(steps: DataFrame, turns: DataFrame, calls: DataFrame, idle_minutes: float = V.IDLE_GAP_MINUTES) -> DataFrame:
     """W11 — end of each model call: the next step, the end of the turn or the first tool call after it, whichever is first.
 
     A length that is not positive or exceeds the idle gap becomes one second. The first call after the step comes
     from an ordered scan over the instants of the turn, without a range join.
     """
     key = ["session_id", "turn_no"]
-    nxt = O.ordered_scan(steps, key, ["step_no"], {"_next": O.lead(F.col("at"))}, F.floor(F.col("step_no") / 100_000), hot_rows)
+    nxt = O.ordered_scan(steps, key, ["step_no"], {"_next": O.lead(F.col("at"))}, O.runs("step_no"))
     s = nxt.select(*key, "at", F.lit(0).alias("_kind"), F.col("step_no").alias("_no"), F.struct(*steps.columns, "_next").alias("_step"))
     c = calls.select(*key, F.col("called_at").alias("at"), F.lit(1).alias("_kind"), F.col("call_no").alias("_no"),
                      F.lit(None).cast(s.schema["_step"].dataType).alias("_step"))
     # backwards in time, steps ahead of calls of the same instant: the call seen last is the first one strictly after the step
     both = s.unionByName(c).withColumn("_t", -F.unix_micros("at"))
     seen = O.ordered_scan(both, key, ["_t", "_kind", "_no"], {"_call": O.last_known(F.when(F.col("_kind") == 1, F.col("at")))},
-                          F.floor(F.col("_t") / 60_000_000), hot_rows, steps.select(*key).unionByName(calls.select(*key)))
+                          F.floor(F.col("_t") / 3_600_000_000))
     j = (seen.filter("_kind = 0").select("_step.*", "_call")
          .join(turns.select(*key, F.col("ended_at").alias("_turn_end")), key))
     bound = F.coalesce("_next", "_turn_end")
@@ -78,15 +75,18 @@ def think_intervals(steps: DataFrame, turns: DataFrame, calls: DataFrame, idle_m
 
 def run_events(sessions: DataFrame, turns: DataFrame, calls: DataFrame, steps: DataFrame, capture_args: bool = True, capture_text: bool = False,
                max_arg: int = 160, idle_minutes: float = V.IDLE_GAP_MINUTES, eur_in: float = 0.0, eur_out: float = 0.0,
-               hot_rows: int | None = None) -> DataFrame:
+               windows: DataFrame | None = None, actors: DataFrame | None = None) -> DataFrame:
     """R07, W12 — the ordered event log of every session.
 
     Each kind of event is one projection; their union is numbered per run by time and emission rank.
-    The rank is a struct (phase, turn, item, part), so no driver-side counter is needed.
+    The rank is a struct (phase, turn, item, part), so no driver-side counter is needed. ``windows`` and ``actors`` (W10, J04) are built
+    and written here unless given.
     """
     key = ["session_id", "turn_no"]
-    windows = stored(agent_windows(calls, turns, sessions, hot_rows), "windows")        # used by the log and by the actors
-    actors = stored(turn_actors(turns, windows).select(*key, "actor"), "actors")
+    if windows is None:
+        windows = stored(agent_windows(calls, turns, sessions), "windows")
+    if actors is None:
+        actors = stored(turn_actors(turns, windows).select(*key, "actor"), "actors")
     no = F.lit(0).cast("bigint")
 
     def ev(at, actor, kind: str, phase: int, turn=None, item=None, sub: int = 0, origin: str = "observed", ref=None, group: int = 0,
@@ -110,7 +110,7 @@ def run_events(sessions: DataFrame, turns: DataFrame, calls: DataFrame, steps: D
     opened = sessions.join(first, "session_id")
     follow = turns.join(first.select("session_id", "first_turn"), "session_id").filter(
         (F.col("turn_no") > F.col("first_turn")) & ~F.col("is_sidechain") & ~X.is_blank("prompt"))
-    thinks = think_intervals(steps, turns, calls, idle_minutes, hot_rows).join(actors, key)
+    thinks = think_intervals(steps, turns, calls, idle_minutes).join(actors, key)
     read = X.total_input("input_tokens", "cache_read_tokens", "cache_creation_tokens")
     model = F.coalesce("model", F.lit("modèle"))
     args = X.call_target("input_json", max_arg) if capture_args else F.lit("")
@@ -142,9 +142,7 @@ def run_events(sessions: DataFrame, turns: DataFrame, calls: DataFrame, steps: D
     log = log.join(sessions.select("session_id", F.col("started_at").alias("_t0")), "session_id")
     log = log.withColumn("t", F.greatest(no, F.floor((F.unix_micros("at") - F.unix_micros("_t0")) / 1000).cast("bigint"))).drop("_t0")
     rank = ["at", "phase", "r_turn", "r_group", "r_item", "r_sub"]
-    one = ["session_id"]
-    sources = calls.select(one).unionByName(steps.select(one)).unionByName(turns.select(one))       # at most four events per row
-    out = O.ordered_scan(log, one, rank, {"_pos": O.number()}, F.date_trunc("minute", "at"), hot_rows, sources, 4)
+    out = O.ordered_scan(stored(log, "run-log"), ["session_id"], rank, {"_pos": O.number()}, O.hours("at"))        # read twice
     return out.select("session_id", (F.col("_pos") - 1).alias("seq"), "t", "actor", "origin", "kind", "ref", "tok_in", "tok_out", "calls", "payload")
 
 

@@ -8,25 +8,68 @@ from pyspark.sql import functions as F
 from turnstone.operators import ordered as O
 
 
-def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str,
-                        width_seconds: int) -> DataFrame:
+LEVELS = 62               # powers of two that a time in microseconds can hold
+
+
+def _node(us: Column, level: Column) -> Column:
+    return F.call_function("shiftright", us.cast("bigint"), level)
+
+
+def cover(start: str, end: str) -> Column:
+    """The dyadic nodes ``(level, node)`` that make up the instants from start to end, bounds included: at most two a level, disjoint.
+
+    At level k the nodes left to cover run from the first multiple of 2**k to the last one; an odd border is a node of its own.
+    """
+    s, e = F.unix_micros(start), F.unix_micros(end) + 1
+    length = F.greatest(e - s, F.lit(1))
+    levels = F.sequence(F.lit(0), F.least(F.lit(LEVELS), F.floor(F.log2(length.cast("double"))).cast("int") + 1))
+
+    def at(k: Column) -> Column:
+        lo, hi = -_node(-s, k), _node(e, k)                     # rounded up and down
+        node = lambda n: F.struct(k.alias("level"), n.cast("bigint").alias("node"))
+        left = F.when((lo < hi) & (lo % 2 != 0), node(lo))
+        right = F.when((lo < hi) & (hi % 2 != 0), node(hi - 1))
+        return F.array(left, right)
+
+    return F.filter(F.flatten(F.transform(levels, at)), lambda n: n.isNotNull())
+
+
+def _ancestors(points: DataFrame, nodes: DataFrame, at: str) -> DataFrame:
+    """Each point once per level that the intervals use, under its node there."""
+    used = nodes.agg(F.collect_set("level").alias("_levels"))                       # one row of at most LEVELS numbers
+    spread = points.crossJoin(F.broadcast(used)).withColumn("level", F.explode("_levels")).drop("_levels")
+    return spread.withColumn("node", _node(F.unix_micros(at), F.col("level")))
+
+
+def _nodes(intervals: DataFrame, start: str, end: str) -> DataFrame:
+    whole = intervals.filter(F.col(start) <= F.col(end))
+    return whole.withColumn("_n", F.explode(cover(start, end))).withColumns({"level": F.col("_n.level"), "node": F.col("_n.node")}).drop("_n")
+
+
+def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
     """Points joined to the intervals of the same keys that contain them (bounds included).
 
-    Intervals are spread over fixed time slots; a point meets only the intervals of its own slot, so
-    the join stays an equi join on ``(keys, slot)`` and a busy key is divided by time.
+    An interval is cut into dyadic nodes, a point looks up its ancestors: an equi join on ``(keys, level, node)`` whose output holds the
+    wanted pairs and nothing else, as exactly one node of an interval contains the point.
     """
-    def slot(c: Column) -> Column:
-        return F.floor(F.unix_micros(c) / (width_seconds * 1_000_000)).cast("bigint")
+    nodes = _nodes(intervals, start, end)
+    return _ancestors(points, nodes, at).join(nodes, [*keys, "level", "node"]).drop("level", "node")
+
 
-    left = points.withColumn("_slot", slot(F.col(at)))
-    right = intervals.filter(F.col(start) <= F.col(end)).withColumn(
-        "_slot", F.explode(F.sequence(slot(F.col(start)), slot(F.col(end)))))
-    return (left.join(right, [*keys, "_slot"])
-            .filter((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("_slot"))
+def latest_interval(points: DataFrame, intervals: DataFrame, keys: list[str], point: list[str], at: str, start: str, end: str, listed: str,
+                    take: str) -> DataFrame:
+    """Per point in an interval: ``found``, the value of ``take`` of the one listed last, and ``candidates``, how many hold it.
+
+    Nodes keep the count and the last listed interval, so a point meets at most one row per level whatever the number of intervals.
+    """
+    nodes = _nodes(intervals, start, end)
+    kept = nodes.groupBy(*keys, "level", "node").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct(F.col(listed).alias("l"), F.col(take).alias("t"))).alias("_last"))
+    met = _ancestors(points.select(*dict.fromkeys([*keys, *point, at])), nodes, at).join(kept, [*keys, "level", "node"])
+    return met.groupBy(*point).agg(F.max("_last").alias("_last"), F.sum("_n").alias("candidates")).select(*point, F.col("_last.t").alias("found"), "candidates")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, tie: str,
-          carry: list[str], bucket_seconds: int = 60, hot_rows: int | None = None) -> DataFrame:
+          carry: list[str], bucket_seconds: int = 3600) -> DataFrame:
     """Each left row with the columns of the latest right row at or before it (NULL when there is none).
 
     One union and one ordered scan: linear in the rows, no range join. ``tie`` orders right rows of equal time.
@@ -41,5 +84,5 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, righ
                     F.struct(*left.columns).alias("_left"))
     bucket = F.floor(F.unix_micros("_at") / (bucket_seconds * 1_000_000))
     scanned = O.ordered_scan(r.unionByName(l), keys, ["_at", "_side", "_tie"],
-                             {"_found": O.last_known(F.col("_right"))}, bucket, hot_rows)
+                             {"_found": O.last_known(F.col("_right"))}, bucket)
     return scanned.filter("_side = 1").select("_left.*", *[F.col(f"_found.{c}").alias(c) for c in carry])

@@ -1,23 +1,21 @@
-"""Ordered scans that survive a hot key.
-
-A plain window sends every row of a key to one task. When a single key holds a large share of all
-rows that task never ends. ``ordered_scan`` first counts rows per key (key columns only, combined on
-the map side). Keys under the limit use an ordinary window. Rows of hot keys are cut into buckets
-that follow the order; each bucket is scanned by its own task, one small summary row per bucket
-carries the state over, and the carried state is joined back on ``(key, bucket)``.
-Both ways give the same values, whatever the limit.
+"""Ordered scans as parallel prefix scans.
+
+A plain window sends every row of a key to one task; when a single key holds a large share of all rows that task never ends. Here every
+key is cut into ranges of its order (``bucket``). Each range is scanned by its own task, one small summary row per key and range goes
+through a scan over the ranges, and the carried state is joined back on ``(key, range)``. There is one plan for all keys: nothing is
+counted beforehand and no list of keys is made. A key's ranges, not its rows, meet in one task.
+
+The ranges come from the values themselves, so that both branches of the plan cut alike; ranges from a sample, as
+``repartitionByRange`` takes them, could differ between the branches.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
-
 
 @dataclass(frozen=True)
 class Scan:
@@ -52,103 +50,86 @@ def running_max(expr: Column) -> Scan:
     return Scan("max", expr)
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> list:
-    """Keys with more than ``hot_rows`` rows: at most rows / hot_rows of them, so the list is small."""
-    return df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys).collect()
+def hours(at: Column | str) -> Column:
+    """A range per hour, for scans in order of time."""
+    return F.floor(F.unix_micros(at) / 3_600_000_000)
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def runs(number_: Column | str, size: int = 100_000) -> Column:
+    """A range per run of ``size`` numbers, for scans in order of a number."""
+    return F.floor((F.col(number_) if isinstance(number_, str) else number_) / size)
 
 
-def ordered_scan(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Scan],
-                 bucket: Column, hot_rows: int | None = None, hot_from: DataFrame | None = None, weight: int = 1) -> DataFrame:
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Scan], bucket: Column) -> DataFrame:
     """Add one column per scan to ``df``.
 
-    ``order`` lists ascending columns that are unique within a key; ``bucket`` never decreases along
-    that order and decides where a hot key may be cut. When ``df`` is dear to compute, ``hot_from`` is a
-    cheaper table with the same keys, each row of which stands for at most ``weight`` rows of ``df``.
+    ``order`` lists ascending columns that are unique within a key; ``bucket`` never decreases along that order. ``df`` is read twice,
+    for the rows and for the summaries; write it first where it is dear to compute.
     """
-    limit = hot_rows if hot_rows is not None else int(df.sparkSession.conf.get("spark.turnstone.hotRows", str(HOT_ROWS)))
-    hot = hot_keys(df if hot_from is None else hot_from, keys, limit // weight)
-    if not hot:
-        return _plain(df, keys, order, columns)
-    hot_df = df.sparkSession.createDataFrame(hot, df.select(*keys).schema)
-    marker = F.broadcast(hot_df)          # at most rows / hot_rows keys
-    cold = df.join(marker, same(df, hot_df, keys), "left_anti")
-    heavy = df.join(marker, same(df, hot_df, keys), "left_semi")
-    return _plain(cold, keys, order, columns).unionByName(_bucketed(heavy, keys, order, columns, bucket))
-
-
-def _plain(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Scan]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    made = {
-        name: {
-            "number": lambda s: F.row_number().over(w).cast("bigint"),
-            "sum": lambda s: F.sum(s.expr).over(upto),
-            "lag": lambda s: F.lag(s.expr).over(w),
-            "lead": lambda s: F.lead(s.expr, s.n).over(w),
-            "last": lambda s: F.last(s.expr, ignorenulls=True).over(upto),
-            "max": lambda s: F.max(s.expr).over(upto),
-        }[scan.kind](scan)
-        for name, scan in columns.items()
-    }
-    return df.withColumns(made)
-
-
-def _bucketed(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Scan], bucket: Column) -> DataFrame:
-    at = [*keys, "_bucket"]
-    w = Window.partitionBy(*at).orderBy(*order)
+    # expressions are evaluated once, before the columns of the scan exist; a struct key compares NULLs as equal
+    given = df.withColumns({f"_x_{n}": s.expr for n, s in columns.items() if s.expr is not None} | {"_range": F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], bucket.alias("b"))})
+    local = given.withColumns(_local(columns, order))
+    far = any(s.kind == "lead" and s.n > 1 for s in columns.values())         # the first n rows of a range are told by their position
+    state = _carried(local if far else given, len(keys), order, columns)
+    joined = local.join(state, "_range")
+    return joined.withColumns({n: _combined(n, s) for n, s in columns.items()}).select(*df.columns, *columns)
+
+
+def _local(columns: dict[str, Scan], order: list[str]) -> dict[str, Column]:
+    """The scans inside one range."""
+    w = Window.partitionBy("_range").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*at)
-    rank = F.struct(*order)
-    # expressions are evaluated once, before the bucket column exists
-    rows = df.withColumns({f"_x_{n}": s.expr for n, s in columns.items() if s.expr is not None})
-    rows = rows.withColumn("_bucket", bucket)
-    rows = rows.withColumns({"_rn": F.row_number().over(w).cast("bigint"), "_cnt": F.count(F.lit(1)).over(whole)})
-
-    summary, carry = [F.count(F.lit(1)).alias("_n")], {}
-    by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
-    before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    made = {"_rn": F.row_number().over(w).cast("bigint")}
     for name, s in columns.items():
         x = F.col(f"_x_{name}")
-        if s.kind == "number":
-            carry[f"_c_{name}"] = F.sum("_n").over(before)
-        elif s.kind in ("sum", "max"):
-            agg = F.sum if s.kind == "sum" else F.max
-            summary.append(agg(x).alias(f"_s_{name}"))
-            carry[f"_c_{name}"] = agg(f"_s_{name}").over(before)
+        if s.kind in ("sum", "max"):
+            made[f"_l_{name}"] = (F.sum if s.kind == "sum" else F.max)(x).over(upto)
+        elif s.kind == "last":
+            made[f"_l_{name}"] = F.last(x, ignorenulls=True).over(upto)
         elif s.kind == "lag":
-            summary.append(F.max_by(F.struct(x.alias("v")), rank).alias(f"_s_{name}"))
-            carry[f"_c_{name}"] = F.lag(f"_s_{name}").over(by_bucket)
+            made[f"_l_{name}"] = F.lag(x).over(w)
         elif s.kind == "lead":
-            head = F.when(F.col("_rn") <= s.n, F.struct(F.col("_rn").alias("i"), x.alias("v")))
-            summary.append(F.array_sort(F.collect_list(head)).alias(f"_s_{name}"))    # at most n items
-            ahead = by_bucket.rowsBetween(1, s.n)
-            carry[f"_c_{name}"] = F.flatten(F.collect_list(f"_s_{name}").over(ahead))
-        elif s.kind == "last":
-            summary.append(F.max_by(x, F.when(x.isNotNull(), rank)).alias(f"_s_{name}"))
-            carry[f"_c_{name}"] = F.last(f"_s_{name}", ignorenulls=True).over(before)
+            made[f"_l_{name}"] = F.lead(x, s.n).over(w)
+    return made
+
 
-    state = rows.groupBy(*at).agg(*summary).withColumns(carry).select(*at, *carry)
-    joined = rows.join(state.withColumnsRenamed({k: f"_k_{k}" for k in at}),
-                       reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in at]), "left")
-    made = {}
+def _carried(given: DataFrame, n_keys: int, order: list[str], columns: dict[str, Scan]) -> DataFrame:
+    """``_range`` and, for each scan, what the other ranges of the key hand to this one."""
+    rank, summary, carry = F.struct(*order), [F.count(F.lit(1)).alias("_n")], {"_n": F.col("_n")}
+    along = Window.partitionBy(*[f"_range.k{i}" for i in range(n_keys)]).orderBy("_range.b")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
     for name, s in columns.items():
-        x, c = F.col(f"_x_{name}"), F.col(f"_c_{name}")
+        x, made = F.col(f"_x_{name}"), f"_s_{name}"
         if s.kind == "number":
-            made[name] = F.col("_rn") + F.coalesce(c, F.lit(0))
-        elif s.kind == "sum":
-            local = F.sum(x).over(upto)
-            made[name] = F.when(local.isNull(), c).when(c.isNull(), local).otherwise(local + c)
-        elif s.kind == "max":
-            made[name] = F.greatest(F.max(x).over(upto), c)
+            carry[f"_c_{name}"] = F.sum("_n").over(before)
+        elif s.kind in ("sum", "max"):
+            agg = F.sum if s.kind == "sum" else F.max
+            summary.append(agg(x).alias(made))
+            carry[f"_c_{name}"] = agg(made).over(before)
         elif s.kind == "lag":
-            made[name] = F.when(F.col("_rn") == 1, c["v"]).otherwise(F.lag(x).over(w))
+            summary.append(F.max_by(F.struct(x.alias("v")), rank).alias(made))
+            carry[f"_c_{name}"] = F.lag(made).over(along)
         elif s.kind == "lead":
-            over = (F.col("_rn") + s.n - F.col("_cnt")).cast("int")
-            made[name] = F.when(over > 0, F.get(c, over - 1)["v"]).otherwise(F.lead(x, s.n).over(w))
+            head = F.struct(F.col("_rn").alias("i"), x.alias("v"))
+            summary.append((F.min_by(F.array(F.struct(x.alias("v"))), rank) if s.n == 1 else F.array_sort(F.collect_list(F.when(F.col("_rn") <= s.n, head)))).alias(made))      # at most n items
+            carry[f"_c_{name}"] = F.flatten(F.collect_list(made).over(along.rowsBetween(1, s.n)))
         elif s.kind == "last":
-            made[name] = F.coalesce(F.last(x, ignorenulls=True).over(upto), c)
-    return joined.withColumns(made).select(*df.columns, *columns)
+            summary.append(F.max_by(x, F.when(x.isNotNull(), rank)).alias(made))
+            carry[f"_c_{name}"] = F.last(made, ignorenulls=True).over(before)
+    return given.groupBy("_range").agg(*summary).withColumns(carry).select("_range", *carry)
+
+
+def _combined(name: str, s: Scan) -> Column:
+    mine, c = F.col("_rn") if s.kind == "number" else F.col(f"_l_{name}"), F.col(f"_c_{name}")
+    if s.kind == "number":
+        return mine + F.coalesce(c, F.lit(0))
+    if s.kind == "sum":
+        return F.when(mine.isNull(), c).when(c.isNull(), mine).otherwise(mine + c)
+    if s.kind == "max":
+        return F.greatest(mine, c)
+    if s.kind == "last":
+        return F.coalesce(mine, c)
+    if s.kind == "lag":
+        return F.when(F.col("_rn") == 1, c["v"]).otherwise(mine)
+    over = (F.col("_rn") + s.n - F.col("_n")).cast("int")
+    return F.when(over > 0, F.get(c, over - 1)["v"]).otherwise(mine)

@@ -98,14 +98,14 @@ def regressions(now: DataFrame, baseline: DataFrame, metrics: list[str], toleran
     return j.filter(F.col("now") < F.col("baseline") - tolerance).withColumn("delta", F.bround(F.col("now") - F.col("baseline"), 4))
 
 
-def context_without_degradation(rows: DataFrame, order: list[str], bucket: Column, tolerance: float = 0.1, hot_rows: int | None = None) -> DataFrame:
+def context_without_degradation(rows: DataFrame, order: list[str], bucket: Column, tolerance: float = 0.1) -> DataFrame:
     """W16 — largest context up to which the running success rate stays within the tolerance of the overall rate.
 
     All rows form one sequence, so the scan is cut along the context and never runs in a single task.
     """
     usable = rows.filter("context_tokens IS NOT NULL").withColumn("_all", F.lit(1))
     ok = F.col("success").cast("bigint")
-    run = O.ordered_scan(usable, ["_all"], order, {"seen": O.number(), "ok": O.running_sum(ok)}, bucket, hot_rows)
+    run = O.ordered_scan(usable, ["_all"], order, {"seen": O.number(), "ok": O.running_sum(ok)}, bucket)
     overall = usable.agg(F.avg(F.col("success").cast("double")).alias("overall"))
     return (run.crossJoin(F.broadcast(overall))                      # one row
             .agg(F.max(F.when(F.col("ok") / F.col("seen") >= F.col("overall") - tolerance, F.col("context_tokens"))).alias("max_context_tokens"),

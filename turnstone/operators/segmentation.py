@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnstone.operators import ordered as O
 
 
-def pk(marks: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def pk(marks: DataFrame) -> DataFrame:
     """W17 — Pk error per document. ``marks``: doc_id, i (0-based), is_ref, is_hyp, one row per turn.
 
     Segment numbers come from an ordered scan; a turn meets the one k places later by an equi join on
@@ -16,7 +16,7 @@ def pk(marks: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """
     bucket = F.floor(F.col("i") / 100_000)
     seg = O.ordered_scan(marks, ["doc_id"], ["i"], {"_r": O.running_sum(F.col("is_ref").cast("bigint")),
-                                                  "_h": O.running_sum(F.col("is_hyp").cast("bigint"))}, bucket, hot_rows)
+                                                  "_h": O.running_sum(F.col("is_hyp").cast("bigint"))}, bucket)
     # turns before the first boundary belong to segment 0, like those after it
     seg = seg.select("doc_id", F.col("i").cast("bigint").alias("i"), F.greatest(F.lit(0), F.col("_r") - 1).alias("ref"),
                      F.greatest(F.lit(0), F.col("_h") - 1).alias("hyp"))
@@ -29,13 +29,13 @@ def pk(marks: DataFrame, hot_rows: int | None = None) -> DataFrame:
     return sizes.join(errors, "doc_id", "left").select("doc_id", "n", "k", F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce("_pk", F.lit(0.0))).alias("pk"))
 
 
-def judge_boundaries(marks: DataFrame, reasons: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
+def judge_boundaries(marks: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
     """V04 — verdict per document: boundaries missed and invented, Pk and the first turn at fault with its reason."""
     missed, invented = F.col("is_ref") & ~F.col("is_hyp"), F.col("is_hyp") & ~F.col("is_ref")
     counts = marks.groupBy("doc_id").agg(
         F.count_if(missed).alias("missed"), F.count_if(invented).alias("invented"),
         F.coalesce(F.min(F.when(missed, F.col("i"))), F.min(F.when(invented, F.col("i")))).alias("fault_at"))
-    out = counts.join(pk(marks, hot_rows).select("doc_id", "pk"), "doc_id")
+    out = counts.join(pk(marks).select("doc_id", "pk"), "doc_id")
     out = out.withColumn("label", F.when((F.col("missed") == 0) & (F.col("invented") == 0), "conforme").otherwise("non_conforme"))
     if reasons is not None:
         out = out.join(reasons.select("doc_id", F.col("i").alias("fault_at"), "reason"), ["doc_id", "fault_at"], "left")

@@ -24,11 +24,11 @@ def has_acceptance_cue(prompt, pattern: str = V.ACCEPTANCE_PATTERN) -> Column:
     return X.word_match(prompt, pattern)
 
 
-def next_calls(calls: DataFrame, keys: list[str], order: list[str], bucket: Column, hot_rows: int | None = None) -> DataFrame:
+def next_calls(calls: DataFrame, keys: list[str], order: list[str], bucket: Column) -> DataFrame:
     """Position of a call among those of its key, and the calls that follow it."""
     nxt = F.struct("name", "input_json")
     scans = {"idx": O.number()} | {f"next{i}": O.lead(nxt, i) for i in range(1, V.RETRY_HORIZON + 1)}
-    return O.ordered_scan(calls, keys, order, scans, bucket, hot_rows)
+    return O.ordered_scan(calls, keys, order, scans, bucket)
 
 
 def retry_kind() -> Column:
@@ -39,9 +39,9 @@ def retry_kind() -> Column:
                   F.when(again["input_json"].eqNullSafe(F.col("input_json")), "identical").otherwise("different"))
 
 
-def call_facts(calls: DataFrame, key: list[str], order: list[str], bucket: Column, hot_rows: int | None = None) -> DataFrame:
+def call_facts(calls: DataFrame, key: list[str], order: list[str], bucket: Column) -> DataFrame:
     """Everything the signals need from the calls of a key, as one partial aggregation."""
-    seq = (next_calls(calls, key, order, bucket, hot_rows)
+    seq = (next_calls(calls, key, order, bucket)
            .withColumns({"retry": retry_kind(), "verif": is_verification()}))
     n = F.col("name")
     whole = (n == "Read") & ~X.json_has_any("input_json", ["offset", "limit"])
@@ -64,12 +64,12 @@ def closes_on_verification() -> Column:
 
 def signals_wide(tasks: DataFrame, task_turns: DataFrame, calls: DataFrame, steps: DataFrame, turn_skills: DataFrame,
                  turns: DataFrame, agent_turns: DataFrame, context_window: int = V.CONTEXT_WINDOW,
-                 acceptance: str = V.ACCEPTANCE_PATTERN, hot_rows: int | None = None) -> DataFrame:
+                 acceptance: str = V.ACCEPTANCE_PATTERN) -> DataFrame:
     """G01-G19 — one row per task with the raw facts and the 19 values (NULL = undetermined)."""
     key = ["session_id", "task_no"]
     owner = task_turns.select("session_id", "turn_no", "task_no")
     mine = calls.join(owner, ["session_id", "turn_no"])
-    facts = call_facts(mine, key, ["turn_no", "call_no"], F.floor(F.col("turn_no") / CALL_BUCKET), hot_rows)
+    facts = call_facts(mine, key, ["turn_no", "call_no"], F.floor(F.col("turn_no") / CALL_BUCKET))
     total = X.total_input("input_tokens", "cache_read_tokens", "cache_creation_tokens")
     per_step = steps.join(owner, ["session_id", "turn_no"]).groupBy(*key).agg(
         F.count(F.lit(1)).alias("steps"), F.max(total).alias("peak"), F.sum(total).alias("read_tokens"),

@@ -42,11 +42,11 @@ def in_progress(stop) -> Column:
     return s.isNull() | (s == "tool_use")
 
 
-def boundary_decisions(turns: DataFrame, rules: BoundaryRules = BoundaryRules(), hot_rows: int | None = None) -> DataFrame:
+def boundary_decisions(turns: DataFrame, rules: BoundaryRules = BoundaryRules()) -> DataFrame:
     """W05 — for each main turn: does it open a task, and why. Rule order decides."""
     main = turns.filter(~F.col("is_sidechain"))
     seen = O.ordered_scan(main, ["session_id"], ["turn_no"],
-                          {"_prev": O.lag(F.struct("ended_at", "stop_reason"))}, turn_bucket(), hot_rows)
+                          {"_prev": O.lag(F.struct("ended_at", "stop_reason"))}, turn_bucket())
     # trimmed and lower-cased once; the rules below only refer to the two columns
     seen = seen.withColumn("_p", X.trimmed(F.coalesce(F.col("prompt"), F.lit("")))).withColumn("_lp", F.lower("_p"))
     prompt, lower = F.col("_p"), F.col("_lp")
@@ -73,21 +73,20 @@ def boundary_decisions(turns: DataFrame, rules: BoundaryRules = BoundaryRules(),
     return seen.withColumn("_d", decided).select(*turns.columns, "_d.is_new", "_d.rule", "_d.reason")
 
 
-def number_tasks(decided: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def number_tasks(decided: DataFrame) -> DataFrame:
     """W06 — task number as the running count of boundaries; decisions stay as rows."""
     out = O.ordered_scan(decided, ["session_id"], ["turn_no"],
-                         {"task_no": O.running_sum(F.col("is_new").cast("bigint"))}, turn_bucket(), hot_rows)
+                         {"task_no": O.running_sum(F.col("is_new").cast("bigint"))}, turn_bucket())
     opened = F.when(F.col("is_new"), F.lit("ouverture — ")).otherwise(F.lit("rattaché — "))
     return out.withColumns({"task_id": F.concat_ws("#", F.col("session_id").cast("string"), F.col("task_no").cast("string")),
                             "decision": F.concat(opened, F.col("reason"))})
 
 
-def attach_agent_turns(turns: DataFrame, task_turns: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def attach_agent_turns(turns: DataFrame, task_turns: DataFrame) -> DataFrame:
     """J03 — each agent turn goes to the task open at its start, else to the first task of its session."""
     starts = (task_turns.filter("is_new").select("session_id", "task_no", F.col("started_at").alias("task_start")))
     agents = turns.filter("is_sidechain")
-    hosted = intervals.as_of(agents, starts, ["session_id"], "started_at", "task_start", "task_no", ["task_no"],
-                             hot_rows=hot_rows)
+    hosted = intervals.as_of(agents, starts, ["session_id"], "started_at", "task_start", "task_no", ["task_no"])
     with_tasks = task_turns.select("session_id").distinct()
     return (hosted.join(with_tasks, "session_id", "left_semi")
             .withColumn("task_no", F.coalesce("task_no", F.lit(1).cast("bigint"))))
@@ -101,12 +100,9 @@ def drop_empty_turns(turns: DataFrame, calls: DataFrame, steps: DataFrame) -> Da
             .filter((F.coalesce("prompt", F.lit("")) != "") | F.col("_used")).drop("_used"))
 
 
-def active_time(marks: DataFrame, keys: list[str], cap_minutes: float = V.IDLE_GAP_MINUTES,
-                hot_rows: int | None = None) -> DataFrame:
+def active_time(marks: DataFrame, keys: list[str], cap_minutes: float = V.IDLE_GAP_MINUTES) -> DataFrame:
     """W04 — per key, the sum of the gaps between consecutive marks that are positive and within the cap."""
-    minute = F.date_trunc("minute", "at")
-    gaps = O.ordered_scan(marks.filter("at IS NOT NULL"), keys, ["at"], {"_before": O.lag(F.unix_micros("at"))},
-                          minute, hot_rows)
+    gaps = O.ordered_scan(marks.filter("at IS NOT NULL"), keys, ["at"], {"_before": O.lag(F.unix_micros("at"))}, O.hours("at"))
     gap = F.unix_micros("at") - F.col("_before")
     counted = F.when((gap > 0) & (gap <= int(cap_minutes * 60_000_000)), gap).otherwise(F.lit(0))
     return gaps.groupBy(*keys).agg(F.sum(counted).alias("active_us"))

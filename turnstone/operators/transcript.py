@@ -126,7 +126,7 @@ def mark_humans(records: DataFrame) -> DataFrame:
             .withColumn("is_sidechain", F.coalesce("is_sidechain", F.lit(False))))
 
 
-def build_sessions(records: DataFrame, hot_rows: int | None = None) -> dict[str, DataFrame]:
+def build_sessions(records: DataFrame) -> dict[str, DataFrame]:
     """W01-W03, J01, J02 — the session tables of a record scan ordered by (file, line_no).
 
     The records with their turn index feed every table below, so they are written once.
@@ -136,7 +136,7 @@ def build_sessions(records: DataFrame, hot_rows: int | None = None) -> dict[str,
     marked = mark_humans(with_session(records))
     seen = O.ordered_scan(marked, ["session_id"], order, {
         "turn_index": O.running_sum(F.col("is_human").cast("bigint")),
-        "ended_so_far": O.running_max(F.col("timestamp"))}, seq_bucket(), hot_rows)
+        "ended_so_far": O.running_max(F.col("timestamp"))}, seq_bucket())
     seen = seen.withColumns({"lane": F.when(F.col("is_sidechain") & ~F.col("is_human"), "agent").otherwise("main"),
                              "at": F.coalesce("timestamp", "ended_so_far")})
     seen = stored(seen, "records")
@@ -166,7 +166,7 @@ def build_sessions(records: DataFrame, hot_rows: int | None = None) -> dict[str,
         F.coalesce("final_message", F.lit("")).alias("final_message"), "stop_reason",
         (F.col("human_side") | (F.col("lane") == "agent")).alias("is_sidechain"))
     turns = O.ordered_scan(turns.withColumns({"file": F.col("opened.file"), "line_no": F.col("opened.line_no")}),
-                           ["session_id"], order, {"pos": O.number()}, seq_bucket(), hot_rows)
+                           ["session_id"], order, {"pos": O.number()}, seq_bucket())
     turns = stored(turns.withColumn("turn_no", F.col("pos") - 1).drop("pos", "opened", "file", "line_no"), "turns")
 
     ids = turns.select(*key, "turn_no")
@@ -190,7 +190,7 @@ def build_sessions(records: DataFrame, hot_rows: int | None = None) -> dict[str,
                              F.col("timestamp").alias("result_at"), "result_text", "result_ref",
                              F.to_json("block").alias("block_json"), F.to_json("tool_use_result").alias("extra_json"))
     matched = U.match_results(calls, results, ["tool_use_id"], [*order, "pos"],
-                              ["result_at", "result_text", "result_ref", "block_json", "extra_json"], seq_bucket(), hot_rows)
+                              ["result_at", "result_text", "result_ref", "block_json", "extra_json"], seq_bucket())
     matched = U.classify_result(matched, F.try_parse_json("block_json"), F.try_parse_json("extra_json"))
     return {"sessions": sessions, "turns": turns, "steps": steps, "turn_skills": skills,
             "calls": matched.drop("block_json", "extra_json"), "records": seen}

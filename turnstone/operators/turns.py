@@ -33,19 +33,19 @@ def is_human_prompt(type_, is_meta, text, origin_kind) -> Column:
     return F.coalesce(ok & F.when(origin.isNotNull(), F.lower(origin) == "human").otherwise(True), F.lit(False))
 
 
-def assign_turns(records: DataFrame, seq: str, bucket: Column, hot_rows: int | None = None) -> DataFrame:
+def assign_turns(records: DataFrame, seq: str, bucket: Column) -> DataFrame:
     """W02 — turn number of each record: how many human prompts its session has seen so far.
 
     Agent lines get their own lane; a human prompt always opens a turn of the main lane, even when it
     carries the sidechain flag. Turn 0 of the main lane is the continuation without a prompt.
     """
     out = O.ordered_scan(records, ["session_id"], [seq],
-                         {"turn_no": O.running_sum(F.col("is_human").cast("bigint"))}, bucket, hot_rows)
+                         {"turn_no": O.running_sum(F.col("is_human").cast("bigint"))}, bucket)
     return out.withColumn("lane", F.when(F.col("is_sidechain") & ~F.col("is_human"), "agent").otherwise("main"))
 
 
 def match_results(calls: DataFrame, results: DataFrame, keys: list[str], order: list[str], take: list[str],
-                  bucket: Column, hot_rows: int | None = None) -> DataFrame:
+                  bucket: Column) -> DataFrame:
     """J01 — a result belongs to the latest call with its id that is still open, once.
 
     In the order of the lines of one id, that is simply the line right after the call, if it is a result.
@@ -58,7 +58,7 @@ def match_results(calls: DataFrame, results: DataFrame, keys: list[str], order:
                        F.lit(None).cast(calls.select(F.struct("*")).schema[0].dataType).alias("_call"),
                        payload.alias("_result"),
                        *[F.lit(0).alias(col) for col in order if col not in results.columns])
-    nxt = O.ordered_scan(c.unionByName(r), keys, order, {"_next": O.lead(F.col("_result"))}, bucket, hot_rows)
+    nxt = O.ordered_scan(c.unionByName(r), keys, order, {"_next": O.lead(F.col("_result"))}, bucket)
     return nxt.filter("_call IS NOT NULL").select("_call.*", *[F.col(f"_next.{x}").alias(x) for x in take])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.functions import exprs as X
-from turnstone.operators import ordered as O, signals as G, tasks as K
+from turnstone.operators import events as E, ordered as O, signals as G, tasks as K
 from turnstone.session import prepare, stored
 
 # stand-in rules that exercise the boundary decision on the synthetic texts
@@ -39,7 +39,7 @@ class Tables:
     def calls(self) -> DataFrame:
         e = self.raw("events").select("event_id", "ts", "user_id", "event_type", "value", "props")
         seen = O.ordered_scan(e, ["user_id"], ["ts", "event_id"],
-                              {"pos": O.number(), "result_at": O.lead(F.col("ts"))}, F.date_trunc("minute", "ts"))
+                              {"pos": O.number(), "result_at": O.lead(F.col("ts"))}, O.hours("ts"))
         asked = self.prompts.groupBy("session_id").agg(F.count(F.lit(1)).alias("prompts"))
         seen = seen.join(asked, F.col("user_id") == F.col("session_id"), "left").drop("session_id").withColumn("prompts", F.coalesce("prompts", F.lit(1)))
         rows = seen.selectExpr(
@@ -72,7 +72,7 @@ class Tables:
     def prompts(self) -> DataFrame:
         """Prompts of a conversation, numbered from 0."""
         c = self.raw("conversations").filter(F.col("role").isin("user", "system"))
-        return O.ordered_scan(c, ["conv_id"], ["turn"], {"pos": O.number()}, F.floor(F.col("turn") / 100_000)).select(
+        return O.ordered_scan(c, ["conv_id"], ["turn"], {"pos": O.number()}, O.runs("turn")).select(
             F.col("conv_id").alias("session_id"), (F.col("pos") - 1).alias("turn_no"), "role", "turn",
             F.col("text").alias("prompt"))
 
@@ -90,8 +90,8 @@ class Tables:
 
     @cached_property
     def turn_calls(self) -> DataFrame:
-        """Calls that belong to a turn."""
-        return stored(self.calls.join(self.turns.select("session_id", "turn_no"), ["session_id", "turn_no"], "left_semi"), "turn_calls")
+        """Calls that belong to a turn: every one does."""
+        return self.calls
 
     @cached_property
     def sessions(self) -> DataFrame:
@@ -100,6 +100,20 @@ class Tables:
                                                  F.min_by("event_type", "call_no").alias("entrypoint"))
         return stored(s.join(self.turns.select("session_id").distinct(), "session_id", "left_semi"), "sessions")
 
+    @cached_property
+    def windows(self) -> DataFrame:
+        return stored(E.agent_windows(self.turn_calls, self.turns, self.sessions), "windows")
+
+    @cached_property
+    def actors(self) -> DataFrame:
+        return stored(E.turn_actors(self.turns, self.windows), "actors")
+
+    @cached_property
+    def run_log(self) -> DataFrame:
+        log = E.run_events(self.sessions, self.turns, self.turn_calls, self.steps, idle_minutes=IDLE_MINUTES, windows=self.windows,
+                           actors=self.actors.select("session_id", "turn_no", "actor"))
+        return stored(log, "run_events")
+
     @property
     def steps(self) -> DataFrame:
         return self.turn_calls.select(

@@ -66,7 +66,7 @@ class Runs:
             F.lit(10).alias("max_wall_clock_ms"), F.lit(0.1).alias("max_eur"), F.col("rework_turns").alias("human_interventions"))
         from turnstone.operators import ordered as O
         mine = t.turn_calls.filter(has_run).join(t.task_turns.select("session_id", "turn_no", "task_id"), ["session_id", "turn_no"])
-        mine = O.ordered_scan(mine, ["task_id"], ["turn_no", "call_no"], {"pos": O.number()}, F.floor(F.col("turn_no") / 100_000))
+        mine = O.ordered_scan(mine, ["task_id"], ["turn_no", "call_no"], {"pos": O.number()}, O.runs("turn_no"))
         self.calls = mine.select("task_id", (F.col("pos") - 1).alias("i"), F.col("name").alias("tool"), (~F.col("failed")).alias("call_ok"), "call_id", F.expr("CASE WHEN call_id % 2 = 0 THEN concat('k', call_id) END").alias("idempotency_key"),
                                  F.try_parse_json("input_json").alias("input"), F.try_parse_json(F.expr("""concat('{"doc_id":"doc-', call_id % 4, '"}')""")).alias("output"))
         self.tools = t.spark.createDataFrame([("Read", False), ("Grep", False), ("Edit", True), ("Bash", True), ("Task", False)], "tool string, side_effect boolean")

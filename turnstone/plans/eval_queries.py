@@ -139,7 +139,7 @@ LEFT JOIN (SELECT doc_id, i, greatest(0, sum(CAST(is_ref AS INT)) OVER w - 1) AS
 def marks(t):
     from turnstone.operators import ordered as O
     c = t.raw("conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", F.length("text").alias("len"))
-    c = O.ordered_scan(c, ["doc_id"], ["turn"], {"pos": O.number()}, F.floor(F.col("turn") / 100_000))
+    c = O.ordered_scan(c, ["doc_id"], ["turn"], {"pos": O.number()}, O.runs("turn"))
     mean = c.groupBy("doc_id").agg(F.avg("len").alias("mean"))
     return c.join(mean, "doc_id").select("doc_id", (F.col("pos") - 1).alias("i"), (F.col("role") == "user").alias("is_ref"), (F.col("len") > F.col("mean")).alias("is_hyp"))
 

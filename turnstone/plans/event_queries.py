@@ -34,12 +34,12 @@ def sessions(t):
 
 
 def windows(t):
-    return E.agent_windows(t.turn_calls, t.turns, t.sessions)
+    return t.windows
 
 
 @query("j04_turn_actors", "SELECT * FROM actors", "actors")
 def j04(t):
-    return E.turn_actors(t.turns, windows(t)).select("session_id", "turn_no", "actor", "candidates")
+    return t.actors.select("session_id", "turn_no", "actor", "candidates")
 
 
 @query("j04_points_in_intervals", """
@@ -49,7 +49,7 @@ def j04b(t):
     from turnstone.operators.intervals import points_in_intervals
     o = t.raw("orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("at"))
     w = o.select("o_custkey", F.col("o_orderkey").alias("w"), F.col("at").alias("a"), F.expr("at + INTERVAL 40 DAYS").alias("b"))
-    return (points_in_intervals(o, w, ["o_custkey"], "at", "a", "b", 20 * 86_400).groupBy("o_custkey", "o_orderkey")
+    return (points_in_intervals(o, w, ["o_custkey"], "at", "a", "b").groupBy("o_custkey", "o_orderkey")
             .agg(F.count(F.lit(1)).alias("inside"), F.max("w").alias("latest")))
 
 
@@ -63,7 +63,7 @@ SELECT event_id, CASE WHEN n = 1 THEN event_type ELSE event_type || '#' || n END
  SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events)""")
 def w10b(t):
     e = t.raw("events").select("event_id", "user_id", "event_type", "ts")
-    r = O.ordered_scan(e, ["user_id", "event_type"], ["ts", "event_id"], {"n": O.number()}, F.date_trunc("minute", "ts"))
+    r = O.ordered_scan(e, ["user_id", "event_type"], ["ts", "event_id"], {"n": O.number()}, O.hours("ts"))
     return r.select("event_id", F.when(F.col("n") == 1, F.col("event_type")).otherwise(F.concat("event_type", F.lit("#"), F.col("n").cast("string"))).alias("label"))
 
 
@@ -97,7 +97,7 @@ SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY at_us, phase, tn,
 
 
 def log(t):
-    return E.run_events(t.sessions, t.turns, t.turn_calls, t.steps, idle_minutes=IDLE_MINUTES)
+    return t.run_log
 
 
 @query("r07_run_events", "SELECT session_id, seq, t, actor, kind, body FROM run_log", "run_log")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnstone.functions import exprs as X
-from turnstone.operators import intervals, signals as G, tasks as K
+from turnstone.operators import intervals, ordered as O, signals as G, tasks as K
 from turnstone.plans.bridge import ACCEPTANCE, IDLE_MINUTES, RULES
 from turnstone.plans.registry import query, r6, us
 
@@ -95,7 +95,7 @@ SELECT user_id AS session_id, count(*) FILTER (k = 'identical') AS identical, co
 def w08(t):
     calls = t.raw("events").select(F.col("user_id").alias("session_id"), "ts", "event_id", F.col("event_type").alias("name"),
                                    F.col("props").alias("input_json"), (F.col("event_type") == "error").alias("failed"))
-    seq = G.next_calls(calls, ["session_id"], ["ts", "event_id"], F.date_trunc("minute", "ts"))
+    seq = G.next_calls(calls, ["session_id"], ["ts", "event_id"], O.hours("ts"))
     return (seq.filter("failed").withColumn("k", G.retry_kind()).groupBy("session_id")
             .agg(F.count_if(F.col("k") == "identical").alias("identical"), F.count_if(F.col("k") == "different").alias("different")))
 
@@ -105,7 +105,7 @@ SELECT session_id, task_no, coalesce(bool_or(idx = lv AND NOT failed AND idx >=
 FROM (SELECT *, max(CASE WHEN verif THEN idx END) OVER (PARTITION BY session_id, task_no) AS lv FROM task_calls) GROUP BY ALL""", "task_calls")
 def w09(t):
     mine = t.turn_calls.join(t.task_turns.select("session_id", "turn_no", "task_no"), ["session_id", "turn_no"])
-    facts = G.call_facts(mine, ["session_id", "task_no"], ["turn_no", "call_no"], F.floor(F.col("turn_no") / 100_000))
+    facts = G.call_facts(mine, ["session_id", "task_no"], ["turn_no", "call_no"], O.runs("turn_no"))
     return facts.select("session_id", "task_no", G.closes_on_verification().alias("closes"))
 
 
@@ -160,7 +160,7 @@ def j01(t):
     calls = e.select("session_id", "ts", "event_id", F.lit(1).alias("side"), F.col("event_id").alias("call_id"))
     results = e.select("session_id", "ts", "event_id", F.lit(0).alias("side"))
     got = match_results(calls.withColumn("called_at", F.col("ts")), results.withColumn("result_at", F.col("ts")),
-                        ["session_id"], ["ts", "event_id", "side"], ["result_at"], F.date_trunc("minute", "ts"))
+                        ["session_id"], ["ts", "event_id", "side"], ["result_at"], O.hours("ts"))
     return got.select("session_id", "call_id", us("called_at").alias("called_us"), us("result_at").alias("result_us"))
 
 

@@ -51,9 +51,9 @@ def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl", modifie
                         F.monotonically_increasing_id().alias("pos"))
 
 
-def number_lines(lines: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def number_lines(lines: DataFrame) -> DataFrame:
     """S02 — line number in the file; a very long file is numbered block by block."""
-    numbered = O.ordered_scan(lines, ["file"], ["block", "pos"], {"line_no": O.number()}, F.col("block"), hot_rows)
+    numbered = O.ordered_scan(lines, ["file"], ["block", "pos"], {"line_no": O.number()}, F.col("block"))
     return numbered.drop("block", "pos")
 
 
