@@ -182,10 +182,21 @@ def content_assertions(golden: DataFrame, runs: DataFrame) -> DataFrame:
                   (F.when(F.col("no_euro_amount"), F.lit("no_euro_amount")), ~text.rlike("(?i)" + V.EURO_PATTERN))], "content")])
 
 
+def _is_text(body: Column, path: Column) -> Column:
+    """Whether the value at a dotted path of objects is a JSON string: read as a Variant, level by level."""
+    def step(v: Column, name: Column) -> Column:
+        return F.to_json(F.try_element_at(F.try_variant_get(F.try_parse_json(v), "$", "map<string,variant>"), name))
+
+    return F.coalesce(F.startswith(F.aggregate(F.split(path, r"\."), body, step), F.lit('"')), F.lit(False))
+
+
 def echo_assertions(wanted: DataFrame, calls: DataFrame, runs: DataFrame) -> DataFrame:
-    """V22 — ``wanted``: task_id, tool, field. The values successful calls returned must all occur in the answer, and there must be one."""
+    """V22 — ``wanted``: task_id, tool, field. The texts successful calls returned must all occur in the answer, and there must be one.
+
+    Numbers, booleans, objects and arrays are no texts: a value counts when its JSON form is a string.
+    """
     got = (wanted.join(calls.filter("call_ok"), ["task_id", "tool"]).withColumn("_body", F.to_json("output")).withColumn("_v", dotted("_body", "field"))
-           .filter(F.coalesce("_v", F.lit("")) != "").join(runs.select("task_id", "output_text"), "task_id")
+           .filter((F.coalesce("_v", F.lit("")) != "") & _is_text(F.col("_body"), F.col("field"))).join(runs.select("task_id", "output_text"), "task_id")
            .groupBy("task_id", "tool", "field").agg(F.bool_and(F.contains(F.col("output_text"), F.col("_v"))).alias("_ok")))
     j = wanted.join(got, ["task_id", "tool", "field"], "left")
     return _rows(j, [(F.concat(F.lit("must_echo:"), "tool", F.lit("."), "field"), F.col("_ok"))], "content")
@@ -214,7 +225,8 @@ def provenance_assertions(golden: DataFrame, runs: DataFrame, provenance: DataFr
 
 def outcomes(golden: DataFrame, assertions: DataFrame, judge: DataFrame, runs: DataFrame) -> DataFrame:
     """V24, J13 — per task: all assertions, the judge when there is one, success, and success without a human."""
-    per = assertions.groupBy("task_id").agg(F.bool_and("ok").alias("assert_pass"), F.bool_and(F.when(F.col("group") == "policy", F.col("ok"))).alias("policy_ok"),
+    valid = F.bool_and("contract_valid") if "contract_valid" in assertions.columns else F.bool_and(F.coalesce(F.when(F.col("name") == "run_present", F.col("ok")), F.lit(True)))
+    per = assertions.groupBy("task_id").agg(valid.alias("contract_valid"), F.bool_and("ok").alias("assert_pass"), F.bool_and(F.when(F.col("group") == "policy", F.col("ok"))).alias("policy_ok"),
                                             F.bool_and(F.when(F.col("group") == "provenance", F.col("ok"))).alias("provenance_ok"))
     j = (golden.join(per, "task_id", "left").join(judge.select("task_id", F.col("pass").alias("judge_pass")), "task_id", "left")
          .join(runs.select("task_id", "human_interventions", F.lit(True).alias("_run")), "task_id", "left"))
@@ -225,6 +237,110 @@ def outcomes(golden: DataFrame, assertions: DataFrame, judge: DataFrame, runs: D
                           "policy_ok": F.coalesce("policy_ok", F.lit(False)), "provenance_ok": F.coalesce("provenance_ok", F.lit(False))}).drop("_run")
 
 
+# ---------------------------------------------------------------------------- a run line as a whole
+RUN_TYPE = (
+    "struct<task_id string, status string, agent string, principal string, allowed_tools array<string>, "
+    "tool_calls array<struct<tool string, ok boolean, idempotency_key string, input variant, output variant>>, output struct<text string>, "
+    "provenance array<struct<source struct<kind string, id string>, fragment string>>, "
+    "cost struct<calls bigint, tokens_in bigint, tokens_out bigint, wall_clock_ms bigint, eur double>, "
+    "quota struct<max_calls bigint, max_tokens bigint, max_wall_clock_ms bigint, max_eur double>, human_interventions bigint>")
+
+
+def strings_of(value: Column) -> Column:
+    """A Variant's text, or the texts among its items; values of other kinds count for nothing."""
+    one = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    many = F.transform(F.try_variant_get(value, "$", "array<variant>"), one)
+    return F.array_compact(F.coalesce(many, F.array(one(value))))
+
+
+def at_path(value: Column, names: list[str]) -> Column:
+    """P28 — the Variant at a fixed path; on an array, the values of its items."""
+    for i, name in enumerate(names):
+        rest = names[i + 1:]
+        inside = F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(name))
+        items = F.transform(F.try_variant_get(value, "$", "array<map<string,variant>>"), lambda m: F.try_element_at(m, F.lit(name)))
+        if rest:
+            items = F.transform(items, lambda v: at_path(v, rest))
+            return F.coalesce(at_path(inside, rest), F.to_variant_object(items))
+        value = F.coalesce(inside, F.to_variant_object(items))
+    return value
+
+
+def run_contract(lines: DataFrame, contract: dict, at_most: int = 5) -> DataFrame:
+    """V18 — ``task_id, run`` and whether the line keeps the contract, with its first faults; one walk over the line."""
+    faults = F.when(F.col("run").isNull(), F.array(F.lit("$: no object"))).otherwise(violations(F.col("run"), contract))
+    return lines.withColumn("_faults", faults).withColumns(
+        {"contract_valid": F.size("_faults") == 0, "errors": F.array_join(F.slice(F.array_sort("_faults"), 1, at_most), "; ")}).drop("_faults")
+
+
+def run_assertions(golden: DataFrame, lines: DataFrame, policies: DataFrame, tools: DataFrame, contract: dict, schemas: dict[str, dict] | None = None) -> DataFrame:
+    """V18-V24 — all assertions of a task in one pass: ``task_id, group, name, ok``, and the run's ``contract_valid``.
+
+    A run is one line, so its calls are an array of the row: golden tasks meet runs and policies in two joins, everything else is an
+    expression over the row, and the assertions are exploded once. A missing run fails ``run_present``, one that breaks its contract fails
+    ``contract_valid``, and neither is looked at any further. ``tools`` is the registry, a dimension that fits into one row.
+    """
+    known = tools.agg(F.map_from_entries(F.collect_list(F.struct("tool", "side_effect"))).alias("_tools"))
+    declared = policies.select(F.col("agent").alias("_agent"), F.col("allowed_tools").alias("_declared"), F.col("principal").alias("_principal"))
+    checked = run_contract(lines, contract).withColumn("r", F.try_variant_get("run", "$", RUN_TYPE)).select("task_id", "contract_valid", "r", F.lit(True).alias("_here"))
+    j = (golden.join(checked, "task_id", "left").withColumn("_by", F.col("r.agent")).join(declared, F.col("_by") == F.col("_agent"), "left").crossJoin(F.broadcast(known)))     # one row
+    none, c = F.array().cast("array<string>"), F.col
+    calls, text = F.coalesce(c("r.tool_calls"), F.array().cast(f"array<{_element('tool_calls')}>")), F.coalesce(c("r.output.text"), F.lit(""))
+    j = j.withColumns({"_calls": calls, "_text": text, "_prov": c("r.provenance")})
+    j = j.withColumns({"_called": F.array_distinct(F.transform("_calls", lambda x: x["tool"])), "_ok_calls": F.filter("_calls", lambda x: x["ok"])})
+    j = j.withColumns({"_seen": F.flatten(F.transform("_ok_calls", lambda x: F.concat(strings_of(at_path(x["output"], ["results", "doc_id"])), strings_of(at_path(x["output"], ["doc_id"]))))),
+                       "_docs": F.transform(F.filter("_prov", lambda p: p["source"]["kind"] == "document"), lambda p: p["source"]["id"]),
+                       "_effects": F.size(F.filter("_calls", lambda x: F.coalesce(F.try_element_at(c("_tools"), x["tool"]), F.lit(False))))})
+
+    def one(group: str, name, ok: Column, when: Column | None = None) -> Column:
+        item = F.struct(F.lit(group).alias("group"), (F.lit(name) if isinstance(name, str) else name).alias("name"), F.coalesce(ok, F.lit(False)).alias("ok"))
+        return F.array(item) if when is None else F.when(F.coalesce(when, F.lit(False)), F.array(item)).otherwise(empty)
+
+    def each(group: str, items: str, prefix: str, ok) -> Column:
+        return F.coalesce(F.transform(items, lambda x: F.struct(F.lit(group).alias("group"), F.concat(F.lit(prefix), x).alias("name"), F.coalesce(ok(x), F.lit(False)).alias("ok"))), empty)
+
+    empty = F.array().cast("array<struct<group:string,name:string,ok:boolean>>")
+    has = lambda x: F.array_contains("_called", x)
+
+    def of_call(x: Column, i: Column) -> Column:
+        effect = F.try_element_at(c("_tools"), x["tool"])
+        at, bad = F.concat(F.lit("["), i.cast("string"), F.lit("]")), F.lit(0)
+        for tool, sch in (schemas or {}).items():
+            faults = F.size(violations(x["input"], sch.get("input", {}))) + F.when(x["ok"], F.size(violations(x["output"], sch.get("output", {})))).otherwise(0)
+            bad = F.when(x["tool"] == tool, faults).otherwise(bad)
+        return F.concat(one("calls", F.concat(F.lit("tool_known"), at), F.lit(False), effect.isNull()),
+                        one("calls", F.concat(F.lit("tool_io_valid"), at, F.lit(":"), x["tool"]), bad == 0, effect.isNotNull()),
+                        one("calls", F.concat(F.lit("idempotency_key"), at, F.lit(":"), x["tool"]), F.coalesce(x["idempotency_key"], F.lit("")) != "", effect))
+
+    cost, quota = c("r.cost"), c("r.quota")
+    full = F.concat(
+        one("contract", "contract_valid", F.lit(True)),
+        one("tools", "status", c("r.status") == F.coalesce("expected_status", F.lit("completed"))), each("tools", "required", "tool_required:", has), each("tools", "forbidden", "tool_forbidden:", lambda x: ~has(x)),
+        one("tools", "tool_any_of", F.arrays_overlap("_called", "any_of"), F.size("any_of") > 0), one("tools", "max_tool_calls", F.size("_calls") <= c("max_calls"), c("max_calls").isNotNull()),
+        one("policy", "policy_allowlist", F.size(F.array_except("_called", c("r.allowed_tools"))) == 0),
+        one("policy", "policy_declared", c("_agent").isNotNull() & (F.size(F.array_except(c("r.allowed_tools"), "_declared")) == 0)),
+        one("policy", "policy_identity", c("r.principal") == c("_principal"), c("_agent").isNotNull()),
+        one("policy", "quota_calls", cost["calls"] <= quota["max_calls"]), one("policy", "quota_tokens", cost["tokens_in"] + cost["tokens_out"] <= quota["max_tokens"]),
+        one("policy", "quota_wall_clock", cost["wall_clock_ms"] <= quota["max_wall_clock_ms"]), one("policy", "quota_eur", cost["eur"] <= quota["max_eur"]),
+        F.flatten(F.transform("_calls", of_call)),
+        one("calls", "side_effects_max", c("_effects") <= c("side_max"), c("side_max").isNotNull()), one("calls", "side_effects_exactly", c("_effects") == c("side_exactly"), c("side_exactly").isNotNull()),
+        each("content", "must_contain", "must_contain:", lambda x: F.contains("_text", x)), each("content", "must_not_contain", "must_not_contain:", lambda x: ~F.contains("_text", x)),
+        one("content", "must_contain_any", F.exists("must_contain_any", lambda x: F.contains("_text", x)), F.size("must_contain_any") > 0),
+        one("content", "no_euro_amount", ~c("_text").rlike("(?i)" + V.EURO_PATTERN), c("no_euro_amount")),
+        one("provenance", "provenance_present", F.size("_prov") > 0, c("provenance_required")), one("provenance", "provenance_min_entries", F.size("_prov") >= c("min_entries"), c("min_entries").isNotNull()),
+        each("provenance", "must_cite", "provenance_cites:", lambda x: F.array_contains("_docs", x)),
+        one("provenance", "provenance_traceable", F.size(F.array_except("_docs", "_seen")) == 0), one("provenance", "provenance_fragments_in_output", F.forall("_prov", lambda p: F.contains("_text", p["fragment"]))))
+    found = (F.when(c("_here").isNull(), one("tools", "run_present", F.lit(False))).when(~c("contract_valid"), one("contract", "contract_valid", F.lit(False))).otherwise(full))
+    return j.select("task_id", F.coalesce("contract_valid", F.lit(False)).alias("contract_valid"), F.explode(found).alias("a")).select("task_id", "contract_valid", "a.*")
+
+
+def _element(field: str) -> str:
+    """Type of the items of an array field of a run."""
+    from pyspark.sql import types as T
+
+    return T.DataType.fromDDL(RUN_TYPE)[field].dataType.elementType.simpleString()
+
+
 # ------------------------------------------------------------------------------------------ rates
 def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     """A23 — Cohen's kappa of two yes/no judges, 1 when chance agreement is certain, NULL without rows."""
@@ -244,7 +360,7 @@ def task_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(judged).alias("n_judged"), rate("success").alias("success_rate"), rate("assert_pass").alias("assert_rate"),
         rate("judge_pass").alias("judge_rate"), F.bround(F.avg(F.when(judged, (F.col("assert_pass") == F.col("judge_pass")).cast("double"))), 4).alias("agreement"),
-        rate("policy_ok").alias("policy_ok_rate"), rate("provenance_ok", F.col("provenance_required")).alias("provenance_ok_rate"),
+        rate("contract_valid").alias("contract_valid_rate"), rate("policy_ok").alias("policy_ok_rate"), rate("provenance_ok", F.col("provenance_required")).alias("provenance_ok_rate"),
         rate("success", ~F.col("answerable")).alias("negative_ok"), rate("no_human").alias("no_human_rate"))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from turnstone.functions import exprs as X
 from turnstone.operators import contract as Q, retrieval as I, transcript as TR
 from turnstone.plans.oracle_base import part
 from turnstone.plans.registry import query, r6
+from turnstone.session import stored
 
 SCHEMA = {
     "type": "object", "additionalProperties": False, "required": ["id", "total", "lines"],
@@ -48,6 +51,26 @@ part("run_calls", "task_calls")("""
 SELECT session_id || '#' || task_no AS task_id, idx - 1 AS i, name AS tool, NOT failed AS call_ok, CASE WHEN call_id % 2 = 0 THEN 'k' || call_id END AS idempotency_key, input_json, call_id, session_id FROM task_calls WHERE session_id % 9 <> 4""")
 
 
+#: a passage of 40 characters from anywhere in the answer, chosen by the call; every 23rd one is in capitals
+FRAGMENT = ("CASE WHEN call_id % 23 = 0 THEN upper(substring(output_text, CAST(1 + call_id * 7919 % greatest(length(output_text), 1) AS INT), 40)) "
+            "ELSE substring(output_text, CAST(1 + call_id * 7919 % greatest(length(output_text), 1) AS INT), 40) END")
+
+CONTRACT = {
+    "type": "object", "additionalProperties": False,
+    "required": ["task_id", "status", "agent", "principal", "allowed_tools", "tool_calls", "output", "provenance", "cost", "quota", "human_interventions"],
+    "properties": {
+        "task_id": {"type": "string", "minLength": 3}, "status": {"type": "string", "enum": ["completed", "failed"]}, "agent": {"type": "string"}, "principal": {"type": "string"},
+        "allowed_tools": {"type": "array", "items": {"type": "string"}},
+        "tool_calls": {"type": "array", "items": {"type": "object", "required": ["tool", "ok", "input", "output"],
+                                                  "properties": {"tool": {"type": "string"}, "ok": {"type": "boolean"}, "idempotency_key": {"type": ["string", "null"]}, "input": {"type": "object"}, "output": {"type": "object"}}}},
+        "output": {"type": "object", "required": ["text"], "properties": {"text": {"type": "string"}}},
+        "provenance": {"type": "array", "items": {"type": "object", "required": ["source", "fragment"], "properties": {"fragment": {"type": "string"}}}},
+        "cost": {"type": "object", "required": ["calls", "tokens_in"], "properties": {"calls": {"type": "integer", "minimum": 0}, "tokens_in": {"type": "integer", "minimum": 0}}},
+        "quota": {"type": "object"}, "human_interventions": {"type": "integer", "minimum": 0},
+    },
+}
+
+
 class Runs:
     """Contract rows derived from the session tables."""
 
@@ -67,23 +90,35 @@ class Runs:
         from turnstone.operators import ordered as O
         mine = t.turn_calls.filter(has_run).join(t.task_turns.select("session_id", "turn_no", "task_id"), ["session_id", "turn_no"])
         mine = O.ordered_scan(mine, ["task_id"], ["turn_no", "call_no"], {"pos": O.number()}, O.runs("turn_no"))
-        self.calls = mine.select("task_id", (F.col("pos") - 1).alias("i"), F.col("name").alias("tool"), (~F.col("failed")).alias("call_ok"), "call_id", F.expr("CASE WHEN call_id % 2 = 0 THEN concat('k', call_id) END").alias("idempotency_key"),
-                                 F.try_parse_json("input_json").alias("input"), F.try_parse_json(F.expr("""concat('{"doc_id":"doc-', call_id % 4, '"}')""")).alias("output"))
+        self.calls = stored(mine.select("task_id", (F.col("pos") - 1).alias("i"), F.col("name").alias("tool"), (~F.col("failed")).alias("call_ok"), "call_id", F.expr("CASE WHEN call_id % 2 = 0 THEN concat('k', call_id) END").alias("idempotency_key"),
+                                 "input_json"), "run-calls").select(
+                                 "*", F.try_parse_json("input_json").alias("input"), F.try_parse_json(F.expr("""concat('{"doc_id":"doc-', call_id % 4, '"}')""")).alias("output")).drop("input_json")
         self.tools = t.spark.createDataFrame([("Read", False), ("Grep", False), ("Edit", True), ("Bash", True), ("Task", False)], "tool string, side_effect boolean")
         self.policies = t.spark.createDataFrame([("agent0", ["Read", "Grep", "Edit", "Bash", "Task"], "p0"), ("agent1", ["Read"], "p1")], "agent string, allowed_tools array<string>, principal string")
         self.provenance = self.calls.join(self.runs.select("task_id", "output_text"), "task_id").select(
-            "task_id", F.lit("document").alias("kind"), F.expr("concat('doc-', call_id % 5)").alias("source_id"), F.when(F.col("call_id") % 23 == 0, "zz").otherwise(F.substring("output_text", 1, 4)).alias("fragment"))
+            "task_id", F.lit("document").alias("kind"), F.expr("concat('doc-', call_id % 5)").alias("source_id"), F.expr(FRAGMENT).alias("fragment"))
         self.seen = self.calls.filter("call_ok").select("task_id", F.get_json_object(F.to_json("output"), "$.doc_id").alias("doc_id"))
         self.judge = w.filter("session_id % 2 = 0").select("task_id", (F.col("session_id") % 4 == 0).alias("pass"))
 
+    @cached_property
+    def lines(self):
+        """The runs as JSON lines, as they come from outside; sessions 3, 10, 17 ... break the contract in one of three ways."""
+        call = F.to_json(F.struct("tool", F.col("call_ok").alias("ok"), "idempotency_key", "input", F.when(F.col("call_id") % 3 == 0, F.try_parse_json(
+            F.expr("""concat('{"results":[{"doc_id":"doc-', call_id % 4, '"},{"doc_id":7}]}')"""))).otherwise(F.col("output")).alias("output")))
+        joined = lambda items: F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+        calls = self.calls.groupBy("task_id").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("i", call.alias("j")))), lambda x: x["j"])).alias("_calls"))
+        cited = self.provenance.groupBy("task_id").agg(joined(F.collect_list(F.to_json(F.struct(F.struct("kind", F.col("source_id").alias("id")).alias("source"), "fragment")))).alias("_cited"))
+        r = self.runs.join(calls, "task_id", "left").join(cited, "task_id", "left").withColumn("sid", F.regexp_extract("task_id", "^([0-9]+)#", 1).cast("int"))
+        fault = F.when(F.col("sid") % 7 == 3, F.col("sid") % 3)
+        head = F.to_json(F.struct(
+            "task_id", F.when(fault == 0, "paused").otherwise(F.col("status")).alias("status"), F.when(F.coalesce(fault != 1, F.lit(True)), F.col("agent")).alias("agent"), "principal", "allowed_tools",
+            F.struct(F.col("output_text").alias("text")).alias("output"), F.struct(F.when(fault == 2, -1).otherwise(F.col("cost_calls")).alias("calls"), "tokens_in", "tokens_out", "wall_clock_ms", "eur").alias("cost"),
+            F.struct("max_calls", "max_tokens", "max_wall_clock_ms", "max_eur").alias("quota"), "human_interventions"))
+        line = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"tool_calls":'), F.coalesce("_calls", F.lit("[]")), F.lit(',"provenance":'), F.coalesce("_cited", F.lit("[]")), F.lit("}"))
+        return stored(r.select("task_id", line.alias("line")), "run-lines").select("task_id", F.try_parse_json("line").alias("run"))
+
     def assertions(self):
-        g = self.golden.join(self.runs.select("task_id"), "task_id", "left_semi")
-        parts = [Q.tool_assertions(self.golden, self.runs, self.calls), Q.policy_assertions(self.runs, self.calls, self.policies), Q.call_assertions(self.calls, self.tools, SCHEMAS),
-                 Q.side_effect_assertions(g, self.calls, self.tools), Q.content_assertions(self.golden, self.runs), Q.provenance_assertions(self.golden, self.runs, self.provenance, self.seen)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return Q.run_assertions(self.golden, self.lines, self.policies, self.tools, CONTRACT, SCHEMAS)
 
 
 SCHEMAS = {"Read": {"input": {"type": "object", "required": ["offset"]}}, "Bash": {"input": {"properties": {"command": {"type": "string", "minLength": 3}}}}}
@@ -119,16 +154,21 @@ SELECT task_id, 'content' AS grp, 'must_contain:e' AS name, contains(output_text
 UNION ALL SELECT task_id, 'content', 'must_not_contain:the ', NOT contains(output_text, 'the ') FROM runs UNION ALL SELECT task_id, 'content', 'must_contain_any', contains(output_text, 'que') OR contains(output_text, 'and') FROM runs
 UNION ALL SELECT task_id, 'content', 'no_euro_amount', NOT regexp_matches(output_text, '(?i)\d+\s?(€|euros?)') FROM runs""")
 part("v23", "runs", "run_calls")("""
-WITH p AS (SELECT c.task_id, 'doc-' || call_id % 5 AS doc, CASE WHEN call_id % 23 = 0 THEN 'zz' ELSE substring(output_text, 1, 4) END AS fragment, output_text FROM run_calls c JOIN runs r USING (task_id)),
+WITH p AS (SELECT c.task_id, 'doc-' || call_id % 5 AS doc, CASE WHEN call_id % 23 = 0 THEN upper(substring(output_text, CAST(1 + call_id * 7919 % greatest(length(output_text), 1) AS INT), 40)) ELSE substring(output_text, CAST(1 + call_id * 7919 % greatest(length(output_text), 1) AS INT), 40) END AS fragment, output_text FROM run_calls c JOIN runs r USING (task_id)),
  seen AS (SELECT DISTINCT task_id, 'doc-' || call_id % 4 AS doc FROM run_calls WHERE call_ok),
  e AS (SELECT r.task_id, r.task_no, coalesce((SELECT count(*) FROM p WHERE p.task_id = r.task_id), 0) AS n, coalesce((SELECT count(*) FROM p WHERE p.task_id = r.task_id AND NOT contains(output_text, fragment)), 0) AS absent,
   coalesce((SELECT count(*) FROM p ANTI JOIN seen USING (task_id, doc) WHERE p.task_id = r.task_id), 0) AS lost, coalesce((SELECT count(*) FROM p WHERE p.task_id = r.task_id AND doc = 'doc-1'), 0) AS cited FROM runs r)
 SELECT task_id, 'provenance' AS grp, 'provenance_present' AS name, n > 0 AS ok FROM e WHERE task_no % 2 = 0 UNION ALL SELECT task_id, 'provenance', 'provenance_min_entries', n >= 6 FROM e
 UNION ALL SELECT task_id, 'provenance', 'provenance_traceable', lost = 0 FROM e UNION ALL SELECT task_id, 'provenance', 'provenance_fragments_in_output', absent = 0 FROM e UNION ALL SELECT task_id, 'provenance', 'provenance_cites:doc-1', cited > 0 FROM e""")
-part("all_assertions", "v19", "v20", "v21", "v22", "v23")("SELECT * FROM v19 UNION ALL SELECT * FROM v20 UNION ALL SELECT * FROM v21 UNION ALL SELECT * FROM v22 UNION ALL SELECT * FROM v23")
-part("task_outcomes", "signals_wide", "runs", "all_assertions")("""
+part("contracts", "runs")("""
+SELECT task_id, session_id % 7 <> 3 AS valid, CASE WHEN session_id % 7 <> 3 THEN '' WHEN session_id % 3 = 0 THEN '$.status: enum' WHEN session_id % 3 = 1 THEN '$: required agent' ELSE '$.cost.calls: minimum' END AS errors FROM runs""")
+part("all_assertions", "v19", "v20", "v21", "v22", "v23", "contracts")("""
+SELECT a.* FROM (SELECT * FROM v19 UNION ALL SELECT * FROM v20 UNION ALL SELECT * FROM v21 UNION ALL SELECT * FROM v22 UNION ALL SELECT * FROM v23) a LEFT JOIN contracts c USING (task_id) WHERE coalesce(c.valid, true)
+UNION ALL SELECT task_id, 'contract', 'contract_valid', valid FROM contracts""")
+part("task_outcomes", "signals_wide", "runs", "all_assertions", "contracts")("""
 SELECT s.task_id, s.session_id, s.task_no, a.ok AS assert_pass, j.pass AS judge_pass, a.ok AND coalesce(j.pass, true) AS success, coalesce(a.policy, false) AS policy_ok, coalesce(a.prov, false) AS provenance_ok,
- r.task_id IS NOT NULL AND r.human_interventions = 0 AND a.ok AND coalesce(j.pass, true) AS no_human FROM signals_wide s
+ coalesce(c.valid, false) AS contract_valid,
+ r.task_id IS NOT NULL AND r.human_interventions = 0 AND a.ok AND coalesce(j.pass, true) AS no_human FROM signals_wide s LEFT JOIN contracts c ON c.task_id = s.task_id
 JOIN (SELECT task_id, bool_and(ok) AS ok, bool_and(ok) FILTER (grp = 'policy') AS policy, bool_and(ok) FILTER (grp = 'provenance') AS prov FROM all_assertions GROUP BY ALL) a ON a.task_id = s.task_id
 LEFT JOIN (SELECT task_id, session_id % 4 = 0 AS pass FROM signals_wide WHERE session_id % 2 = 0) j ON j.task_id = s.task_id LEFT JOIN runs r ON r.task_id = s.task_id""")
 
@@ -208,9 +248,19 @@ def outcomes(t):
     return Q.outcomes(r.golden, r.assertions(), r.judge, r.runs)
 
 
-@query("v24_task_outcomes", "SELECT task_id, assert_pass, judge_pass, success, policy_ok, provenance_ok, no_human FROM task_outcomes", "task_outcomes")
+@query("v24_task_outcomes", "SELECT task_id, contract_valid, assert_pass, judge_pass, success, policy_ok, provenance_ok, no_human FROM task_outcomes", "task_outcomes")
 def v24(t):
-    return outcomes(t).select("task_id", "assert_pass", "judge_pass", "success", "policy_ok", "provenance_ok", "no_human")
+    return outcomes(t).select("task_id", "contract_valid", "assert_pass", "judge_pass", "success", "policy_ok", "provenance_ok", "no_human")
+
+
+@query("v18_run_contract", "SELECT task_id, valid AS contract_valid, errors FROM contracts", "contracts")
+def v18c(t):
+    return Q.run_contract(runs(t).lines, CONTRACT).select("task_id", "contract_valid", "errors")
+
+
+@query("v24_run_assertions", "SELECT task_id, grp, name, ok FROM all_assertions", "all_assertions")
+def v24b(t):
+    return runs(t).assertions().select("task_id", F.col("group").alias("grp"), "name", "ok")
 
 
 @query("j13_golden_run_judge", "SELECT s.task_id, r.status, CASE WHEN s.session_id % 2 = 0 THEN s.session_id % 4 = 0 END AS judge_pass FROM signals_wide s LEFT JOIN runs r ON r.task_id = s.task_id", "signals_wide", "runs")
@@ -221,7 +271,7 @@ def j13(t):
 
 _RATES = """
 SELECT count(*) AS n, count(judge_pass) AS n_judged, round_even(avg(CAST(success AS INT)), 4) AS success_rate, round_even(avg(CAST(assert_pass AS INT)), 4) AS assert_rate, round_even(avg(CAST(judge_pass AS INT)), 4) AS judge_rate,
- round_even(avg(CAST(assert_pass = judge_pass AS INT)), 4) AS agreement, round_even(avg(CAST(policy_ok AS INT)), 4) AS policy_ok_rate, round_even(avg(CASE WHEN task_no % 2 = 0 THEN CAST(provenance_ok AS INT) END), 4) AS provenance_ok_rate,
+ round_even(avg(CAST(assert_pass = judge_pass AS INT)), 4) AS agreement, round_even(avg(CAST(contract_valid AS INT)), 4) AS contract_valid_rate, round_even(avg(CAST(policy_ok AS INT)), 4) AS policy_ok_rate, round_even(avg(CASE WHEN task_no % 2 = 0 THEN CAST(provenance_ok AS INT) END), 4) AS provenance_ok_rate,
  round_even(avg(CASE WHEN session_id % 5 = 0 THEN CAST(success AS INT) END), 4) AS negative_ok, round_even(avg(CAST(no_human AS INT)), 4) AS no_human_rate FROM task_outcomes"""
 
 
