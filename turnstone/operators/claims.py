@@ -18,35 +18,58 @@ _TOKEN = r"(?U)[\w'’-]+"
 _EDGE = r"[\w'’-]"
 
 
+def _pieces(text: Column) -> Column:
+    """The text cut into words and what lies between them; words stand at the even places (from 0)."""
+    cut = F.regexp_extract_all(text, F.lit(r"(?U)[\w'’-]+|[^\w'’-]+"), F.lit(0))
+    return F.when(text.rlike(r"(?U)^[\w'’-]"), cut).otherwise(F.concat(F.array(F.lit("")), cut))
+
+
+def word_runs(text: Column, lengths: Column) -> Column:
+    """All runs of so many words of a text, in lower case, with what lies between them as it is written."""
+    def of(pieces: Column, n: Column) -> Column:
+        first = F.when(F.element_at(pieces, 1) == "", 3).otherwise(1)
+        last = F.size(pieces) - 2 * (n - 1)
+        return F.when(last >= first, F.transform(F.sequence(first, last, F.lit(2)), lambda i: F.array_join(F.slice(pieces, i, 2 * n - 1), ""))).otherwise(F.array().cast("array<string>"))
+
+    # the pieces are bound to a variable, else every run would cut the text again
+    return X.bind(_pieces(F.lower(text)), lambda pieces: F.flatten(F.transform(lengths, lambda n: of(pieces, n))))
+
+
 def mentions(texts: DataFrame, names: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """J16 — which names occur in which text, as whole words, with an optional plural ``s``, case ignored.
 
-    The tokens of a text meet the first token of each name by an equi join; only names of several tokens need a
-    second look at the text. No text is paired with every name.
+    A name is found by its whole run of words: a text's runs of as many words as names have meet the names in one equi join, whatever
+    the length of the name, and no text is looked at twice. Names that don't begin and end with a word character have no such run; these
+    few meet the texts that hold their words and are searched there.
     """
     keep = keep or ["entity"]
-    tokens = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)), lambda x: F.lower(x)))
-    words = texts.select("text_id", F.explode(tokens).alias("_tok"))          # the text itself is not copied per token
-    first = F.lower(F.regexp_extract("alias", _TOKEN, 0))
-    single = F.lower("alias") == first
-    forms = F.when(single, F.array(first, F.concat(first, F.lit("s")))).otherwise(F.array(first))
-    heads = names.select(*keep, F.col("alias").alias("_alias"), (~single).alias("_long"), F.explode(forms).alias("_tok"))
-    hit = words.join(heads, "_tok")
-    sure = hit.filter(~F.col("_long")).select("text_id", *keep)
-    literal = F.concat(F.lit(r"\Q"), "_alias", F.lit(r"\E"))
-    whole = F.concat(F.lit(V.UNICODE_FLAGS + f"(?<!{_EDGE})"), literal, F.lit(f"s?(?!{_EDGE})"))
-    maybe = hit.filter("_long").select("text_id", *keep, "_alias").distinct().join(texts.select("text_id", "text"), "text_id").filter(F.rlike(F.col("text"), whole))
-    return sure.unionByName(maybe.select("text_id", *keep)).distinct()
+    shape = names.select(*keep, F.lower("alias").alias("_alias"), _pieces(F.col("alias")).alias("_p"),
+                         F.col("alias").rlike(r"(?U)^[\w'’-](.*[\w'’-])?$").alias("_whole"))
+    whole = shape.filter("_whole").withColumn("_n", F.ceil(F.size("_p") / 2).cast("int"))
+    lengths = whole.agg(F.coalesce(F.array_sort(F.collect_set("_n")), F.array().cast("array<int>")).alias("_lengths"))          # one row: the names' lengths in words
+    runs = texts.select("text_id", "text").crossJoin(F.broadcast(lengths)).select("text_id", F.explode(word_runs(F.col("text"), F.col("_lengths"))).alias("_run"))
+    forms = whole.select(*keep, F.explode(F.array("_alias", F.concat("_alias", F.lit("s")))).alias("_form"))
+    found = runs.join(forms, F.col("_run") == F.col("_form")).select("text_id", *keep)
+    literal = F.concat(F.lit(V.UNICODE_FLAGS + f"(?<!{_EDGE})" + r"\Q"), "_alias", F.lit(r"\E" + f"s?(?!{_EDGE})"))
+    words = lambda c: F.explode(F.transform(F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0)), lambda x: F.lower(x)))
+    odd = shape.filter("NOT _whole").select(*keep, "_alias", words(F.col("_alias")).alias("_w"))
+    maybe = texts.select("text_id", words(F.col("text")).alias("_w")).join(odd, "_w").select("text_id", *keep, "_alias").distinct()
+    rest = maybe.join(texts.select("text_id", "text"), "text_id").filter(F.rlike(F.col("text"), literal)).select("text_id", *keep)
+    return found.unionByName(rest).distinct()
 
 
 def unknown_names(texts: DataFrame, names: DataFrame, terms: DataFrame) -> DataFrame:
-    """V13 — capitalised words inside a sentence that neither the dictionary nor the common words know."""
-    found = texts.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?U)" + V.CLAIM_CAPITALISED), F.lit(1)))).alias("candidate"))
+    """V13 — capitalised words inside a sentence that the dictionary, its mechanics and the common words don't know; one row per place.
+
+    Of ``terms`` those of ``kind`` mechanic count as known (all, when the column is absent): slang does not excuse a name.
+    """
+    found = texts.select("text_id", F.explode(F.regexp_extract_all("text", F.lit("(?U)" + V.CLAIM_CAPITALISED), F.lit(1))).alias("candidate"))
     low = F.lower("candidate")
     found = found.withColumns({"_low": low, "_head": F.element_at(F.split(low, " "), 1)})
     common = [w.lower() for w in V.CLAIM_COMMON_WORDS]
     found = found.filter(~F.col("_low").isin(common) & ~F.col("candidate").isin(V.CLAIM_SIDE_NAMES))
-    known = names.select(F.lower("alias").alias("_k")).union(terms.select(F.lower("term"))).distinct()
+    mechanics = terms.filter("kind = 'mechanic'") if "kind" in terms.columns else terms
+    known = names.select(F.lower("alias").alias("_k")).union(mechanics.select(F.lower("term"))).distinct()
     units = names.select(F.lower("alias").alias("_k")).distinct()
     # a candidate may also be the beginning of a longer name: every leading part of a name, cut at a blank
     parts = F.split(F.lower("alias"), " ")

@@ -272,68 +272,92 @@ def v26(t):
 
 # ------------------------------------------------------------------------------------------ claims
 part("tokens")(r"SELECT doc_id, unnest(string_split_regex(text, '[^\p{L}\p{N}_''’-]+')) AS w FROM documents")
-part("entities", "tokens")(r"""
-SELECT entity, strlen(entity) % 2 = 0 AS air, strlen(entity) % 3 = 0 AS cloaked, strlen(entity) % 5 = 0 AS detector FROM (
- SELECT w AS entity, count(*) AS n FROM tokens WHERE regexp_full_match(w, '[A-ZÀ-Þ][a-zà-ÿ]{2,}') GROUP BY w ORDER BY n DESC, w LIMIT 40)""")
+part("names")(r"""
+SELECT DISTINCT entity, kind, air, cloaked, detector FROM (SELECT entity, CASE WHEN strlen(entity) % 7 = 0 THEN 'building' ELSE 'unit' END AS kind, strlen(entity) % 2 = 0 AS air, strlen(entity) % 3 = 0 AS cloaked, strlen(entity) % 5 = 0 AS detector FROM (
+ SELECT CASE WHEN k = 1 THEN a ELSE a || ' ' || b END AS entity FROM (
+  SELECT s AS a, lead(s) OVER d AS gap, lead(s, 2) OVER d AS b FROM (SELECT n, unnest(p) AS s, unnest(range(len(p))) AS i FROM (
+   SELECT row_number() OVER () AS n, regexp_extract_all(text, '[\p{L}\p{N}_''’-]+|[^\p{L}\p{N}_''’-]+') AS p FROM conversations)) WINDOW d AS (PARTITION BY n ORDER BY i)) w, (SELECT unnest([1, 2]) AS k) k
+ WHERE regexp_full_match(a, '[A-ZÀ-Þ][a-zà-ÿ]{2,}') AND (k = 1 OR (gap = ' ' AND regexp_full_match(b, '[A-ZÀ-Þ][a-zà-ÿ]{2,}')))))""")
+part("pieces")(r"SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_''’-]+|[^\p{L}\p{N}_''’-]+') AS p FROM documents)")
+part("named", "pieces", "names")(r"""
+SELECT DISTINCT doc_id, n.* EXCLUDE (form) FROM (SELECT doc_id, lower(s) AS run FROM pieces UNION SELECT doc_id, lower(s || lead(s) OVER d || lead(s, 2) OVER d) FROM pieces WINDOW d AS (PARTITION BY doc_id ORDER BY i)) r
+JOIN (SELECT *, unnest([lower(entity), lower(entity) || 's']) AS form FROM names) n ON r.run = n.form""")
 
 
 def entities(t):
-    """The dictionary, stored once: 40 rows that several joins use."""
+    """The dictionary, stored once: several joins use it."""
     if not hasattr(t, "_entities"):
         t._entities = stored(_entities(t), "entities")
     return t._entities
 
 
 def _entities(t):
-    """The 40 most frequent capitalised words as the dictionary (a top-k report)."""
-    tok = t.raw("documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"(?U)[\w'’-]+"), F.lit(0))).alias("w"))
-    top_words = tok.filter(F.col("w").rlike("^[A-ZÀ-Þ][a-zà-ÿ]{2,}$")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(40)
-    n = F.octet_length("w")
-    return top_words.select(F.col("w").alias("entity"), F.col("w").alias("alias"), F.lit("unit").alias("kind"), F.lit("Zerg").alias("side"), (n % 2 == 0).alias("air"), (n % 3 == 0).alias("cloaked"),
-                            (n % 5 == 0).alias("detector"))
+    """All capitalised words of the conversations and all pairs of neighbouring ones, whatever their number."""
+    text, cap = t.raw("conversations").select("text"), "[A-ZÀ-Þ][a-zà-ÿ]{2,}"
+    edge = r"[\w'’-]"
+    one = text.select(F.explode(F.regexp_extract_all("text", F.lit(f"(?U)(?<!{edge}){cap}(?!{edge})"), F.lit(0))).alias("entity"))
+    two = text.select(F.explode(F.regexp_extract_all("text", F.lit(f"(?U)(?<!{edge})(?=({cap} {cap})(?!{edge}))"), F.lit(1))).alias("entity"))
+    n = F.octet_length("entity")
+    return one.unionByName(two).distinct().select("entity", F.col("entity").alias("alias"), F.when(n % 7 == 0, "building").otherwise("unit").alias("kind"), F.lit("Zerg").alias("side"),
+                                                  (n % 2 == 0).alias("air"), (n % 3 == 0).alias("cloaked"), (n % 5 == 0).alias("detector"))
 
 
 def texts(t):
     return t.raw("documents").select(F.col("doc_id").alias("text_id"), "text", F.when(F.col("doc_id") % 2 == 0, "Terran").otherwise("Zerg").alias("side"), F.col("lang").alias("pack"))
 
 
-@query("j16_dictionary_mentions", "SELECT DISTINCT doc_id AS text_id, entity FROM tokens JOIN entities ON lower(w) = lower(entity) OR lower(w) = lower(entity) || 's'", "tokens", "entities")
+@query("j16_dictionary_mentions", "SELECT doc_id AS text_id, entity FROM named", "named")
 def j16(t):
     return L.mentions(texts(t), entities(t))
 
 
-_CLAIM = r"""
-WITH m AS (SELECT doc_id, bool_or(air) AS air, bool_or(cloaked) AS cloaked, bool_or(detector) AS detector FROM tokens JOIN entities ON lower(w) = lower(entity) OR lower(w) = lower(entity) || 's' GROUP BY doc_id),
- x AS (SELECT d.doc_id, d.lang, d.text, m.doc_id IS NOT NULL AS named, coalesce(m.air, false) AS air, coalesce(m.cloaked, false) AS cloaked, coalesce(m.detector, false) OR regexp_matches(d.text, '(?i)(^|[^\p{L}\p{N}_])scan([^\p{L}\p{N}_]|$)') AS answer FROM documents d LEFT JOIN m USING (doc_id)),
- issues AS (SELECT doc_id, 'Erreur' AS level, 'invisible sans nom' AS rule FROM x WHERE regexp_matches(text, '(?i)invisible|cloak|enterr') AND NOT cloaked AND NOT answer
-  UNION ALL SELECT doc_id, 'Erreur', 'anti-aérien sans air' FROM x WHERE regexp_matches(text, '(?i)anti[- ]a[ée]rien|dans les airs|tire en l''air') AND NOT air
-  UNION ALL SELECT doc_id, 'Erreur', 'détection mal attribuée' FROM x WHERE NOT (regexp_matches(text, '(?i)invisible|cloak|enterr') AND NOT cloaked AND NOT answer) AND regexp_matches(text, '(?i)détect') AND named AND NOT cloaked AND NOT answer
-  UNION ALL SELECT doc_id, 'Erreur', 'supply d''avant-patch' FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b\d{1,2}\s*(hatch|pool|gate|rax|nexus|ouvriers?|drones?)\b')) FROM x)
-  UNION ALL SELECT doc_id, 'Erreur', 'mauvais camp' FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:tes|ton|ta|mes|mon|ma|nos|notre)\s+([A-Za-zÀ-ÿ][\p{L}\p{N}_''’-]*)', 1)) AS word FROM x WHERE doc_id % 2 = 0)
-    JOIN entities ON lower(entity) = lower(word)
-  UNION ALL SELECT doc_id, 'Doute', 'sans ancrage' FROM x WHERE NOT named)
+_COMMON = ", ".join("'" + w.lower().replace("'", "''") + "'" for w in V.CLAIM_COMMON_WORDS)
+_SIDES = ", ".join(f"'{w}'" for w in V.CLAIM_SIDE_NAMES)
+# words and gaps by number; ``joins``: the word can end a pair whose first word is the one before it; in a chain of such words every second one starts a name
+part("unknown", "names")(rf"""
+WITH q AS (SELECT doc_id, s, i, lag(s) OVER d AS before, lead(s) OVER d AS gap, lead(s, 2) OVER d AS next_word FROM (
+   SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS p FROM documents)) WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+ w AS (SELECT *, before IS NOT NULL AND regexp_full_match(s, '[A-ZÀ-Þ][a-zà-ÿ]{{2,}}') AND NOT regexp_matches(before, '[.!?…]\s$') AS starts, coalesce(regexp_full_match(s, '[A-ZÀ-Þ][a-zà-ÿ]+') AND regexp_full_match(before, '\s+'), false) AS ends
+  FROM q WHERE regexp_matches(s, '^[\p{{L}}\p{{N}}_]')),
+ l AS (SELECT *, ends AND coalesce(lag(starts) OVER d, false) AS joins, coalesce(lead(ends) OVER d, false) AS goes_on FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+ c AS (SELECT *, (i - max(CASE WHEN NOT joins THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)) // 2 % 2 = 0 AS even FROM l),
+ f AS (SELECT doc_id, CASE WHEN goes_on THEN s || gap || next_word ELSE s END AS candidate FROM c WHERE starts AND even)
+SELECT doc_id, candidate FROM f WHERE lower(candidate) NOT IN ({_COMMON}) AND candidate NOT IN ({_SIDES}) AND lower(candidate) NOT IN (SELECT lower(entity) FROM names)
+ AND string_split(lower(candidate), ' ')[1] NOT IN (SELECT lower(entity) FROM names) AND lower(candidate) NOT IN (SELECT string_split(lower(entity), ' ')[1] FROM names WHERE contains(entity, ' '))""")
+
+_CLAIM = rf"""
+WITH m AS (SELECT doc_id, bool_or(kind = 'unit') AS named, bool_or(kind = 'unit' AND air) AS air, bool_or(kind = 'unit' AND cloaked) AS cloaked, bool_or(kind = 'unit' AND detector) AS detector FROM named GROUP BY doc_id),
+ x AS (SELECT d.doc_id, d.lang, d.text, m.doc_id IS NOT NULL AS anchored, coalesce(m.named, false) AS named, coalesce(m.air, false) AS air, coalesce(m.cloaked, false) AS cloaked, coalesce(m.detector, false) OR regexp_matches(d.text, '(?i)(^|[^\p{{L}}\p{{N}}_])scan([^\p{{L}}\p{{N}}_]|$)') AS answer FROM documents d LEFT JOIN m USING (doc_id)),
+ issues AS (SELECT doc_id, 'Erreur' AS level, 'invisible sans nom' AS rule FROM x WHERE regexp_matches(text, '(?i){V.CLAIM_THREAT}') AND NOT cloaked AND NOT answer
+  UNION ALL SELECT doc_id, 'Erreur', 'anti-aérien sans air' FROM x WHERE regexp_matches(text, '(?i){V.CLAIM_ANTI_AIR.replace("'", "''")}') AND NOT air
+  UNION ALL SELECT doc_id, 'Erreur', 'détection mal attribuée' FROM x WHERE NOT (regexp_matches(text, '(?i){V.CLAIM_THREAT}') AND NOT cloaked AND NOT answer) AND regexp_matches(text, '(?i){V.CLAIM_DETECTION}') AND named AND NOT cloaked AND NOT answer
+  UNION ALL SELECT doc_id, 'Erreur', 'supply d''avant-patch' FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i){V.CLAIM_OUTDATED}')) FROM x)
+  UNION ALL SELECT doc_id, 'Erreur', 'mauvais camp' FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:tes|ton|ta|mes|mon|ma|nos|notre)\s+([A-Za-zÀ-ÿ][\p{{L}}\p{{N}}_''’-]*)', 1)) AS word FROM x WHERE doc_id % 2 = 0)
+    JOIN names ON lower(entity) = lower(word) AND kind = 'unit'
+  UNION ALL SELECT doc_id, 'Doute', 'sans ancrage' FROM x WHERE NOT anchored
+  UNION ALL SELECT doc_id, 'Doute', 'unité inconnue' FROM unknown)
 """
 
 
-@query("v13_text_claims", _CLAIM + "SELECT doc_id AS text_id, level, rule FROM issues", "tokens", "entities")
+def no_terms(t):
+    return t.spark.createDataFrame([], "term string")
+
+
+@query("v13_text_claims", _CLAIM + "SELECT doc_id AS text_id, level, rule FROM issues", "named", "unknown")
 def v13(t):
-    none = t.spark.createDataFrame([], "term string")
-    return L.check_claims(texts(t), entities(t), none).filter("rule <> 'unité inconnue'").select("text_id", "level", "rule")
+    return L.check_claims(texts(t), entities(t), no_terms(t)).select("text_id", "level", "rule")
 
 
-@query("v13_unknown_names")
+@query("v13_unknown_names", "SELECT doc_id AS text_id, candidate FROM unknown", "unknown")
 def v13b(t):
-    none = t.spark.createDataFrame([], "term string")
-    return L.unknown_names(texts(t), entities(t), none)
+    return L.unknown_names(texts(t), entities(t), no_terms(t))
 
 
 @query("v14_pack_lint", _CLAIM + """, p AS (SELECT doc_id, count(*) FILTER (level = 'Erreur') AS e, count(*) FILTER (level = 'Doute') AS d FROM issues GROUP BY doc_id)
 SELECT lang AS pack, count(*) AS texts, count(*) FILTER (p.doc_id IS NULL) AS clean, CAST(coalesce(sum(e), 0) AS BIGINT) AS errors, CAST(coalesce(sum(d), 0) AS BIGINT) AS doubts, CASE WHEN coalesce(sum(e), 0) = 0 THEN 'conforme' ELSE 'non_conforme' END AS label
-FROM documents LEFT JOIN p USING (doc_id) GROUP BY lang""", "tokens", "entities")
+FROM documents LEFT JOIN p USING (doc_id) GROUP BY lang""", "named", "unknown")
 def v14(t):
-    none = t.spark.createDataFrame([], "term string")
-    issues = L.check_claims(texts(t), entities(t), none).filter("rule <> 'unité inconnue'")
-    return L.lint_summary(texts(t), issues)
+    return L.lint_summary(texts(t), L.check_claims(texts(t), entities(t), no_terms(t)))
 
 
 @query("v15_expected_rules", """
