@@ -185,8 +185,16 @@ def test_snapshot_keeps_the_previous_version(spark, tmp_path):
     outcome = lambda df: {r.k: r.outcome for r in df.collect()}
     assert outcome(P.write_snapshot(make([("a", "1"), ("b", "2")]), path, "k", "s1")) == {"1": "created", "2": "created"}
     assert outcome(P.write_snapshot(make([("a", "1"), ("c", "2")]), path, "k", "s2")) == {"1": "unchanged", "2": "archived"}
-    assert sorted((r.v, str(r.k)) for r in spark.read.parquet(f"{path}/current").collect()) == [("a", "1"), ("c", "2")]
-    assert [(r.v, str(r.k), r.stamp) for r in spark.read.parquet(f"{path}/archives").collect()] == [("b", "2", "s2")]
+    want = [("a", "1", "s1", True), ("b", "2", "s1", False), ("c", "2", "s2", True)]
+    read = lambda: sorted((r.v, r.k, r.stamp, r.is_current) for r in P.read_versions(spark, path, "k", make([("a", "1")]).schema).collect())
+    assert read() == want
+    # the same stamp again, even with other rows: nothing changes
+    assert outcome(P.write_snapshot(make([("z", "1"), ("c", "2")]), path, "k", "s2")) == {"1": "unchanged", "2": "archived"} and read() == want
+    # a write that was cut off before its row in the manifest does not count, and its folders are replaced
+    make([("lost", "9")]).write.parquet(f"{path}/data/stamp=s3")
+    assert read() == want
+    P.write_snapshot(make([("a", "1")]), path, "k", "s3")
+    assert read() == want and P.manifest(spark, path).count() == 3
 
 
 def test_cases_folder(spark, tmp_path):

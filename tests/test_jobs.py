@@ -105,16 +105,16 @@ def test_calls_are_numbered_over_all_files_of_a_session(spark, tmp_path):
 
 
 def test_snapshot_keeps_versions_and_fails_on_other_errors(spark, tmp_path):
-    from turnstone.operators.snapshot import write_snapshot
+    from turnstone.operators.snapshot import read_versions, write_snapshot
 
     one = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     two = spark.createDataFrame([("a", 1), ("b", 3), ("c", 4)], "k string, v int")
     path = str(tmp_path / "snap")
     assert {r.outcome for r in write_snapshot(one, path, "k", "20260105-0900").collect()} == {"created"}
     assert {r.k: r.outcome for r in write_snapshot(two, path, "k", "20260112-0900").collect()} == {"a": "unchanged", "b": "archived", "c": "created"}
-    assert {r.k: r.v for r in spark.read.parquet(f"{path}/current").collect()} == {"a": 1, "b": 3, "c": 4}
-    assert [(r.k, r.v) for r in spark.read.parquet(f"{path}/archives").collect()] == [("b", 2)]
-    (tmp_path / "broken" / "current").mkdir(parents=True)
-    (tmp_path / "broken" / "current" / "part-0.parquet").write_text("no parquet")
+    rows = read_versions(spark, path, "k", one.schema).collect()
+    assert {r.k: r.v for r in rows if r.is_current} == {"a": 1, "b": 3, "c": 4} and [(r.k, r.v) for r in rows if not r.is_current] == [("b", 2)]
+    (tmp_path / "broken" / "manifest").mkdir(parents=True)
+    (tmp_path / "broken" / "manifest" / "part-0.parquet").write_text("no parquet")
     with pytest.raises(Exception):
         write_snapshot(two, str(tmp_path / "broken"), "k", "20260112-0900")

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +75,29 @@ def test_spend_csv(spark, tmp_path):
     assert none.count() == 0 and len(warned) == 2
 
 
+def test_spend_csv_is_cut_anywhere(spark, tmp_path):
+    """Many small splits: quoted line breaks, commas and quotes across their borders come out as a reader of the whole file sees them."""
+    rnd, rows = random.Random(4), []
+    for i in range(400):
+        note = "".join(rnd.choice(['a', ' ', ',', '""', "\n", "\n\n", "é"]) for _ in range(rnd.randint(0, 60)))
+        rows.append(f'u{i}@x.org,acc,"{note}",m-opus,Opus,{i},{i},1,$1,$2')
+    head = "User Email,Account UUID,Product,Model,Model Family,Request Count,Prompt Tokens,Completion Tokens,Net Spend (USD),Gross Spend (USD)"
+    for name, part in (("a.csv", rows[:300]), ("b.csv", rows[300:])):
+        (tmp_path / name).write_text("\n".join([head, *part]) + "\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "700")
+    try:
+        got, _ = SP.read_spend(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        found = sorted((r.email, r.product, r.requests) for r in got.collect())
+    finally:
+        spark.conf.set(key, old)
+    plain = spark.read.csv(str(tmp_path), header=True, multiLine=True, quote='"', escape='"')
+    want = sorted((r["User Email"], (r["Product"] or "").strip(" "), int(r["Request Count"])) for r in plain.collect())
+    assert found == want and len(found) == 400
+
+
 def test_team_marks_idle_and_under_used(spark):
     l = spark.createDataFrame([("a", 0), ("b", 100), ("c", 900)], "person string, total_tokens bigint")
     got = {r.person: (r.under_used, r.idle) for r in U.team_utilisation(l, 100, 4).collect()}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnstone.operators.cases import combine_words, row_words, word_fingerprint
 
@@ -18,33 +19,81 @@ def write_outcomes(previous: DataFrame, current: DataFrame, key: str, row: Colum
     """S13 — per key: created, unchanged, archived (the previous version must be kept) or, when only the old one exists, absent."""
     old = partition_fingerprints(previous, key, row).withColumnRenamed("fingerprint", "_old")
     new = partition_fingerprints(current, key, row).withColumnRenamed("fingerprint", "_new")
+    return compare_fingerprints(old, new, key)
+
+
+def compare_fingerprints(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     outcome = (F.when(F.col("_old").isNull(), "created").when(F.col("_new").isNull(), "absent")
                .when(F.col("_old") == F.col("_new"), "unchanged").otherwise("archived"))
     return old.join(new, key, "full").select(key, outcome.alias("outcome"))
 
 
-def write_snapshot(current: DataFrame, path: str, key: str, stamp: str) -> DataFrame:
-    """S13 — write the keys that changed under ``path/current`` and keep their former rows under ``path/archives``.
+# A version table: ``data`` holds the rows of the keys that a write created or changed, ``keys`` their fingerprints, ``outcome`` what the
+# write found, each in one folder per write; ``manifest`` lists the writes that are complete. Folders that it does not list don't count.
+_MANIFEST = "stamp string, place bigint"
 
-    Dynamic partition overwrite touches only the changed keys. Returns the outcome table.
-    """
-    spark = current.sparkSession
-    row = F.to_json(F.struct(*[c for c in current.columns if c != key]))
+
+def _or_none(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
-        previous = spark.read.schema(current.schema).parquet(f"{path}/current")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":          # any other failure must not pass for "nothing written yet"
             raise
-        previous = spark.createDataFrame([], current.schema)
-    from turnstone.session import stored
-    outcome = stored(write_outcomes(previous, current, key, row), "snapshot-outcome")
-    changed = outcome.filter("outcome = 'archived'").select(key)
-    (previous.join(changed, key, "left_semi").withColumn("stamp", F.lit(stamp)).write.mode("append").partitionBy(key, "stamp")
-     .parquet(f"{path}/archives"))
-    fresh = outcome.filter("outcome IN ('archived', 'created')").select(key)
-    (current.join(fresh, key, "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key)
-     .parquet(f"{path}/current"))
-    return outcome
+        return spark.createDataFrame([], schema)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``stamp, place``: the complete writes in their order, one row each."""
+    return _or_none(spark, f"{path}/manifest", _MANIFEST)
+
+
+def _versions(spark: SparkSession, path: str, part: str, schema) -> DataFrame:
+    """Rows of the complete writes with their ``stamp`` and ``place``."""
+    kind = T.StructType([*schema.fields, T.StructField("stamp", T.StringType())])
+    return _or_none(spark, f"{path}/{part}", kind).join(F.broadcast(manifest(spark, path)), "stamp")          # one row per write
+
+
+def _key_schema(schema, key: str):
+    return T.StructType([T.StructField(key, schema[key].dataType), T.StructField("fingerprint", T.StringType())])
+
+
+def write_snapshot(current: DataFrame, path: str, key: str, stamp: str) -> DataFrame:
+    """S13 — add a version of the keys that changed; returns the outcome per key.
+
+    Only fingerprints are compared with the versions before; rows of unchanged keys are neither read nor written. The folders of a write are
+    replaced when it runs again, and one row in the manifest makes it count, so a write that was cut off leaves nothing behind and a
+    repeated one with the same stamp changes nothing and returns the same outcome. Folders grow with the writes, not with the keys.
+    """
+    spark, schema = current.sparkSession, current.schema
+    result = T.StructType([T.StructField(key, schema[key].dataType), T.StructField("outcome", T.StringType())])
+    done = {r["stamp"]: r["place"] for r in manifest(spark, path).collect()}          # one short row per write
+    if stamp not in done:
+        row = F.to_json(F.struct(*[c for c in current.columns if c != key]))
+        old = latest_keys(spark, path, key, schema).select(key, F.col("fingerprint").alias("_old"))
+        new = partition_fingerprints(current, key, row)
+        new.write.mode("overwrite").parquet(f"{path}/pending/stamp={stamp}")
+        new = spark.read.schema(_key_schema(schema, key)).parquet(f"{path}/pending/stamp={stamp}")
+        outcome = compare_fingerprints(old, new.withColumnRenamed("fingerprint", "_new"), key)
+        outcome.write.mode("overwrite").parquet(f"{path}/outcome/stamp={stamp}")
+        fresh = spark.read.schema(result).parquet(f"{path}/outcome/stamp={stamp}").filter("outcome IN ('archived', 'created')").select(key)
+        new.join(fresh, key, "left_semi").write.mode("overwrite").parquet(f"{path}/keys/stamp={stamp}")
+        current.join(fresh, key, "left_semi").repartition(key).write.mode("overwrite").parquet(f"{path}/data/stamp={stamp}")
+        spark.createDataFrame([(stamp, len(done))], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return spark.read.schema(result).parquet(f"{path}/outcome/stamp={stamp}")
+
+
+def latest_keys(spark: SparkSession, path: str, key: str, schema) -> DataFrame:
+    """``key, fingerprint, stamp`` of the current version of every key."""
+    known = _versions(spark, path, "keys", _key_schema(schema, key))
+    return known.groupBy(key).agg(F.max_by(F.struct("fingerprint", "stamp"), "place").alias("_v")).select(key, "_v.fingerprint", "_v.stamp")
+
+
+def read_versions(spark: SparkSession, path: str, key: str, schema) -> DataFrame:
+    """S13 — all rows ever written with their ``stamp`` and ``is_current``; the others are the archive."""
+    now = latest_keys(spark, path, key, schema).select(F.col(key).alias("_k"), F.col("stamp").alias("_s"))
+    rows = _versions(spark, path, "data", schema).drop("place")
+    j = rows.join(now, (F.col(key) == F.col("_k")) & (F.col("stamp") == F.col("_s")), "left")
+    return j.select(*[f.name for f in schema.fields], "stamp", F.col("_s").isNotNull().alias("is_current"))
 
 
 def version_history(names: DataFrame, week: str) -> DataFrame:

@@ -97,19 +97,20 @@ def missing_critical(fields: DataFrame, critical=None) -> DataFrame:
                        .otherwise(F.concat_ws(".", "type", "field")).alias("missing"))
 
 
+LENGTH_RANGE = 1024
+
+
 def length_summary(df: DataFrame, length: Column) -> DataFrame:
     """A05 — min, upper median and max of a length.
 
-    Lengths are counted first, so only distinct lengths are ordered, never the rows.
+    Lengths are counted first, so only distinct lengths are ordered, never the rows. Their running count is a prefix scan over ranges of
+    ``LENGTH_RANGE`` lengths, so no task sees all of them; the median is the first length whose running count passes the middle.
     """
-    from pyspark.sql import Window
-    counts = df.groupBy(length.alias("len")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("len")
-    total = F.sum("n").over(Window.partitionBy())
-    ranked = counts.withColumns({"upto": F.sum("n").over(w), "total": total})
-    middle = F.floor(F.col("total") / 2)
-    return ranked.agg(F.max("total").alias("n"), F.min("len").alias("min_len"),
-                      F.min(F.when(F.col("upto") > middle, F.col("len"))).alias("median_len"), F.max("len").alias("max_len"))
+    counts = df.groupBy(length.alias("len")).agg(F.count(F.lit(1)).alias("n")).filter("len IS NOT NULL").withColumn("_all", F.lit(1))
+    ranked = O.ordered_scan(counts, ["_all"], ["len"], {"upto": O.running_sum(F.col("n"))}, O.runs("len", LENGTH_RANGE))
+    total = counts.agg(F.sum("n").alias("total"))
+    return ranked.crossJoin(F.broadcast(total)).agg(          # one row
+        F.max("total").alias("n"), F.min("len").alias("min_len"), F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("len"))).alias("median_len"), F.max("len").alias("max_len"))
 
 
 # ------------------------------------------------------------------------------------- sessions

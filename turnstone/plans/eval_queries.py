@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import turnstone.operators.rewriting as RW
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from turnstone.functions import fixed_values as V
 from turnstone.operators import cases as C, claims as L, contract as Q, retrieval as I, segmentation as S, snapshot as P
 from turnstone.plans.oracle_base import part, words
 from turnstone.plans.registry import query, r6
-from turnstone.session import stored
+from turnstone.session import shared_dir, stored
 
 K = 10
 part("golden")("""
@@ -572,6 +574,19 @@ def s13(t):
     return P.write_outcomes(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), "o_custkey", F.col("o_orderpriority"))
 
 
+@query("s13_written_versions", """
+WITH a AS (SELECT o_custkey, list_sort(list(o_orderpriority)) AS x FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL), b AS (SELECT o_custkey, list_sort(list(o_orderpriority)) AS x FROM orders WHERE o_orderkey % 2 = 1 GROUP BY ALL)
+SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN b.x IS NULL OR a.x = b.x THEN 's1' ELSE 's2' END AS stamp, CASE WHEN b.x IS NULL OR a.x = b.x THEN len(a.x) ELSE len(b.x) END AS current_rows,
+ CASE WHEN a.x IS NOT NULL AND b.x IS NOT NULL AND a.x <> b.x THEN len(a.x) ELSE 0 END AS archived_rows FROM a FULL JOIN b ON a.o_custkey = b.o_custkey""")
+def s13w(t):
+    path = f"{shared_dir(t.spark)}/versions-{uuid.uuid4().hex}"
+    o = t.raw("orders")
+    for stamp, odd in (("s1", 0), ("s2", 1), ("s2", 1)):                 # the last write is repeated
+        P.write_snapshot(o.filter(f"o_orderkey % 2 = {odd}").select("o_custkey", "o_orderpriority"), path, "o_custkey", stamp)
+    v = P.read_versions(t.spark, path, "o_custkey", o.select("o_custkey", "o_orderpriority").schema)
+    return v.groupBy("o_custkey").agg(F.max(F.when(F.col("is_current"), F.col("stamp"))).alias("stamp"), F.count_if("is_current").alias("current_rows"), F.count_if(~F.col("is_current")).alias("archived_rows"))
+
+
 @query("s14_version_history", """
 SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE epoch_us(TIMESTAMP '2024-01-01 00:00:00' + (doc_id % 400) * INTERVAL 1 HOUR) END AS stamp_us, CASE WHEN doc_id % 11 <> 0 AND doc_id % 3 = 0 THEN CAST(2 + doc_id % 9 AS INT) ELSE 1 END AS rank FROM documents WHERE doc_id % 2 = 0""")
 def s14(t):

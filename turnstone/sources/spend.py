@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnstone.functions import exprs as X
 from turnstone.functions import fixed_values as V
+from turnstone.operators import ordered as O
 
 _SCHEMA = ("email string, account string, product string, model string, requests bigint, prompt_tokens bigint, "
            "completion_tokens bigint, net decimal(18,6), gross decimal(18,6), day date")
@@ -29,16 +30,35 @@ def missing_fields(columns: list[str]) -> list[str]:
     return [f for f in ("email", "model") if f not in found]
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """S05 — ``file, record_no, record``: the records of CSV files, each file read by as many tasks as it has splits.
+
+    A line break ends a record when the quotes up to it are even in number. Lines are read split by split, their quotes are summed up in
+    a prefix scan over the splits of a file, and the lines between two such ends are joined again. Line breaks inside a cell become ``\\n``.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    counted = O.ordered_scan(lines.withColumn("_q", quotes.cast("bigint")), ["file"], ["block", "pos"], {"upto": O.running_sum(F.col("_q"))}, F.col("block"))
+    ends = (F.col("upto") % 2 == 0).cast("bigint")
+    ended = O.ordered_scan(counted, ["file"], ["block", "pos"], {"_to": O.running_sum(ends)}, F.col("block"))
+    of = ended.withColumn("record_no", F.col("_to") - ends)          # a line that ends a record belongs to it
+    line = F.struct("block", "pos", "value")
+    return of.groupBy("file", "record_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["value"]), "\n").alias("record"))      # the lines of one record
+
+
 def read_spend(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     """S05, S06 — rows of the report and warnings. Unrelated headers give no rows and a warning.
 
-    Quoted cells may hold commas, doubled quotes and line breaks.
+    Quoted cells may hold commas, doubled quotes and line breaks. The header is read from the first record; each file has one.
     """
-    csv = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
-    missing = missing_fields(csv.columns)
+    columns = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False).columns          # reads one record
+    missing = missing_fields(columns)
     if missing:
         return spark.createDataFrame([], _SCHEMA), [f"column « {m} » not found" for m in missing]
-    found = map_header(csv.columns)
+    found = map_header(columns)
+    shape = ", ".join(f"c{i} string" for i in range(len(columns)))
+    record = F.from_csv("record", shape, {"quote": '"', "escape": '"'})
+    csv = csv_records(spark, path).filter("record_no > 0").select(record.alias("r")).select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(columns)])
 
     def cell(field: str):
         return F.coalesce(F.trim(F.col(f"`{found[field]}`")), F.lit("")) if field in found else F.lit("")
