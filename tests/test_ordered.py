@@ -58,23 +58,28 @@ def test_as_of_takes_the_latest_at_or_before(spark, width):
     assert got == {1: None, 2: 3, 3: 3, 4: None}
 
 
-def test_points_in_intervals_matches_brute_force(spark):
+@pytest.mark.parametrize("unit", [1, 60, 10_000])
+def test_points_in_intervals_matches_brute_force(spark, unit):
     rnd = random.Random(3)
     points = [(rnd.choice("ab"), i, rnd.randint(0, 5000)) for i in range(60)]
     spans = [(rnd.choice("ab"), i, (s := rnd.randint(0, 5000)), s + rnd.randint(-50, 900)) for i in range(40)]
     p = spark.createDataFrame(points, "k string, id int, s int").selectExpr("k", "id", "timestamp_seconds(s) AS at")
     w = spark.createDataFrame(spans, "k string, w int, a int, b int").selectExpr("k", "w", "timestamp_seconds(a) AS a", "timestamp_seconds(b) AS b")
-    got = {(r.id, r.w) for r in intervals.points_in_intervals(p, w, ["k"], "at", "a", "b").collect()}
+    got = {(r.id, r.w) for r in intervals.points_in_intervals(p, w, ["k"], "at", "a", "b", unit).collect()}
     assert got == {(i, j) for k, i, s in points for k2, j, a, b in spans if k == k2 and a <= s <= b}
-    latest = {r.id: (r.found, r.candidates) for r in intervals.latest_interval(p, w, ["k"], ["id"], "at", "a", "b", "w", "w").collect()}
+    latest = {r.id: (r.found, r.candidates) for r in intervals.latest_interval(p, w, ["k"], ["id"], "at", "a", "b", "w", "w", unit).collect()}
     held = {i: [j for k2, j, a, b in spans if k == k2 and a <= s <= b] for k, i, s in points}
     assert latest == {i: (max(js), len(js)) for i, js in held.items() if js}
 
 
 def test_cover_is_small_and_exact(spark):
     rnd = random.Random(9)
-    rows = [(i, (s := rnd.randint(0, 1 << 40)), s + rnd.choice([0, 1, 2, rnd.randint(0, 1 << 38)])) for i in range(200)] + [(200, 0, (1 << 45) - 1)]
-    df = spark.createDataFrame(rows, "i int, s long, e long").selectExpr("*", "timestamp_micros(s) AS a", "timestamp_micros(e) AS b")
-    for r in df.withColumn("nodes", intervals.cover("a", "b")).collect():
-        parts = sorted((n.node << n.level, (n.node + 1) << n.level) for n in r.nodes)
-        assert parts[0][0] == r.s and parts[-1][1] == r.e + 1 and all(x[1] == y[0] for x, y in zip(parts, parts[1:])) and len(parts) <= 90
+    rows = [(i, (s := rnd.randint(-(1 << 30), 1 << 30)), s + rnd.choice([0, 1, 59, rnd.randint(0, 1 << 30)])) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, s long, e long").selectExpr("*", "timestamp_seconds(s) AS a", "timestamp_seconds(e) AS b")
+    for r in df.withColumn("nodes", intervals.cover("a", "b", 60)).collect():
+        whole = sorted((n.node << n.level, (n.node + 1) << n.level) for n in r.nodes if n.level >= 0)
+        edges = {n.node for n in r.nodes if n.level < 0}
+        units = set(range(r.s // 60, r.e // 60 + 1)) if r.e - r.s < 100_000 else None
+        assert all(x[1] == y[0] for x, y in zip(whole, whole[1:])) and len(r.nodes) <= 60 and len(edges) <= 2
+        assert all(a * 60 >= r.s and b * 60 <= r.e + 1 for a, b in whole)
+        assert units is None or set().union(edges, *[range(a, b) for a, b in whole]) == units

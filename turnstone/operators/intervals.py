@@ -8,64 +8,76 @@ from pyspark.sql import functions as F
 from turnstone.operators import ordered as O
 
 
-LEVELS = 62               # powers of two that a time in microseconds can hold
+LEVELS = 62               # powers of two that a count of units can hold
+UNIT = 60                 # seconds; the units at the borders of an interval are compared by time, those inside by node
+EDGE = -1                 # level of a border unit
 
 
-def _node(us: Column, level: Column) -> Column:
-    return F.call_function("shiftright", us.cast("bigint"), level)
+def _shifted(units: Column, level: Column) -> Column:
+    return F.call_function("shiftright", units.cast("bigint"), level)
 
 
-def cover(start: str, end: str) -> Column:
-    """The dyadic nodes ``(level, node)`` that make up the instants from start to end, bounds included: at most two a level, disjoint.
+def cover(start: str, end: str, unit: int = UNIT) -> Column:
+    """The dyadic nodes ``(level, node)`` of the units that lie wholly between start and end, at most two a level and disjoint, and its border units.
 
     At level k the nodes left to cover run from the first multiple of 2**k to the last one; an odd border is a node of its own.
     """
-    s, e = F.unix_micros(start), F.unix_micros(end) + 1
-    length = F.greatest(e - s, F.lit(1))
-    levels = F.sequence(F.lit(0), F.least(F.lit(LEVELS), F.floor(F.log2(length.cast("double"))).cast("int") + 1))
+    size = unit * 1_000_000
+    us, ue = F.unix_micros(start), F.unix_micros(end)
+    low, high = F.ceil(us / size).cast("bigint"), F.floor((ue + 1) / size).cast("bigint")
+    levels = F.sequence(F.lit(0), F.least(F.lit(LEVELS), F.floor(F.log2(F.greatest(high - low, F.lit(1)).cast("double"))).cast("int") + 1))
 
     def at(k: Column) -> Column:
-        lo, hi = -_node(-s, k), _node(e, k)                     # rounded up and down
+        lo, hi = -_shifted(-low, k), _shifted(high, k)                     # rounded up and down
         node = lambda n: F.struct(k.alias("level"), n.cast("bigint").alias("node"))
-        left = F.when((lo < hi) & (lo % 2 != 0), node(lo))
-        right = F.when((lo < hi) & (hi % 2 != 0), node(hi - 1))
-        return F.array(left, right)
+        return F.array(F.when((lo < hi) & (lo % 2 != 0), node(lo)), F.when((lo < hi) & (hi % 2 != 0), node(hi - 1)))
 
-    return F.filter(F.flatten(F.transform(levels, at)), lambda n: n.isNotNull())
+    first, last = F.floor(us / size).cast("bigint"), F.floor(ue / size).cast("bigint")
+    edge = lambda n, here: F.when(here, F.struct(F.lit(EDGE).alias("level"), n.alias("node")))
+    outside = lambda n: (n < low) | (n >= high)
+    borders = F.array(edge(first, outside(first)), edge(last, outside(last) & (last != first)))
+    return F.filter(F.concat(F.flatten(F.transform(levels, at)), borders), lambda n: n.isNotNull())
 
 
-def _ancestors(points: DataFrame, nodes: DataFrame, at: str) -> DataFrame:
+def _ancestors(points: DataFrame, nodes: DataFrame, at: str, unit: int) -> DataFrame:
     """Each point once per level that the intervals use, under its node there."""
     used = nodes.agg(F.collect_set("level").alias("_levels"))                       # one row of at most LEVELS numbers
     spread = points.crossJoin(F.broadcast(used)).withColumn("level", F.explode("_levels")).drop("_levels")
-    return spread.withColumn("node", _node(F.unix_micros(at), F.col("level")))
+    return spread.withColumn("node", _shifted(F.floor(F.unix_micros(at) / (unit * 1_000_000)), F.greatest("level", F.lit(0))))
 
 
-def _nodes(intervals: DataFrame, start: str, end: str) -> DataFrame:
+def _nodes(intervals: DataFrame, start: str, end: str, unit: int) -> DataFrame:
     whole = intervals.filter(F.col(start) <= F.col(end))
-    return whole.withColumn("_n", F.explode(cover(start, end))).withColumns({"level": F.col("_n.level"), "node": F.col("_n.node")}).drop("_n")
+    return whole.withColumn("_n", F.explode(cover(start, end, unit))).withColumns({"level": F.col("_n.level"), "node": F.col("_n.node")}).drop("_n")
 
 
-def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
+def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, unit: int = UNIT) -> DataFrame:
     """Points joined to the intervals of the same keys that contain them (bounds included).
 
-    An interval is cut into dyadic nodes, a point looks up its ancestors: an equi join on ``(keys, level, node)`` whose output holds the
-    wanted pairs and nothing else, as exactly one node of an interval contains the point.
+    An interval is cut into dyadic nodes of whole units and two border units, a point looks up its ancestors: an equi join on
+    ``(keys, level, node)`` whose output holds the wanted pairs, once each, and those of the border units, which are compared by time.
+    ``unit`` (seconds) only trades levels for such comparisons.
     """
-    nodes = _nodes(intervals, start, end)
-    return _ancestors(points, nodes, at).join(nodes, [*keys, "level", "node"]).drop("level", "node")
+    nodes = _nodes(intervals, start, end, unit)
+    met = _ancestors(points, nodes, at, unit).join(nodes, [*keys, "level", "node"])
+    return met.filter((F.col("level") != EDGE) | F.col(at).between(F.col(start), F.col(end))).drop("level", "node")
 
 
 def latest_interval(points: DataFrame, intervals: DataFrame, keys: list[str], point: list[str], at: str, start: str, end: str, listed: str,
-                    take: str) -> DataFrame:
+                    take: str, unit: int = UNIT) -> DataFrame:
     """Per point in an interval: ``found``, the value of ``take`` of the one listed last, and ``candidates``, how many hold it.
 
-    Nodes keep the count and the last listed interval, so a point meets at most one row per level whatever the number of intervals.
+    Nodes keep the count and the last listed interval, so a point meets at most one row per level whatever the number of intervals, and
+    the intervals that begin or end in its own unit.
     """
-    nodes = _nodes(intervals, start, end)
-    kept = nodes.groupBy(*keys, "level", "node").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct(F.col(listed).alias("l"), F.col(take).alias("t"))).alias("_last"))
-    met = _ancestors(points.select(*dict.fromkeys([*keys, *point, at])), nodes, at).join(kept, [*keys, "level", "node"])
-    return met.groupBy(*point).agg(F.max("_last").alias("_last"), F.sum("_n").alias("candidates")).select(*point, F.col("_last.t").alias("found"), "candidates")
+    nodes = _nodes(intervals.select(*keys, start, end, F.struct(F.col(listed).alias("l"), F.col(take).alias("t")).alias("_last")), start, end, unit)
+    kept = nodes.filter(F.col("level") != EDGE).groupBy(*keys, "level", "node").agg(F.count(F.lit(1)).alias("_n"), F.max("_last").alias("_last"))
+    looked = _ancestors(points.select(*dict.fromkeys([*keys, *point, at])), nodes, at, unit)
+    inside = looked.join(kept, [*keys, "level", "node"]).select(*point, "_n", "_last")
+    border = (looked.filter(F.col("level") == EDGE).join(nodes.filter(F.col("level") == EDGE), [*keys, "level", "node"])
+              .filter(F.col(at).between(F.col(start), F.col(end))).select(*point, F.lit(1).cast("bigint").alias("_n"), "_last"))
+    both = inside.unionByName(border).groupBy(*point).agg(F.max("_last").alias("_last"), F.sum("_n").alias("candidates"))
+    return both.select(*point, F.col("_last.t").alias("found"), "candidates")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, tie: str,

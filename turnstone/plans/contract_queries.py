@@ -115,7 +115,8 @@ class Runs:
             F.struct(F.col("output_text").alias("text")).alias("output"), F.struct(F.when(fault == 2, -1).otherwise(F.col("cost_calls")).alias("calls"), "tokens_in", "tokens_out", "wall_clock_ms", "eur").alias("cost"),
             F.struct("max_calls", "max_tokens", "max_wall_clock_ms", "max_eur").alias("quota"), "human_interventions"))
         line = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"tool_calls":'), F.coalesce("_calls", F.lit("[]")), F.lit(',"provenance":'), F.coalesce("_cited", F.lit("[]")), F.lit("}"))
-        return stored(r.select("task_id", line.alias("line")), "run-lines").select("task_id", F.try_parse_json("line").alias("run"))
+        spread = int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))          # few rows, but each is walked for long
+        return stored(r.select("task_id", F.try_parse_json(line).alias("run")).repartition(spread, "task_id"), "run-lines")
 
     def assertions(self):
         return Q.run_assertions(self.golden, self.lines, self.policies, self.tools, CONTRACT, SCHEMAS)

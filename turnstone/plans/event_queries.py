@@ -49,7 +49,7 @@ def j04b(t):
     from turnstone.operators.intervals import points_in_intervals
     o = t.raw("orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("at"))
     w = o.select("o_custkey", F.col("o_orderkey").alias("w"), F.col("at").alias("a"), F.expr("at + INTERVAL 40 DAYS").alias("b"))
-    return (points_in_intervals(o, w, ["o_custkey"], "at", "a", "b").groupBy("o_custkey", "o_orderkey")
+    return (points_in_intervals(o, w, ["o_custkey"], "at", "a", "b", 86_400).groupBy("o_custkey", "o_orderkey")
             .agg(F.count(F.lit(1)).alias("inside"), F.max("w").alias("latest")))
 
 
