@@ -30,10 +30,10 @@ def means(signals: DataFrame, keys: list[str] | None = None) -> DataFrame:
             .filter("n > 0"))
 
 
-def observations(means_: DataFrame, limit: int = V.MAX_OBSERVATIONS, keys: list[str] | None = None) -> DataFrame:
+def observations(means_: DataFrame, limit: int = V.MAX_OBSERVATIONS, keys: list[str] | None = None, specs: DataFrame | None = None) -> DataFrame:
     """K01 — the largest gaps, at most one per problem; ties by spec order. Works on one row per signal."""
     keys = keys or []
-    s = dims.with_spec(means_).withColumn("gap", X.signal_gap("mean", "target", "higher", "ratio")).filter("gap > 0")
+    s = dims.with_spec(means_, specs).withColumn("gap", X.signal_gap("mean", "target", "higher", "ratio")).filter("gap > 0")
     problem = F.coalesce("problem", F.concat(F.lit("palier:"), F.col("spec_level").cast("string")))
     best = Window.partitionBy(*keys, "_problem").orderBy(F.desc("gap"), "spec_order")
     top = Window.partitionBy(*keys).orderBy(F.desc("gap"), "spec_order")
@@ -41,24 +41,24 @@ def observations(means_: DataFrame, limit: int = V.MAX_OBSERVATIONS, keys: list[
             .withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= limit).drop("_r", "_problem"))
 
 
-def worst_examples(observed: DataFrame, signals: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def worst_examples(observed: DataFrame, signals: DataFrame, keys: list[str] | None = None, specs: DataFrame | None = None) -> DataFrame:
     """K02 — for each observed signal the task with the largest gap, first one on ties.
 
     An aggregate (``min_by``) instead of a ranking, so a signal with very many tasks stays a partial aggregation.
     """
     keys = keys or []
-    s = dims.with_spec(signals.filter("value IS NOT NULL")).withColumn("_gap", X.signal_gap("value", "target", "higher", "ratio"))
+    s = dims.with_spec(signals.filter("value IS NOT NULL"), specs).withColumn("_gap", X.signal_gap("value", "target", "higher", "ratio"))
     worst = s.groupBy(*keys, "signal").agg(F.min_by(
         F.struct("task_id", "title", "started_at", "evidence", F.col("value").alias("task_value")),
         F.struct((-F.col("_gap")).alias("g"), "started_at", "session_id", "task_no")).alias("example"))
     return observed.join(worst, [*keys, "signal"])
 
 
-def win(current: DataFrame, previous: DataFrame, floor: float = V.PROGRESS_FLOOR, keys: list[str] | None = None) -> DataFrame:
+def win(current: DataFrame, previous: DataFrame, floor: float = V.PROGRESS_FLOOR, keys: list[str] | None = None, specs: DataFrame | None = None) -> DataFrame:
     """K03 — the best improvement that passes the floor and meets the target; first of equal ones by spec order."""
     keys = keys or []
     j = dims.with_spec(current.select(*keys, "signal", F.col("mean").alias("after"))
-                       .join(previous.select(*keys, "signal", F.col("mean").alias("before")), [*keys, "signal"]))
+                       .join(previous.select(*keys, "signal", F.col("mean").alias("before")), [*keys, "signal"]), specs)
     moved = F.when(F.col("higher"), F.col("after") - F.col("before")).otherwise(F.col("before") - F.col("after"))
     j = (j.filter("target IS NOT NULL").withColumn("delta", moved / X.signal_scale("target", "ratio"))
          .filter((F.col("delta") >= floor) & X.signal_meets("after", "target", "higher", "ratio")))
@@ -109,8 +109,8 @@ def moments(wide: DataFrame) -> DataFrame:
 
 
 def weekly_review(signals: DataFrame, wide: DataFrame, weeks: DataFrame, calls: DataFrame, task_turns: DataFrame, as_of: str,
-                  week: str | None = None, budget: int = 0, hooks: bool = False, rubric=None) -> dict[str, DataFrame]:
-    """R05 — the parts of a review as tables; ``week`` defaults to the latest closed week with tasks."""
+                  week: str | None = None, budget: int = 0, hooks: bool = False, rubric=None, specs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """R05 — the parts of a review as tables; ``week`` defaults to the latest closed week with tasks, ``specs`` to the built-in ones."""
     dated = with_week(signals)
     target = (usage.last_closed_week(dated.select("week", "monday").distinct(), as_of) if week is None
               else signals.sparkSession.range(1).select(F.lit(week).alias("last_week")))
@@ -119,10 +119,10 @@ def weekly_review(signals: DataFrame, wide: DataFrame, weeks: DataFrame, calls:
     before = dated.join(one, F.col("week") < F.col("last_week")).drop("last_week")
     recent = F.broadcast(usage.last_weeks(before.select("week", "monday").distinct(), 3).select("week"))   # three rows
     now, then = means(mine), means(before.join(recent, "week"))
-    obs = observations(now)
+    obs = observations(now, specs=specs)
     dated_wide = wide.withColumn("week", X.week_key("started_at")).join(one, F.col("week") == F.col("last_week")).drop("last_week")
     return {
-        "week": target, "means": now, "observations": worst_examples(obs, mine), "win": win(now, then),
+        "week": target, "means": now, "observations": worst_examples(obs, mine, specs=specs), "win": win(now, then, specs=specs),
         "challenge": challenge(now, hooks), "prompt": costliest_prompt(prompt_costs(dated_wide, calls, task_turns, rubric)),
         "usage": weeks.join(one, F.col("week") == F.col("last_week")).drop("last_week"),
         "alerts": usage.alerts(weeks.join(one, F.col("week") <= F.col("last_week")).drop("last_week"), as_of, budget),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnstone.functions import fixed_values as V
 from turnstone.operators import dims, events as E, ordered as O, retro as T, review as R, signals as G, tasks as K, transcript as TR, usage as U
 from turnstone.session import stored
-from turnstone.sources import transcripts as ST
+from turnstone.sources import files as SF, transcripts as ST
 
 
 @dataclass(frozen=True)
@@ -22,6 +22,10 @@ class Settings:
     budget: int = 0
     hooks: bool = False
     capture_text: bool = False
+    specs: str | None = None            # a data file that replaces the built-in signal specs when it is complete
+
+    def spec_table(self, spark: SparkSession) -> DataFrame:
+        return SF.load_specs(spark, self.specs)[0]
 
 
 def _numbered(rows: DataFrame, order: list[str], into: str) -> DataFrame:
@@ -49,11 +53,12 @@ def session_tables(spark: SparkSession, root: str, settings: Settings = Settings
 
 
 def weekly_review(t: dict[str, DataFrame], as_of: str, week: str | None = None, settings: Settings = Settings()) -> dict[str, DataFrame]:
-    return R.weekly_review(t["signals"], t["signals_wide"], t["weeks"], t["calls"], t["task_turns"], as_of, week, settings.budget, settings.hooks)
+    return R.weekly_review(t["signals"], t["signals_wide"], t["weeks"], t["calls"], t["task_turns"], as_of, week, settings.budget, settings.hooks,
+                           specs=settings.spec_table(t["signals"].sparkSession))
 
 
-def retrospective(t: dict[str, DataFrame], since: str | None = None, until: str | None = None) -> dict[str, DataFrame]:
-    dated = R.with_week(dims.with_spec(t["signals"])).filter("target IS NOT NULL").withColumn("day", F.to_date("started_at"))
+def retrospective(t: dict[str, DataFrame], since: str | None = None, until: str | None = None, settings: Settings = Settings()) -> dict[str, DataFrame]:
+    dated = R.with_week(dims.with_spec(t["signals"], settings.spec_table(t["signals"].sparkSession))).filter("target IS NOT NULL").withColumn("day", F.to_date("started_at"))
     seen = R.with_week(t["owners"]).select("week", "monday", "session_id").distinct()
     return T.retrospective(dated, t["weeks"], seen, ["signal"], since, until)
 

@@ -6,10 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from turnstone.operators import events as E, transcript as TR, usage as U
+from turnstone.operators import dims, events as E, review as R, transcript as TR, usage as U
 from turnstone.plans.bridge import IDLE_MINUTES
 from turnstone.plans.event_queries import log, windows
+from turnstone.plans.oracle_base import PARTS, part
 from turnstone.plans.registry import query, r6, us
+from turnstone.plans.review_queries import AS_OF
+from turnstone.plans.usage_queries import BUDGET
 from turnstone.plans.usage_queries import _LEARNERS, spend, weeks
 from turnstone.session import shared_dir, stored
 from turnstone.sources import files as SF, spend as SP, transcripts as ST
@@ -168,3 +171,51 @@ def s12(t):
     path = f"{shared_dir(t.spark)}/card-{uuid.uuid4().hex}"
     SF.write_report(weeks(t), path)
     return t.spark.read.schema("week string, tasks bigint, turns bigint, tool_calls bigint, active_days bigint, sessions bigint").json(path)
+
+
+# ------------------------------------------------------------------------------- dimension and case files
+part("loaded_specs", "specs")("SELECT * REPLACE (target * 1.5 AS target) FROM specs")
+part("observed_loaded", "means_now", "loaded_specs")(PARTS["observed"][1].replace("specs", "loaded_specs"))
+
+
+def spec_file(t, complete: bool) -> str:
+    """The built-in specs with targets half as high again, as a data file; an incomplete one lacks the fifth level."""
+    s = dims.specs(t.spark)
+    signals = s.agg(F.transform(F.array_sort(F.collect_list(F.struct("spec_order", "signal", "spec_level", "target", "higher", "ratio"))), lambda x: F.struct(
+        x["signal"].alias("cle"), x["spec_level"].alias("palier"), (x["target"] * 1.5).alias("cible"), x["higher"].alias("plus_haut_est_mieux"), x["ratio"].alias("ratio"))).alias("signaux"))
+    owned = s.filter("problem IS NOT NULL").groupBy("problem").agg(F.min("spec_level").alias("palier"), F.collect_list("signal").alias("signaux"))
+    owned = owned.agg(F.collect_list(F.struct(F.col("problem").alias("id"), "palier", "signaux")).alias("problematiques"))
+    level = F.struct(F.lit("t").alias("term"), F.lit("a").alias("analogy"))
+    levels = F.create_map(*[x for i in range(1, 6 if complete else 5) for x in (F.lit(str(i)), level)])
+    path = f"{shared_dir(t.spark)}/specs-{uuid.uuid4().hex}"
+    signals.crossJoin(owned).select(F.to_json(F.struct("signaux", "problematiques", levels.alias("paliers"))).alias("value")).coalesce(1).write.text(path)      # two one-row tables
+    return path
+
+
+@query("s07_loaded_specs", """
+SELECT 'complete' AS file, 0 AS warnings, signal, problem, round(mean, 6) AS mean, round(gap, 6) AS gap, CAST(rank AS INT) AS rank FROM observed_loaded
+UNION ALL SELECT 'incomplete', 1, signal, problem, round(mean, 6), round(gap, 6), CAST(rank AS INT) FROM observed""", "observed", "observed_loaded")
+def s07(t):
+    def under(name, complete):
+        specs, warned = SF.load_specs(t.spark, spec_file(t, complete))
+        seen = R.weekly_review(t.signals, t.signals_wide, weeks(t), t.turn_calls, t.task_turns, AS_OF, budget=BUDGET, specs=specs)["observations"]
+        return seen.select(F.lit(name).alias("file"), F.lit(len(warned)).alias("warnings"), "signal", "problem", r6("mean").alias("mean"), r6("gap").alias("gap"), "rank")
+    return under("complete", True).unionByName(under("incomplete", False))
+
+
+@query("s09_case_files", """
+WITH d AS (SELECT doc_id, doc_id // 40 AS f FROM documents), ok AS (SELECT * FROM d WHERE f % 7 <> 3 AND f % 7 <> 5),
+ w AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'case without id' WHEN f % 7 = 2 THEN 'case without family' WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 THEN 'not shareable' ELSE 'accepted' END AS what FROM ok
+  UNION ALL SELECT DISTINCT ON (f) CASE WHEN f % 7 = 3 THEN 'malformed' ELSE 'no case list' END FROM d WHERE f % 7 IN (3, 5))
+SELECT what, count(*) AS n FROM w GROUP BY what""")
+def s09(t):
+    d = t.raw("documents").select("doc_id", F.floor(F.col("doc_id") / 40).alias("f"))
+    case = F.struct(F.when(F.col("doc_id") % 11 != 0, F.col("doc_id").cast("string")).alias("id"), F.when(F.col("doc_id") % 13 == 0, False).alias("partageable"), F.when(F.col("doc_id") % 17 == 0, "transcript").alias("origine"),
+                    F.struct("doc_id").alias("entree"))
+    files = d.groupBy("f").agg(F.collect_list(case).alias("epreuves"))                                     # forty cases a file
+    body = F.to_json(F.struct(F.when(F.col("f") % 7 != 2, "corpus").alias("famille"), F.when(F.col("f") % 7 != 5, F.col("epreuves")).alias("epreuves")))
+    path = f"{shared_dir(t.spark)}/cases-{uuid.uuid4().hex}"
+    files.select(F.when(F.col("f") % 7 == 3, F.concat(F.lit("{oops"), body)).otherwise(body).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    cases, warned = SF.load_cases(t.spark, path, pattern="*.txt")
+    what = cases.select(F.lit("accepted").alias("what")).unionByName(warned.select(F.element_at(F.split("warning", ": "), -1).alias("what")))
+    return what.groupBy("what").agg(F.count(F.lit(1)).alias("n"))

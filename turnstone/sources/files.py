@@ -82,15 +82,16 @@ def load_dictionary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
                         F.coalesce("aerien", off).alias("air"), F.coalesce("invisible", off).alias("cloaked"), F.coalesce("detecteur", off).alias("detector"))
 
     names = entities("unites", "unit").unionByName(entities("batiments", "building"))
-    terms = doc.select(F.explode("mecaniques.nom").alias("term")).unionByName(doc.select(F.explode("vernaculaire.terme").alias("term")))
+    terms = (doc.select(F.explode("mecaniques.nom").alias("term"), F.lit("mechanic").alias("kind"))
+             .unionByName(doc.select(F.explode("vernaculaire.terme").alias("term"), F.lit("slang").alias("kind"))))
     situations = doc.select(F.explode("punitions").alias("p")).select(F.col("p.id").alias("situation_id"), "p.signal", F.col("p.palier").alias("level"))
     return names, terms, situations
 
 
-def load_cases(spark: SparkSession, folder: str, shareable_only: bool = True) -> tuple[DataFrame, DataFrame]:
+def load_cases(spark: SparkSession, folder: str, shareable_only: bool = True, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """S09 — evaluation cases of a folder and the warnings: malformed files, cases without id or family, refused private cases."""
     try:
-        files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+        files = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     except AnalysisException:
         files = spark.createDataFrame([], "value string, file string")
     v = files.withColumn("doc", F.try_parse_json("value"))
