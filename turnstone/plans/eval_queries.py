@@ -11,6 +11,7 @@ from turnstone.functions import exprs as X
 from turnstone.functions import fixed_values as V
 from turnstone.operators import cases as C, claims as L, contract as Q, retrieval as I, segmentation as S, snapshot as P
 from turnstone.plans.oracle_base import part, words
+from turnstone.plans.record_queries import _RUBRIC_SQL as RUBRIC_SQL
 from turnstone.plans.registry import query, r6
 from turnstone.session import shared_dir, stored
 
@@ -197,13 +198,17 @@ def doc_pairs(t):
 _TOK = r"string_split_regex(cand, '[^\p{L}\p{N}_]+')"
 
 
-@query("v07_no_invention", rf"""
-WITH c AS (SELECT *, lower(original || ' ' || chr(10) || ' ' || title) AS src, regexp_replace(rewrite, '\[[^\]]*\]', ' ', 'g') AS cand FROM doc_pairs),
+def _invention(source: str) -> str:
+    return rf"""
+WITH c AS (SELECT *, lower(original || ' ' || chr(10) || ' ' || title) AS src, regexp_replace(rewrite, '\[[^\]]*\]', ' ', 'g') AS cand FROM {source}),
  f AS (SELECT case_id, coalesce(
   list_filter(regexp_extract_all(cand, '(?i)[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_\-/.]*\.(?:cs|ts|js|py|json|html|scss|css|sql|md|yml|yaml|razor|xaml)\b'), lambda m: NOT contains(src, lower(m)))[1],
   list_filter({_TOK}, lambda w: regexp_full_match(w, '[A-Z][a-z]+([A-Z][A-Za-z0-9]*)+') AND NOT contains(src, lower(w)))[1],
   list_filter({_TOK}, lambda w: regexp_full_match(w, '\p{{Nd}}+') AND NOT contains(src, lower(w)))[1]) AS evidence FROM c)
-SELECT case_id, CASE WHEN evidence IS NULL THEN 'conforme' ELSE 'non_conforme' END AS label, evidence FROM f""", "doc_pairs")
+SELECT case_id, CASE WHEN evidence IS NULL THEN 'conforme' ELSE 'non_conforme' END AS label, evidence FROM f"""
+
+
+@query("v07_no_invention", _invention("doc_pairs"), "doc_pairs")
 def v07(t):
     return RW.no_invention(doc_pairs(t))
 
@@ -232,10 +237,13 @@ def v10(t):
     return RW.no_direct_address(doc_pairs(t))
 
 
-@query("v11_not_a_comment", """
+_COMMENT = """
 WITH l AS (SELECT case_id, list_filter(list_transform(string_split(rewrite, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1] AS line FROM pairs)
 SELECT case_id, CASE WHEN len(list_filter(['voici', 'voilà', 'ce prompt', 'le prompt', 'je propose', 'je te propose', 'il s''agit', 'cette réécriture', 'en résumé', 'note :', 'réécriture :'], lambda o: starts_with(lower(coalesce(line, '')), o))) > 0
- THEN 'non_conforme' ELSE 'conforme' END AS label FROM l""", "pairs")
+ THEN 'non_conforme' ELSE 'conforme' END AS label FROM l"""
+
+
+@query("v11_not_a_comment", _COMMENT, "pairs")
 def v11(t):
     return RW.not_a_comment(pairs(t)).select("case_id", "label")
 
@@ -263,13 +271,20 @@ def e05(t):
     return pairs(t).select("case_id", F.array_join(c["gained"], ",").alias("gained"), F.array_join(c["lost"], ",").alias("lost"))
 
 
+def _essential(column: str) -> str:
+    """Number of essential rubric criteria that a text meets."""
+    return "(" + " + ".join(f"CAST({RUBRIC_SQL[k].replace('text', column)} AS INT)" for k, e, _ in V.RUBRIC if e) + ")"
+
+
 @query("v26_registered_evaluators", f"""
-SELECT 'longueur_bornee' AS evaluator, count(*) AS cases, count(*) FILTER (length(rewrite) <= 2 * length(original)) AS passed FROM pairs
+SELECT 'longueur_bornee' AS evaluator, count(*) AS cases, count(*) FILTER (length(original) > 0 AND length(rewrite) <= 2 * length(original)) AS passed FROM pairs
 UNION ALL SELECT 'reste_francais', count(*), count(*) FILTER ({_count_words('rewrite', V.FRENCH_WORDS)} > {_count_words('rewrite', V.ENGLISH_WORDS)}) FROM pairs
-UNION ALL SELECT 'sans_adresse_directe', count(*), count(*) FILTER ({_count_words('rewrite', V.ADDRESS_WORDS)} <= {_count_words('original', V.ADDRESS_WORDS)}) FROM pairs""", "pairs")
+UNION ALL SELECT 'sans_adresse_directe', count(*), count(*) FILTER ({_count_words('rewrite', V.ADDRESS_WORDS)} <= {_count_words('original', V.ADDRESS_WORDS)}) FROM pairs
+UNION ALL SELECT 'sans_invention', count(*), count(*) FILTER (label = 'conforme') FROM ({_invention('pairs')})
+UNION ALL SELECT 'prompt_pas_explication', count(*), count(*) FILTER (label = 'conforme') FROM ({_COMMENT})
+UNION ALL SELECT 'couverture_rubrique', count(*), count(*) FILTER ({_essential('rewrite')} >= {_essential('original')}) FROM pairs""", "pairs")
 def v26(t):
-    v = C.evaluate("reecriture", pairs(t))
-    return C.evaluator_summary(v).filter(F.col("evaluator").isin("longueur_bornee", "reste_francais", "sans_adresse_directe")).select("evaluator", "cases", "passed")
+    return C.evaluator_summary(C.evaluate("reecriture", pairs(t))).select("evaluator", "cases", "passed")
 
 
 # ------------------------------------------------------------------------------------------ claims
