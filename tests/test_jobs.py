@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 
@@ -83,9 +84,25 @@ def test_dictionary_file(spark, tmp_path):
     assert got == {1: (1, None), 2: (0, "load_precision"), 3: (1, None)}
     found = {r.request_id: (r.entity, r.suggestions) for r in L.lookup(spark.createDataFrame([(1, "CAFARD"), (2, "spine"), (3, "les roach"), (4, "zz")], "request_id int, asked string"), names).collect()}
     assert found == {1: ("Roach", None), 2: (None, ["Spine Crawler"]), 3: (None, ["Roach"]), 4: (None, [])}
+    req = spark.createDataFrame([(1, "CREEP"), (2, "all in"), (3, "roach"), (4, "ree"), (5, "a creep"), (6, "")], "request_id int, asked string")
+    got = {r.request_id: (r.kind, r.found, r.suggestions) for r in L.lookup_terms(req, terms, names).collect()}
+    assert got == {1: ("mechanic", "creep", None), 2: ("slang", "all-in", None), 3: ("entity", "Roach", None), 4: (None, None, ["creep"]), 5: (None, None, []), 6: (None, None, [])}
+    texts = spark.createDataFrame([(1, "on voit Creep et Banane, puis Banane"), (2, "un Rush rapide")], "text_id int, text string")
+    slang = terms.selectExpr("place", "CASE WHEN kind = 'slang' THEN 'rush' ELSE term END AS term", "kind")
+    assert sorted((r.text_id, r.candidate) for r in L.unknown_names(texts, names, slang).collect()) == [(1, "Banane"), (1, "Banane"), (2, "Rush")]
     assert SF.load_dictionary(spark, str(tmp_path / "none.json"))[0].count() == 0
 
 
+def test_suggestions_by_rarest_piece_are_complete(spark):
+    rnd = random.Random(6)
+    word = lambda a, b: "".join(rnd.choice("aab c") for _ in range(rnd.randint(a, b)))
+    asked, names = [(i, word(1, 9)) for i in range(60)], sorted({word(1, 7) for _ in range(80)})
+    q = spark.createDataFrame(asked, "request_id int, _q string")
+    pool = spark.createDataFrame([(n,) for n in names], "_a string")
+    assert sorted((r.request_id, r._a) for r in L.containing(q, pool).collect()) == sorted((i, n) for i, x in asked for n in names if x in n)
+    assert sorted((r.request_id, r._a) for r in L.contained(q, pool).collect()) == sorted((i, n) for i, x in asked for n in names if n in x)
+
+
 def test_calls_are_numbered_over_all_files_of_a_session(spark, tmp_path):
     """A resumed session and a sub-agent file: the verification of the first file is not the last call."""
     start = dt.datetime(2026, 1, 5, 9)

@@ -136,40 +136,84 @@ def judge_rules(expected: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------------------- lookups
+def _norm(c) -> Column:
+    return F.replace(F.lower(X._c(c)), F.lit("-"), F.lit(" "))
+
+
+def _grams(c: str, size: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (size - 1))), lambda i: F.substring(F.col(c), i, F.lit(size))))
+
+
+def _rarest(rows: DataFrame, key: str, text: str, freq: DataFrame) -> DataFrame:
+    """``key, _g``: the piece of each text that the fewest names have. A text with a piece that no name has is left out."""
+    pieces = rows.select(key, F.explode("_pieces").alias("_g")).join(freq, "_g", "left")
+    best = pieces.groupBy(key).agg(F.min_by("_g", F.struct("_f", "_g")).alias("_g"), F.bool_or(F.col("_f").isNull()).alias("_none"))
+    return best.filter("NOT _none").drop("_none")
+
+
+def containing(asked: DataFrame, pool: DataFrame, n: int = 3) -> DataFrame:
+    """``_q`` of ``asked`` with the rows of ``pool`` (``_a``) whose text contains it.
+
+    A request is looked up under the one piece of ``n`` characters that is rarest among the names, so a piece that many names share is a
+    key only where a request has no other. Requests shorter than a piece are looked up whole among pieces of their length.
+    """
+    q = asked.select("_q").distinct()
+    pieces = pool.withColumn("_g", F.explode(_grams("_a", n)))
+    freq = pieces.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
+    out = _rarest(q.filter(F.length("_q") >= n).withColumn("_pieces", _grams("_q", n)), "_q", "_q", freq).join(pieces, "_g").filter(F.contains("_a", F.col("_q")))
+    for size in range(1, n):
+        out = out.unionByName(q.filter(F.length("_q") == size).withColumn("_g", F.col("_q")).join(pool.withColumn("_g", F.explode(_grams("_a", size))), "_g").filter(F.contains("_a", F.col("_q"))))
+    return asked.join(out.drop("_g"), "_q")
+
+
+def contained(asked: DataFrame, pool: DataFrame, n: int = 3) -> DataFrame:
+    """``_q`` of ``asked`` with the rows of ``pool`` whose text ``_a`` lies in it: each name is filed under its own rarest piece."""
+    q, names = asked.select("_q").distinct(), pool.select("_a").distinct().filter("length(_a) > 0")
+    long = names.filter(F.length("_a") >= n).withColumn("_pieces", _grams("_a", n))
+    freq = long.select(F.explode("_pieces").alias("_g")).groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
+    out = q.withColumn("_g", F.explode(_grams("_q", n))).join(_rarest(long, "_a", "_a", freq), "_g")
+    for size in range(1, n):
+        out = out.unionByName(q.withColumn("_g", F.explode(_grams("_q", size))).join(names.filter(F.length("_a") == size).withColumn("_g", F.col("_a")), "_g"))
+    return asked.join(out.filter(F.contains("_q", F.col("_a"))).select("_q", "_a").distinct(), "_q").join(pool, "_a")
+
+
+def _first(found: DataFrame, what: str, order: list[str], hints: int) -> DataFrame:
+    """``request_id, suggestions``: the first ``hints`` per request, cut before they are gathered."""
+    w = Window.partitionBy("request_id").orderBy(*order)
+    best = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= hints)
+    return best.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(what).alias("w")))), lambda x: x["w"]).alias("suggestions"))
+
+
 def lookup(requests: DataFrame, names: DataFrame, hints: int = 5, n: int = 3) -> DataFrame:
     """J17 — entity of each asked name, case ignored and ``-`` equal to a blank; misses get up to five suggestions.
 
-    Suggestions are names that contain the asked text or are contained in it. Both ways share pieces of ``n``
-    characters, so candidates come from an equi join on such pieces and are confirmed afterwards; names shorter than
-    a piece are looked up by their full text among the pieces of the request.
+    Suggestions are names that contain the asked text or are contained in it.
     """
-    def norm(c) -> Column:
-        return F.replace(F.lower(X._c(c)), F.lit("-"), F.lit(" "))
-
-    keyed = names.select("entity", norm("alias").alias("_k")).groupBy("_k").agg(F.min("entity").alias("entity"))
-    asked = requests.withColumn("_k", norm("asked"))
-    got = asked.join(keyed, "_k", "left")
+    keyed = names.select("entity", _norm("alias").alias("_k")).groupBy("_k").agg(F.min("entity").alias("entity"))
+    got = requests.withColumn("_k", _norm("asked")).join(keyed, "_k", "left")
     miss = got.filter("entity IS NULL").select("request_id", F.lower("asked").alias("_q")).filter(~X.is_blank("_q"))
     pool = names.select("entity", F.lower("alias").alias("_a")).distinct()
+    both = containing(miss, pool, n).select("request_id", "entity").unionByName(contained(miss, pool, n).select("request_id", "entity")).distinct()
+    best = _first(both, "entity", ["entity"], hints)
+    return got.join(best, "request_id", "left").select("request_id", "asked", "entity", F.when(F.col("entity").isNull(), F.coalesce("suggestions", F.array().cast("array<string>"))).alias("suggestions"))
 
-    def grams(c: str, size: int) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (size - 1))), lambda i: F.substring(F.col(c), i, F.lit(size))))
 
-    # names that contain the request share its first piece; names inside the request share their own first piece
-    contains_it = miss.withColumn("_g", F.substring("_q", 1, n)).join(pool.withColumn("_g", F.explode(grams("_a", n))), "_g").filter(F.contains("_a", F.col("_q")))
-    short_q = miss.filter(F.length("_q") < n)
-    for size in range(1, n):
-        contains_it = contains_it.unionByName(short_q.filter(F.length("_q") == size).withColumn("_g", F.col("_q")).join(
-            pool.withColumn("_g", F.explode(grams("_a", size))), "_g"), allowMissingColumns=True)
-    inside = miss.withColumn("_g", F.explode(grams("_q", n))).join(pool.withColumn("_g", F.substring("_a", 1, n)), "_g").filter(F.contains("_q", F.col("_a")))
-    short_a = pool.filter(F.length("_a") < n)
-    for size in range(1, n):
-        inside = inside.unionByName(miss.withColumn("_g", F.explode(grams("_q", size))).join(short_a.filter(F.length("_a") == size).withColumn("_g", F.col("_a")), "_g"))
-    cand = contains_it.select("request_id", "entity").unionByName(inside.select("request_id", "entity")).distinct()
-    w = Window.partitionBy("request_id").orderBy("entity")
-    best = (cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= hints)
-            .groupBy("request_id").agg(F.array_sort(F.collect_list("entity")).alias("suggestions")))
-    return got.join(best, "request_id", "left").select("request_id", "asked", "entity", F.when(F.col("entity").isNull(), F.coalesce("suggestions", F.array().cast("array<string>"))).alias("suggestions"))
+def lookup_terms(requests: DataFrame, terms: DataFrame, names: DataFrame, hints: int = 5, n: int = 3) -> DataFrame:
+    """J17 — what an asked term is: ``kind`` mechanic, slang or, when it is no term, entity; ``found`` is its name.
+
+    Mechanics come before slang and both before entities. A miss gets up to five terms that contain the asked text, mechanics first, in
+    the order of their names (``place``, where the table has it); terms inside the asked text are no suggestion.
+    """
+    place = F.col("place") if "place" in terms.columns else F.lit(0)
+    known = terms.select("term", "kind", place.alias("_place"), F.when(F.col("kind") == "mechanic", 0).otherwise(1).alias("_rank"))
+    of_term = known.groupBy(_norm("term").alias("_k")).agg(F.min(F.struct("_rank", "_place", "term", "kind")).alias("_t"))
+    of_name = names.groupBy(_norm("alias").alias("_k")).agg(F.min("entity").alias("_e"))
+    asked = requests.withColumn("_k", _norm("asked")).join(of_term, "_k", "left").join(of_name, "_k", "left")
+    found = F.coalesce("_t.term", F.col("_e").cast("string"))
+    got = asked.select("request_id", "asked", F.when(F.col("_t").isNotNull(), F.col("_t.kind")).when(F.col("_e").isNotNull(), "entity").alias("kind"), found.alias("found"))
+    miss = got.filter("kind IS NULL").select("request_id", F.lower("asked").alias("_q")).filter(~X.is_blank("_q"))
+    best = _first(containing(miss, known.withColumn("_a", F.lower("term")), n), "term", ["_rank", "_place", "term"], hints)
+    return got.join(best, "request_id", "left").withColumn("suggestions", F.when(F.col("kind").isNull(), F.coalesce("suggestions", F.array().cast("array<string>"))))
 
 
 def situations(requests: DataFrame, known: DataFrame) -> DataFrame:

@@ -415,6 +415,23 @@ def j17(t):
     return r.select("request_id", F.col("entity").cast("bigint").alias("entity"), F.array_join(F.transform("suggestions", lambda x: x.cast("bigint").cast("string")), ",").alias("suggestions"))
 
 
+@query("j17_term_lookup", """
+WITH terms AS (SELECT DISTINCT p_type AS term, 'mechanic' AS kind, 0 AS rank FROM part UNION ALL SELECT DISTINCT p_brand, 'slang', 1 FROM part),
+ a AS (SELECT c_custkey AS request_id, CASE c_custkey % 5 WHEN 0 THEN lower(replace(p_type, ' ', '-')) WHEN 1 THEN upper(p_brand) WHEN 2 THEN p_name WHEN 3 THEN substring(p_type, 4, 6) ELSE 'zz' || p_type END AS asked FROM customer JOIN part ON p_partkey = c_custkey),
+ t AS (SELECT a.request_id, arg_min(term, (rank, term)) AS term, arg_min(kind, (rank, term)) AS kind FROM a JOIN terms ON replace(lower(asked), '-', ' ') = replace(lower(term), '-', ' ') GROUP BY ALL),
+ e AS (SELECT a.request_id, min(p_partkey) AS entity FROM a JOIN part ON replace(lower(asked), '-', ' ') = replace(lower(p_name), '-', ' ') GROUP BY ALL),
+ g AS (SELECT a.*, coalesce(t.kind, CASE WHEN e.entity IS NOT NULL THEN 'entity' END) AS kind, coalesce(t.term, e.entity::VARCHAR) AS found FROM a LEFT JOIN t USING (request_id) LEFT JOIN e USING (request_id)),
+ h AS (SELECT g.request_id, term, row_number() OVER (PARTITION BY g.request_id ORDER BY rank, term) AS r FROM g JOIN terms ON contains(lower(term), lower(asked)) WHERE g.kind IS NULL QUALIFY r <= 5)
+SELECT request_id, kind, found, CASE WHEN kind IS NULL THEN coalesce((SELECT string_agg(term, ',' ORDER BY r) FROM h WHERE h.request_id = g.request_id), '') END AS suggestions FROM g""")
+def j17b(t):
+    p = t.raw("part")
+    terms = p.select(F.col("p_type").alias("term"), F.lit("mechanic").alias("kind")).union(p.select("p_brand", F.lit("slang"))).distinct()
+    req = t.raw("customer").join(p, F.col("p_partkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("request_id"), F.expr(
+        "CASE c_custkey % 5 WHEN 0 THEN lower(replace(p_type, ' ', '-')) WHEN 1 THEN upper(p_brand) WHEN 2 THEN p_name WHEN 3 THEN substring(p_type, 4, 6) ELSE concat('zz', p_type) END").alias("asked"))
+    r = L.lookup_terms(req, terms, p.select(F.col("p_name").alias("alias"), F.col("p_partkey").alias("entity")))
+    return r.select("request_id", "kind", "found", F.array_join("suggestions", ",").alias("suggestions"))
+
+
 @query("j18_situations", """
 WITH k AS (SELECT p_partkey AS id, p_type AS signal, p_size % 5 AS level FROM part), r AS (SELECT c_custkey AS request_id, CASE c_custkey % 3 WHEN 0 THEN 'economy' WHEN 1 THEN 'none' END AS signal, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey % 6 END AS level FROM customer)
 SELECT request_id, count(k.id) AS found, min(k.id) AS first, CASE WHEN count(k.id) = 0 THEN (SELECT array_to_string(list_sort(list(DISTINCT p_type)), ', ') FROM part) END AS covered FROM r

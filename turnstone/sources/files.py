@@ -82,8 +82,8 @@ def load_dictionary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
                         F.coalesce("aerien", off).alias("air"), F.coalesce("invisible", off).alias("cloaked"), F.coalesce("detecteur", off).alias("detector"))
 
     names = entities("unites", "unit").unionByName(entities("batiments", "building"))
-    terms = (doc.select(F.explode("mecaniques.nom").alias("term"), F.lit("mechanic").alias("kind"))
-             .unionByName(doc.select(F.explode("vernaculaire.terme").alias("term"), F.lit("slang").alias("kind"))))
+    terms = (doc.select(F.posexplode("mecaniques.nom").alias("place", "term")).withColumn("kind", F.lit("mechanic"))
+             .unionByName(doc.select(F.posexplode("vernaculaire.terme").alias("place", "term")).withColumn("kind", F.lit("slang"))))
     situations = doc.select(F.explode("punitions").alias("p")).select(F.col("p.id").alias("situation_id"), "p.signal", F.col("p.palier").alias("level"))
     return names, terms, situations
 
