@@ -30,8 +30,8 @@ def test_retrieval_scores(spark):
     assert (s.n, s.n_answerable, s.negative_ok, s.recall) == (4, 3, 1.0, 0.1667)
 
 
-@pytest.mark.parametrize("limit", [1, 100])
-def test_pk_against_plain_loops(spark, limit):
+@pytest.mark.parametrize("run", [1, 2, 100])
+def test_pk_against_plain_loops(spark, run):
     docs = {1: ([0, 2, 5], [0, 3, 5], 8), 2: ([0], [0], 1), 3: ([0, 1, 2], [], 5), 4: ([2], [2], 6), 5: ([0, 4], [0, 2, 4], 10)}
     rows = [(d, i, i in ref, i in hyp) for d, (ref, hyp, n) in docs.items() for i in range(n)]
     marks = spark.createDataFrame(rows, "doc_id int, i int, is_ref boolean, is_hyp boolean")
@@ -53,7 +53,7 @@ def test_pk_against_plain_loops(spark, limit):
         a, b = seg(ref, n), seg(hyp, n)
         diff = [(a[i] == a[i + k]) != (b[i] == b[i + k]) for i in range(n - k)]
         want[d] = sum(diff) / len(diff) if diff else 0.0
-    assert {r.doc_id: r.pk for r in S.pk(marks, limit).collect()} == pytest.approx(want)
+    assert {r.doc_id: r.pk for r in S.pk(marks, run).collect()} == pytest.approx(want)
 
 
 @pytest.mark.parametrize("fn,original,title,rewrite,label,evidence", [

@@ -43,15 +43,22 @@ def _lines():
     ]
 
 
-@pytest.fixture(scope="module", params=[None, 2])
+@pytest.fixture(scope="module", params=[(1_000_000, "128m"), (2, "200")])          # lines of a range, bytes of a split
 def built(spark, tmp_path_factory, request):
+    key, old = "spark.sql.files.maxPartitionBytes", (TR.RANGE_LINES, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    TR.RANGE_LINES = request.param[0]
+    spark.conf.set(key, request.param[1])
     folder = tmp_path_factory.mktemp("logs") / "deep"
     folder.mkdir()
     (folder / "a.jsonl").write_text("\n".join(_lines()) + "\n", encoding="utf-8")
     (folder / "other.txt").write_text("ignored\n")
-    scanned = ST.scan(ST.number_lines(ST.read_lines(spark, str(folder.parent)), request.param)).cache()
-    parts = TR.build_sessions(ST.records(scanned), request.param)
-    return scanned, {k: v.cache() for k, v in parts.items()}
+    scanned = ST.scan(ST.number_lines(ST.read_lines(spark, str(folder.parent)))).cache()
+    parts = {k: v.cache() for k, v in TR.build_sessions(ST.records(scanned)).items()}
+    for df in (scanned, *parts.values()):               # cached while the settings hold
+        df.count()
+    TR.RANGE_LINES = old[0]
+    spark.conf.set(key, old[1])
+    return scanned, parts
 
 
 def test_scan_counts_and_numbers_lines(built):

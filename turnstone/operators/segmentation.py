@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from turnstone.operators import ordered as O
 
 
-def pk(marks: DataFrame) -> DataFrame:
+def pk(marks: DataFrame, run: int = 100_000) -> DataFrame:
     """W17 — Pk error per document. ``marks``: doc_id, i (0-based), is_ref, is_hyp, one row per turn.
 
     Segment numbers come from an ordered scan; a turn meets the one k places later by an equi join on
-    ``(doc_id, i)``, so no document is gathered in one place.
+    ``(doc_id, i)``, so no document is gathered in one place. ``run``: turns of one range of the scan.
     """
-    bucket = F.floor(F.col("i") / 100_000)
+    bucket = O.runs("i", run)
     seg = O.ordered_scan(marks, ["doc_id"], ["i"], {"_r": O.running_sum(F.col("is_ref").cast("bigint")),
                                                   "_h": O.running_sum(F.col("is_hyp").cast("bigint"))}, bucket)
     # turns before the first boundary belong to segment 0, like those after it

@@ -114,9 +114,12 @@ def length_summary(df: DataFrame, length: Column) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------- sessions
+RANGE_LINES = 1_000_000
+
+
 def seq_bucket() -> Column:
-    """Cuts a hot session at file and line ranges."""
-    return F.struct("file", F.floor(F.col("line_no") / 1_000_000).alias("part"))
+    """Cuts a session at files and ranges of lines."""
+    return F.struct("file", F.floor(F.col("line_no") / RANGE_LINES).alias("part"))
 
 
 def mark_humans(records: DataFrame) -> DataFrame:
