@@ -9,7 +9,8 @@ are told apart by all bytes of their digest and their length; a second pass comp
 stops the job when two of them differ.
 
 Null texts count as empty, empty texts are equal to each other. Null ids sort after all others. Rows that repeat id and text are
-members of one group; exactly one row of a group is kept. Other columns of the input are not read. An empty table gives no rows.
+members of one group; exactly one row of a group is kept. Texts of any length are
+compared whole. Other columns of the input are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ components are then settled in blocks like a group. Every pair that shares a ban
 Classes are linked under numbers of their own; a component is named by the smallest id in it. Rows with null id take part in no link
 and keep a null component. Rows that repeat an id and text get equal results; each text of an id that comes with several is linked on
 its own, and where several of them are in one component only one text (and its repeated rows) is kept. Other columns are not read.
-Empty tables give no rows.
+Texts of any length are read whole; a long one costs its distinct shingles in memory. Empty tables give no rows.
 """
 
 from __future__ import annotations

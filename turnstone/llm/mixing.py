@@ -7,7 +7,7 @@ of bounded size, so a source with most of the rows needs no task of its own.
 
 A document's size is its number of words (null text: 0). Documents of size 0 take their steps like all others and add no words. A
 null source is a source of its own, last in order. A source without words has target 0. Repeated rows are separate documents; null
-ids are allowed. Other columns are not read. An empty table gives no rows.
+ids are allowed. The words of long texts are counted whole. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

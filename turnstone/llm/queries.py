@@ -30,7 +30,8 @@ def op2_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
 
 
 def tokenizer(name: str) -> str:

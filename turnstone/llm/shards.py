@@ -5,7 +5,7 @@ smaller shard). A new shard takes rows only into itself, and a shard's share fol
 without gaps; they are counted in blocks of about 65,536 rows, so that no task sees a whole shard.
 
 Null keys hash as the word ``null`` and lie together in one shard. Null texts have size 1 and the checksum of the empty text.
-Repeated rows get the same shard and slots of their own. Other columns are not read; an empty table gives no rows.
+Repeated rows get the same shard and slots of their own. Long texts are measured whole. Other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
