@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's
 documents. All but the last keep the columns of the documents they get. Rows are told apart by id and text, so repeated rows share
 a decision; after exact dedup none are left. After mixing a document stands in the table as often as the mix takes it.
+
+Every stage reads whole texts of any length and only id, source and text; other columns travel along in one struct, so no name can clash.
+Null texts: no stage drops them for being null. They count as empty in toxicity (lowest score), exact dedup (equal to empty texts) and packing (one
+end token), have no shingles and hence no near copies, and add no words to the mix. Null ids are kept. An empty table gives no rows at every stage.
 """
 
 from __future__ import annotations
