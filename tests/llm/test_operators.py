@@ -324,6 +324,26 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(taken - target) <= largest for (_, target), taken in by_target.items())
 
 
+def test_mix_of_hot_sizes_by_brute_force(spark):
+    import hashlib
+    import math
+
+    from turnstone.llm import mixing
+
+    block, rng = 40, np.random.default_rng(5)
+    docs = [(i, " ".join(["w"] * int(7 if i % 3 == 0 else rng.integers(0, 900))), ["a", "b", "c", None][min(3, int(rng.integers(0, 9)))]) for i in range(700)]
+    bits = lambda *parts: int(hashlib.md5(":".join("null" if x is None else str(x) for x in parts).encode()).hexdigest()[:13], 16)
+    got = mixing.mix_rows(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5), block=block).collect()
+    step = {r.source: (r.target / r.source_size if r.source_size else 0.0) for r in got}
+    n, want = math.ceil(len(docs) / block), {}
+    for source in step:
+        mine = sorted((len(t.split()), bits(mixing.SEED, d) % n, d) for d, t, s in docs if s == source)
+        offset = bits("offset", mixing.SEED, source) % (1 << mixing.OFFSET_BITS) / (1 << mixing.OFFSET_BITS)
+        for place, (size, _, d) in enumerate(mine):
+            want[d] = math.floor((place + 1) * step[source] + offset) - math.floor(place * step[source] + offset)
+    assert {r.doc_id: r.copies for r in got} == want and len(got) == len(docs)
+
+
 def test_cascade_is_exact_for_its_universe(spark):
     from pyspark.sql import functions as F
 

@@ -43,24 +43,40 @@ def uniform_bits(*parts: Column, digits: int = 13) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])), 1, digits), 16, 10).cast("long")
 
 
-def numbered(df: DataFrame, group: list[str], order: list[Column], into: str, block: Column, *, per_group_start: int = 0) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[Column], into: str, block: Column, *, per_group_start: int = 0, coarse: Column | None = None) -> DataFrame:
     """Gapless numbers within ``group``, in order of ``block`` and then ``order``, without a task per group.
 
     Rows are numbered inside (group, block); a table with one row per block carries the starts. ``block`` has to cut groups into
-    pieces of bounded size. Equal rows get different numbers; which one gets which is not defined.
+    pieces of bounded size. Where a group may have very many blocks, ``coarse`` (which must never fall as the block rises) cuts them
+    into ranges: starts are summed up inside each range, and one row per range carries them on. Equal rows get different numbers;
+    which one gets which is not defined.
     """
     from pyspark.sql import Window as W
 
     df = df.withColumn("_block", block)
-    before = W.partitionBy(*[f"_g{i}" for i in range(len(group))]).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    named = [F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]
-    starts = (df.groupBy(*named, F.col("_block").alias("_b")).agg(F.count("*").alias("_n"))
-              .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)) + per_group_start).drop("_n"))
+    keys = [f"_g{i}" for i in range(len(group))]
+    named = [F.col(c).alias(k) for c, k in zip(group, keys)]
+
+    def before(by: list[str], place: str):
+        return W.partitionBy(*by).orderBy(place).rowsBetween(W.unboundedPreceding, -1)
+
+    def carried(counts: DataFrame, by: list[str], place: str) -> DataFrame:
+        return counts.withColumn("_start", F.coalesce(F.sum("_n").over(before(by, place)), F.lit(0)))
+
+    if coarse is None:
+        starts = carried(df.groupBy(*named, F.col("_block").alias("_b")).agg(F.count("*").alias("_n")), keys, "_b")
+    else:
+        fine = df.groupBy(*named, coarse.alias("_c"), F.col("_block").alias("_b")).agg(F.count("*").alias("_n"))
+        ranges = carried(fine.groupBy(*keys, "_c").agg(F.sum("_n").alias("_n")), keys, "_c")
+        ranges = ranges.select(*[F.col(k).alias(f"_r{k}") for k in keys], F.col("_c").alias("_rc"), F.col("_start").alias("_carry"))
+        same = [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys] + [F.col("_c") == F.col("_rc")]
+        starts = carried(fine, [*keys, "_c"], "_b").join(ranges, same).select(*keys, "_b", "_n", (F.col("_start") + F.col("_carry")).alias("_start"))
+    starts = starts.withColumn("_start", F.col("_start") + per_group_start).drop("_n")
     inside = W.partitionBy(*group, "_block").orderBy(*order)
-    on = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)] + [F.col("_block") == F.col("_b")]
+    on = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(group, keys)] + [F.col("_block") == F.col("_b")]
     return (df.withColumn("_place", F.row_number().over(inside)).join(starts, on)
             .withColumn(into, (F.col("_start") + F.col("_place") - 1).cast("long"))
-            .drop("_block", "_place", "_start", "_b", *[f"_g{i}" for i in range(len(group))]))
+            .drop("_block", "_place", "_start", "_b", *keys))
 
 
 def release() -> None:

@@ -2,8 +2,10 @@
 
 A source's documents lie in order of size; each is expected ``target / source size`` times. One random offset per source is added to
 the prefix sum of these expectations, and a document is emitted once per integer boundary that its step crosses. In order of size
-the words taken stay within about one largest document of the target, for any offset. Places in the order are counted in blocks
-of bounded size, so a source with most of the rows needs no task of its own.
+the words taken stay within about one largest document of the target, for any offset. Documents of one source and one size make a
+block, and only a size that more than ``BLOCK`` documents of a source have is cut into several. Blocks are summed up in ranges of
+``RANGE`` neighbouring sizes, ranges in their source, so a source with most of the rows needs no task of its own: no task sees more
+than about ``BLOCK`` documents, ``RANGE`` + rows / ``BLOCK`` blocks, or longest text / ``RANGE`` ranges.
 
 A document's size is its number of words (null text: 0). Documents of size 0 take their steps like all others and add no words. A
 null source is a source of its own, last in order. A source without words has target 0. Repeated rows are separate documents; null
@@ -21,6 +23,8 @@ from turnstone.llm.base import blocks_for, n_words, numbered, stored, text_or_em
 WEIGHTS = (5, 2, 1)
 MOST = 3                  # a target stops at this many times its source's size
 SEED = 11
+BLOCK, RANGE = 65_536, 256
+SMALL = 200_000           # hot sizes up to which they are sent to every task
 OFFSET_BITS = 20          # few enough for exact sums with steps that are whole numbers
 
 
@@ -47,15 +51,26 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         "source", "source_size", "n_docs", F.least(F.col("weight") * F.col("level"), F.col("cap").cast("double")).alias("target"))
 
 
-def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
+def with_pieces(rows: DataFrame, block: int) -> DataFrame:
+    """Adds ``pieces``, into how many blocks the row's (source, size) is cut; null where one is enough. There are at most rows / block hot sizes."""
+    hot = rows.groupBy(F.col("source").alias("_of"), F.col("size").alias("_size")).agg(F.ceil(F.count("*") / block).alias("pieces")).filter("pieces > 1")
+    hot = stored(hot, "mix-hot-sizes")
+    if hot.count() <= SMALL:
+        hot = F.broadcast(hot)
+    return rows.join(hot, F.col("source").eqNullSafe(F.col("_of")) & (F.col("size") == F.col("_size")), "left").drop("_of", "_size")
+
+
+def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, keep: list[str] | None = None,
+             block: int = BLOCK) -> DataFrame:
     """Per document ``doc_id, source, size, source_size, target, copies, taken`` (and the columns in ``keep``); ``copies`` may be 0."""
     keep = keep or []
     rows = stored(docs.select("doc_id", "source", n_words(text_or_empty()).alias("size"), *keep), "mix-sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     aims = targets(sizes, weights, most).withColumnsRenamed({"source": "of"})
-    n = blocks_for(rows.count())
-    block = F.struct("size", F.pmod(uniform_bits(F.lit(seed), F.col("doc_id")), F.lit(n)).alias("part"))
-    placed = numbered(rows, ["source"], [F.col("doc_id")], "place", block)
+    n = blocks_for(rows.count(), block)
+    parted = rows.withColumn("part", F.pmod(uniform_bits(F.lit(seed), F.col("doc_id")), F.lit(n)))
+    cut = F.struct("size", F.floor(F.col("part") * F.coalesce("pieces", F.lit(1)) / n).alias("nth"))         # rises with the part, so order is by part
+    placed = numbered(with_pieces(parted, block), ["source"], [F.col("part"), F.col("doc_id")], "place", cut, coarse=F.floor(F.col("size") / RANGE))
     joined = placed.join(aims, F.col("source").eqNullSafe(F.col("of")))
     return joined.withColumn("copies", copies(seed)).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
