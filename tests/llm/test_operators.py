@@ -49,6 +49,40 @@ def test_multi_index_finds_nine_tenths(spark, tmp_path):
     assert len(got) == 60 and found >= 0.9 * 600
 
 
+def test_multi_index_recall_with_production_parameters(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = np.random.default_rng(7).normal(size=(24_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float64()))}),
+                   tmp_path / "v.parquet")
+    df = spark.read.parquet(str(tmp_path / "v.parquet"))
+    got = defaultdict(list)
+    for r in multi_index.search(df, df.filter("vec_id % 60 = 0")).collect():
+        got[r.query_id].append(r.vec_id)
+    near = x[::60] @ x.T
+    near[np.arange(len(near)), np.arange(0, len(x), 60)] = -9
+    want = np.argsort(-near, axis=1)[:, :20]
+    found = sum(len(set(got[60 * i]) & set(w.tolist())) for i, w in enumerate(want))
+    assert all(len(v) == 20 for v in got.values()) and found >= 0.9 * want.size
+
+
+def test_multi_index_moves_only_visited_entries(spark):
+    rng = np.random.default_rng(9)
+    centres = np.eye(8) * 20
+    x = np.concatenate([c + rng.normal(size=(250, 8)) for c in centres])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for chunk in (7, 4096):                       # queries of one centre; the others' cells hold nothing for them
+        rows = multi_index.search(df, df.filter("vec_id < 40"), k=10, share=0.05, least=250, centroids=16, block=50, chunk=chunk).collect()
+        found = {(r.query_id, r["rank"]): r.vec_id for r in rows}
+        assert len(found) == len(rows) == 400 and {v < 250 for v in found.values()} == {True}
+        near = x[:40] @ x.T
+        near[np.arange(40), np.arange(40)] = -1e9
+        want = np.argsort(-near, axis=1)[:, :10]
+        assert sum(found[q, k + 1] in want[q] for q in range(40) for k in range(10)) >= 360
+
+
 def test_multi_index_breaks_ties_by_id(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0, 0.5]) for i in range(900)], "vec_id long, embedding array<double>")
     rows = multi_index.search(df, df.filter("vec_id in (0, 450)"), k=5, block=100, least=10, share=1.0).collect()

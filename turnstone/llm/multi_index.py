@@ -5,8 +5,9 @@ the id); a cell is a pair of centroids. A query sorts both lists of centroids by
 by their summed distance from a heap, until the cells taken hold ``SHARE`` of all entries (and ``LEAST`` entries at least). Entries of
 those cells are ranked again by the inner product of the original vectors in double precision.
 
-Cells are laid into blocks of about ``BLOCK`` entries, a larger cell into several; queries into chunks of ``CHUNK``. A task sees one block and
-one chunk, so a cell with a third of all vectors is no task of its own. Vectors that are spread evenly over the sphere, as those of the test
+Cells are laid into blocks of about ``BLOCK`` entries, a larger cell into several; the queries that visit a block into chunks of about
+``CHUNK``. A group of rows is one block and one chunk of its visitors, so a cell with a third of all vectors is no group of its own, an entry is copied
+once per ``CHUNK`` visitors of its block, and entries that no query visits are not moved at all. Vectors that are spread evenly over the sphere, as those of the test
 tables, have no near cells to speak of: nine tenths of the nearest are found in some two fifths of the entries. Clustered vectors need a
 smaller share.
 
@@ -26,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnstone.llm.base import stored
+from turnstone.llm.base import partitions, stored
 
 CENTROIDS, SAMPLE, ROUNDS = 64, 8192, 12
 SHARE, LEAST = 0.45, 2000
 BLOCK, CHUNK = 8192, 4096
+SLICE = 16_384            # visits that a task lays out at once
+SMALL = 500_000           # blocks up to which their numbers of chunks are sent to every task
 
 
 def sound(vectors: DataFrame, id_column: str, column: str, length: int | None = None) -> DataFrame:
@@ -147,8 +150,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = S
     enough = max(least, math.ceil(share * sum(sizes)))
     places = spark.createDataFrame([(c, first[c], parts[c]) for c in range(cells) if sizes[c]], "of int, first int, parts int")
 
-    asked = sound(queries, id_column, column, len(rows.first()["vec"])).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    chunks = max(1, math.ceil(asked.count() / chunk))
+    asked = sound(queries, id_column, column, len(rows.first()["vec"])).repartition(partitions(spark), "vec_id").groupBy("vec_id").agg(F.min("vec").alias("vec"))
 
     def visit(batches):
         for batch in batches:
@@ -163,15 +165,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = S
                 row += [i] * len(seen)
                 where += seen
                 taken += seen.values()
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("vec").take(at), pa.array(where, pa.int32()), pa.array(taken, pa.list_(pa.int32()))],
-                                             names=["query_id", "query", "block", "cells"])
-
-    visits = asked.mapInArrow(visit, f"query_id {id_type}, query array<double>, block int, cells array<int>").withColumn(
-        "chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
+                if len(row) >= SLICE or i + 1 == batch.num_rows:
+                    for lo in range(0, len(row), SLICE):
+                        at = pa.array(row[lo:lo + SLICE], pa.int64())
+                        yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("vec").take(at), pa.array(where[lo:lo + SLICE], pa.int32()),
+                                                          pa.array(taken[lo:lo + SLICE], pa.list_(pa.int32()))], names=["query_id", "query", "block", "cells"])
+                    row, where, taken = [], [], []
+
+    visits = stored(asked.mapInArrow(visit, f"query_id {id_type}, query array<double>, block int, cells array<int>"), "index-visits")
+    chunks = visits.groupBy(F.col("block").alias("in_block")).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    if max(f + n for f, n in zip(first, parts)) <= SMALL:
+        chunks = F.broadcast(chunks)
+    visits = visits.join(chunks, F.col("block") == F.col("in_block")).select(
+        "query_id", "query", "block", "cells", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int").alias("chunk"))
     placed = entries.join(places, F.col("cell") == F.col("of")).select(
-        "vec_id", "vec", "cell", (F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("parts"))).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+        "vec_id", "vec", "cell", (F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("parts"))).cast("int").alias("block"))
+    placed = placed.join(chunks, F.col("block") == F.col("in_block")).select(
+        "vec_id", "vec", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
 
     def rank(block_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
