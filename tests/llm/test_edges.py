@@ -53,6 +53,38 @@ def test_dedup_of_odd_rows(spark):
     assert sum(r.kept for r in rows) == 8
 
 
+@pytest.mark.parametrize("weak", ["key", "digest", "both"])
+def test_dedup_tells_colliding_texts_apart(spark, weak):
+    from pyspark.sql import functions as F
+
+    key = lambda text: F.char_length(text).cast("long")
+    digest = lambda text: F.encode(F.substring(text, 1, 1), "UTF-8")
+    hashes = {"key": {"key": key}, "digest": {"digest": digest}, "both": {"key": key, "digest": digest}}[weak]
+    texts = ["ab", "a b", "ac", "ba", "ab ", "abc", "a  c", "xyz", "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 40)], "doc_id long, text string").repartition(4)
+    rows = {r.doc_id: r for r in exact_dedup.exact_duplicates(docs, capacity=1, owner_rows=2, **hashes).collect()}
+    groups = {}
+    for i, t in enumerate(texts * 40):
+        groups.setdefault("".join((t or "").split()), []).append((-len(t or ""), i))
+    assert len(rows) == 400
+    for ids in groups.values():
+        keep = min(ids)[1]
+        assert all((rows[i].keep_id, rows[i].group_size, rows[i].kept) == (keep, len(ids), i == keep) for _, i in ids)
+    members = {(r.bucket, r.chain_place, r.keep_id) for r in rows.values()}
+    assert len(members) == len(groups)
+
+
+def test_dedup_index_answers_another_batch(spark):
+    first = spark.createDataFrame([(i, f"text {i % 70}") for i in range(100)], "doc_id long, text string")
+    index = exact_dedup.build_index(exact_dedup.entries(first), capacity=4, owner_rows=8)
+    local = [r.local_depth for r in index.members.collect()]
+    assert index.depth >= 4 and max(local) == index.depth and min(local) < index.depth       # some buckets split, others shared by cells
+    full = index.members.groupBy("bucket").count().collect()
+    assert max(r["count"] for r in full) <= 4
+    second = exact_dedup.entries(spark.createDataFrame([(1000, "text65"), (1001, "te xt 2"), (1002, "new"), (1003, None)], "doc_id long, text string"))
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.probe(second, index).collect()} == {1000: (65, 1), 1001: (2, 2), 1002: (None, None), 1003: (None, None)}
+
+
 def test_shards_of_odd_rows(spark):
     rows = RUN["shards"](odd(spark), spark).collect()
     assert len(rows) == 13 and len({(r.shard, r.slot) for r in rows}) == 13 and all(r.grown_shard in (r.shard, 2) for r in rows)
