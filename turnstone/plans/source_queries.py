@@ -18,43 +18,53 @@ from turnstone.session import shared_dir, stored
 from turnstone.sources import files as SF, spend as SP, transcripts as ST
 
 
+_LINE_COLUMNS = {"call_no", "call_id", "name", "input_json", "tool_blocks", "called_at", "result_at", "skill", "model", "input_tokens", "cache_read_tokens",
+                 "cache_creation_tokens", "output_tokens", "failure_reason"}
+
+
 def transcript_folder(t) -> str:
     """The bridge sessions as transcript lines, in file order, with broken, empty and injected lines in between."""
     if hasattr(t, "_transcripts"):
         return t._transcripts
     sid = F.col("session_id").cast("string")
     at = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    k = ["session_id", "turn_no"]
+    k, big = ["session_id", "turn_no"], lambda x: (F.lit(x) if isinstance(x, int) else F.col(x)).cast("bigint")
+
+    def row(df, kind, order, *columns):
+        return df.select("session_id", *[big(o).alias(f"o{i}") for i, o in enumerate(order)], F.lit(kind).alias("kind"), *columns)
 
-    def line(df, order, *fields):
-        return df.select("session_id", *[F.lit(o).cast("bigint").alias(f"o{i}") if isinstance(o, int) else F.col(o).cast("bigint").alias(f"o{i}") for i, o in enumerate(order)],
-                         F.to_json(F.struct(*fields), {"ignoreNullFields": "true"}).alias("value"))
+    # rows are dealt and sorted before their lines are made: the shuffle carries columns, and a call is one row for its two lines
+    c = t.turn_calls.join(t.turns.select(*k, "is_sidechain", "stop_reason"), k)
+    rows = (row(t.turns, "turn", ("turn_no", -1, 0), "turn_no", "is_sidechain", "started_at", "prompt")
+            .unionByName(row(c, "call", ("turn_no", 0, "call_no"), "is_sidechain", "stop_reason", *[x for x in t.turn_calls.columns if x in _LINE_COLUMNS]), allowMissingColumns=True))
+    noise = t.turns.filter("turn_no = 0").select("session_id", F.explode(F.array(*[big(i) for i in range(3)])).alias("i"))
+    rows = rows.unionByName(row(noise, "noise", (99, "i", 0)), allowMissingColumns=True)
+
+    def line(*fields):
+        return F.to_json(F.struct(*fields), {"ignoreNullFields": "true"})
 
-    human = line(t.turns.filter("NOT is_sidechain"), ("turn_no", -1, 0, 0), F.lit("user").alias("type"), sid.alias("sessionId"), at("started_at").alias("timestamp"),
+    human = line(F.lit("user").alias("type"), sid.alias("sessionId"), at("started_at").alias("timestamp"),
                  F.concat(F.lit("p"), "turn_no").alias("promptId"), F.struct(F.lit("human").alias("kind")).alias("origin"), F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")).alias("message"))
-    injected = line(t.turns, ("turn_no", -1, 1, 0), F.lit("user").alias("type"), sid.alias("sessionId"), at("started_at").alias("timestamp"), F.lit(True).alias("isMeta"),
+    injected = line(F.lit("user").alias("type"), sid.alias("sessionId"), at("started_at").alias("timestamp"), F.lit(True).alias("isMeta"),
                     F.struct(F.lit("user").alias("role"), F.lit("<system-reminder>x</system-reminder>").alias("content")).alias("message"))
-    c = t.turn_calls.join(t.turns.select(*k, "is_sidechain", "stop_reason"), k)
     last = F.col("call_no") % 5 == 4
     use = F.concat(F.lit('[{"type":"tool_use","id":"c'), "call_id", F.lit('","name":"'), "name", F.lit('","input":'), "input_json", F.lit("}"),
                    F.repeat(F.lit(',{"type":"tool_use","name":"more","input":{}}'), (F.col("tool_blocks") - 1).cast("int")), F.lit("]"))
-    body = F.concat(F.lit('{"type":"assistant","sessionId":"'), sid, F.lit('","timestamp":"'), at("called_at"), F.lit('","isSidechain":'), F.col("is_sidechain").cast("string"),
-                    F.when(F.col("skill").isNotNull(), F.concat(F.lit(',"attributionSkill":"'), "skill", F.lit('"'))).otherwise(""),
-                    F.lit(',"message":{"model":"'), "model", F.lit('","content":'), use, F.when(last & F.col("stop_reason").isNotNull(), F.concat(F.lit(',"stop_reason":"'), "stop_reason", F.lit('"'))).otherwise(""),
-                    F.lit(',"usage":{"input_tokens":'), "input_tokens", F.lit(',"cache_read_input_tokens":'), "cache_read_tokens", F.lit(',"cache_creation_input_tokens":'), "cache_creation_tokens",
-                    F.lit(',"output_tokens":'), "output_tokens", F.lit("}}}"))
-    answer = c.select("session_id", F.col("turn_no").alias("o0"), F.lit(0).cast("bigint").alias("o1"), F.col("call_no").alias("o2"), F.lit(0).cast("bigint").alias("o3"), body.alias("value"))
+    answer = F.concat(F.lit('{"type":"assistant","sessionId":"'), sid, F.lit('","timestamp":"'), at("called_at"), F.lit('","isSidechain":'), F.col("is_sidechain").cast("string"),
+                      F.when(F.col("skill").isNotNull(), F.concat(F.lit(',"attributionSkill":"'), "skill", F.lit('"'))).otherwise(""),
+                      F.lit(',"message":{"model":"'), "model", F.lit('","content":'), use, F.when(last & F.col("stop_reason").isNotNull(), F.concat(F.lit(',"stop_reason":"'), "stop_reason", F.lit('"'))).otherwise(""),
+                      F.lit(',"usage":{"input_tokens":'), "input_tokens", F.lit(',"cache_read_input_tokens":'), "cache_read_tokens", F.lit(',"cache_creation_input_tokens":'), "cache_creation_tokens",
+                      F.lit(',"output_tokens":'), "output_tokens", F.lit("}}}"))
     result = F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("c"), F.col("call_id").cast("string")).alias("tool_use_id"), F.lit("done").alias("content"),
                       F.when(F.col("failure_reason") == "is_error", True).alias("is_error"))
-    back = line(c.filter("result_at IS NOT NULL"), ("turn_no", 0, "call_no", 1), F.lit("user").alias("type"), sid.alias("sessionId"), at("result_at").alias("timestamp"),
+    back = line(F.lit("user").alias("type"), sid.alias("sessionId"), at("result_at").alias("timestamp"),
                 F.struct(F.lit("user").alias("role"), F.array(result).alias("content")).alias("message"), F.struct(F.when(F.col("failure_reason") == "code=1", 1).alias("code"), F.lit(False).alias("interrupted")).alias("toolUseResult"))
-    noise = t.turns.filter("turn_no = 0").select("session_id", F.lit(99).cast("bigint").alias("o0"), F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(3)])).alias("o1"), F.lit(0).cast("bigint").alias("o2"),
-                                                 F.lit(0).cast("bigint").alias("o3"))
-    noise = noise.withColumn("value", F.when(F.col("o1") == 0, "{not json").when(F.col("o1") == 1, "[1,2,3]").otherwise(""))
+    junk = F.when(F.col("o1") == 0, "{not json").when(F.col("o1") == 1, "[1,2,3]").otherwise("")
+    lines = (F.when(F.col("kind") == "turn", F.when(~F.col("is_sidechain"), F.array(human, injected)).otherwise(F.array(injected)))
+             .when(F.col("kind") == "call", F.when(F.col("result_at").isNotNull(), F.array(answer, back)).otherwise(F.array(answer))).otherwise(F.array(junk)))
     path = f"{shared_dir(t.spark)}/transcripts-{uuid.uuid4().hex}"
-    order = ["session_id", "o0", "o1", "o2", "o3"]
-    (human.unionByName(injected).unionByName(answer).unionByName(back).unionByName(noise)
-     .repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(path))
+    order = ["session_id", "o0", "o1", "o2"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.explode(lines).alias("value")).write.text(path)
     t._transcripts = path
     return path
 
