@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,7 @@ def user_text(message) -> Column:
 def is_human_prompt(type_, is_meta, text, origin_kind) -> Column:
     """P02 — typed by a person: a user line, not injected, not blank, no tooling prefix; an origin decides when given."""
     t = X.trimmed(F.coalesce(X._c(text), F.lit("")))
-    low = F.lower(t)
-    made_up = F.exists(X.const(V.SYNTHETIC_PREFIXES), lambda p: low.startswith(F.lower(p)))
+    made_up = X.bind(F.lower(t), lambda low: reduce(Column.__or__, [low.startswith(F.lower(F.lit(p))) for p in V.SYNTHETIC_PREFIXES]))     # trimmed once, not per prefix
     origin = X._c(origin_kind)
     ok = (X._c(type_) == "user") & ~F.coalesce(X._c(is_meta), F.lit(False)) & (t != "") & ~made_up
     return F.coalesce(ok & F.when(origin.isNotNull(), F.lower(origin) == "human").otherwise(True), F.lit(False))

@@ -52,9 +52,16 @@ def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl", modifie
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """S02 — line number in the file; a very long file is numbered block by block."""
-    numbered = O.ordered_scan(lines, ["file"], ["block", "pos"], {"line_no": O.number()}, F.col("block"))
-    return numbered.drop("block", "pos")
+    """S02 — line number in the file; a very long file is numbered block by block.
+
+    ``pos`` counts the lines of a split without gaps, so a line's place in its split needs no sort: only one row per split, with its first
+    position and its number of lines, is shuffled, summed up and sent to the readers; the text stays where it is read.
+    """
+    splits = lines.groupBy("file", "block").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
+    placed = O.ordered_scan(splits, ["file"], ["block"], {"upto": O.running_sum(F.col("n"))}, F.col("block"))
+    offsets = placed.select(F.col("file").alias("_file"), F.col("block").alias("_block"), (F.col("upto") - F.col("n") - F.col("first") + 1).alias("_offset"))
+    met = lines.join(F.broadcast(offsets), (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    return met.withColumn("line_no", F.col("pos") + F.col("_offset")).drop("block", "pos", "_file", "_block", "_offset")
 
 
 def scan(lines: DataFrame) -> DataFrame:
@@ -84,7 +91,8 @@ def records(scanned: DataFrame) -> DataFrame:
         get("$.entrypoint", "string").alias("entrypoint"), get("$.isSidechain", "boolean").alias("is_sidechain"), get("$.isMeta", "boolean").alias("is_meta"),
         get("$.promptId", "string").alias("prompt_id"), get("$.origin", "variant").alias("origin"), get("$.message", "variant").alias("message"),
         get("$.toolUseResult", "variant").alias("tool_use_result"), get("$.attributionSkill", "string").alias("attribution_skill"),
-        F.from_json("value", _BLOCK_INPUTS)["message"]["content"]["input"].alias("block_inputs"))
+        # a key may be spelled with escapes; without either text no block has an input
+        F.when(F.contains("value", F.lit("input")) | F.contains("value", F.lit("\\u")), F.from_json("value", _BLOCK_INPUTS)["message"]["content"]["input"]).alias("block_inputs"))
 
 
 def read_records(spark: SparkSession, root: str, pattern: str = "*.jsonl", **options) -> DataFrame:
