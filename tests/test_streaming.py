@@ -219,3 +219,24 @@ def test_delivery_retries_then_abandons(spark, tmp_path, failures, kept):
     assert len(sent) == kept and {r.outcome for r in log} == {"sent" if kept else "abandoned"} and len({r.batch for r in log}) == len(log)
     if not kept:
         assert spark.read.parquet(f"{base}/dead").filter(F.col("reason").contains("away")).count() == 2
+
+
+@pytest.mark.parametrize("batch,files", [(10_000, 1), (7, 5)])
+def test_sessions_share_state_groups(spark, tmp_path, batch, files):
+    """A call of the processor serves many sessions, and none sees another's spans."""
+    rnd = random.Random(3)
+    names = [f"s{i}" for i in range(30)]
+    rows = [(*r[:3], rnd.choice(names), *r[4:]) for r in _events(600, 5)]
+    mixed = rows[:]
+    if files == 1:
+        rnd.shuffle(mixed)
+    step = len(rows) // files
+    for i in range(files):
+        schema = _write(spark, mixed[i * step:(i + 1) * step][::-1], str(tmp_path / "in"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+        assert _rows(S.drain(S.pair_spans(stream, groups=3), "pair")) == _final(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)

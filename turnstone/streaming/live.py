@@ -66,19 +66,26 @@ STATE_SCHEMA = "name string, parent string, opened_us bigint, seen_us bigint, re
 _US = 1_000_000
 
 
-EVENT_COLUMNS = ["us", "tie", "hook", "prompt_id", "tool_name", "tool_use_id", "tool_execution_time_ms", "agent_id", "agent_type", "model", "total_in",
+EVENT_COLUMNS = ["session_id", "us", "tie", "hook", "prompt_id", "tool_name", "tool_use_id", "tool_execution_time_ms", "agent_id", "agent_type", "model", "total_in",
                  "output_tokens", "cache_read_tokens"]
 OUT_ROWS = 5_000
+GROUPS = 1_024
+
+
+def _group(groups: int) -> Column:
+    """The state group of a session. A call of a state processor costs some 20 ms before any row is read, so sessions share calls."""
+    return F.pmod(F.xxhash64("session_id"), F.lit(groups)).cast("int")
 
 
 class SpanPairing(StatefulProcessor):
     """ST02-ST05, ST07, ST09 — open and close events of a session paired into spans, in event-time order.
 
-    Events wait in state until the watermark passes them and are then taken in the order ``(us, tie)``, so the result does not
+    A state group holds the sessions of one hash value; each session has its own open spans, so the group changes no result. Events wait in
+    state until the watermark passes them and are then taken in the order ``(us, tie)``, so the result does not
     depend on how rows are spread over files, micro-batches and Arrow batches. An Arrow batch waits as one sorted entry under its first
     and last time; release merges the entries, opening each only when the merge reaches its first row, and writes back what is not due. Open spans of
-    a session are few; they are loaded once per call and written back once. A span that is not seen for ``idle_hours`` of event time is
-    closed as abandoned. One timer per session wakes it for the first waiting event or idle span.
+    a group are loaded once per call, and those that changed are written back. A span that is not seen for ``idle_hours`` of event time is
+    closed as abandoned. One timer per group wakes it for the first waiting event or idle span.
     """
 
     def __init__(self, idle_hours: float = V.IDLE_SESSION_HOURS):
@@ -86,7 +93,7 @@ class SpanPairing(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "key string", STATE_SCHEMA)
+        self.open = handle.getMapState("open", "session_id string, key string", STATE_SCHEMA)
         self.waiting = handle.getMapState("waiting", "lo bigint, hi bigint, n bigint", "rows binary")
         self.serial = handle.getValueState("serial", "n bigint")
 
@@ -129,20 +136,18 @@ class SpanPairing(StatefulProcessor):
         base = [session, scope, ident, s["name"], s["parent"], s["opened_us"], max(end, s["opened_us"]), outcome, s["reason"]]
         return base + ([s["model"], s["peak"], s["output"], s["cache"]] if usage else [None, None, None, None])
 
-    def _load(self) -> dict[str, dict]:
-        names = [f.split()[0] for f in STATE_SCHEMA.split(", ")]
-        return {k[0]: dict(zip(names, v)) for k, v in self.open.iterator()}
+    def _store(self, before: dict[tuple, tuple], spans: dict[str | None, dict[str, dict]]) -> None:
+        now = {(session, key): tuple(s.values()) for session, of in spans.items() for key, s in of.items()}
+        for at in before.keys() - now.keys():
+            self.open.removeKey(at)
+        for at, s in now.items():
+            if before.get(at) != s:
+                self.open.updateValue(at, s)
 
-    def _store(self, before: set[str], spans: dict[str, dict]) -> None:
-        for key in before - set(spans):
-            self.open.removeKey((key,))
-        for key, s in spans.items():
-            self.open.updateValue((key,), tuple(s.values()))
-
-    def _reset_timer(self, spans: dict[str, dict], watermark: int) -> None:
-        for (at,) in [(t,) for t in self.handle.listTimers()]:
+    def _reset_timer(self, spans: dict[str | None, dict[str, dict]], watermark: int) -> None:
+        for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
-        first = min([k[0] for k in self.waiting.keys()] + [s["seen_us"] + self.idle_us for s in spans.values()], default=None)
+        first = min([k[0] for k in self.waiting.keys()] + [s["seen_us"] + self.idle_us for of in spans.values() for s in of.values()], default=None)
         if first is not None:
             self.handle.registerTimer(max(first // 1000, watermark + 1))
 
@@ -218,17 +223,24 @@ class SpanPairing(StatefulProcessor):
                 s["output"] += int(e["output_tokens"])
                 s["cache"] += int(e["cache_read_tokens"])
 
-    def _advance(self, session, watermark: int) -> Iterator[pd.DataFrame]:
+    def _advance(self, watermark: int) -> Iterator[pd.DataFrame]:
         """Everything that the watermark has passed: events in order, then idle spans."""
         limit, out = watermark * 1000, []
-        spans = self._load()
-        before = set(spans)
+        names = [f.split()[0] for f in STATE_SCHEMA.split(", ")]
+        before = {tuple(k): tuple(v) for k, v in self.open.iterator()}
+        spans: dict[str | None, dict[str, dict]] = {}
+        for (session, key), s in before.items():
+            spans.setdefault(session, {})[key] = dict(zip(names, s))
         for e in self._due(limit):
-            self._event(session, e, spans, out)
+            self._event(e["session_id"], e, spans.setdefault(e["session_id"], {}), out)
+            if len(out) >= OUT_ROWS:
+                yield _frame(out)
+                out = []
+        for session, of in spans.items():
+            self._sweep(session, of, limit - 1, out)
             if len(out) >= OUT_ROWS:
                 yield _frame(out)
                 out = []
-        self._sweep(session, spans, limit - 1, out)
         self._store(before, spans)
         self._reset_timer(spans, watermark)
         if out:
@@ -238,10 +250,10 @@ class SpanPairing(StatefulProcessor):
         for chunk in rows:
             if len(chunk):
                 self._wait(pa.Table.from_pandas(chunk[EVENT_COLUMNS].sort_values(["us", "tie"], kind="stable"), preserve_index=False))
-        yield from self._advance(key[0], timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key[0], timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -256,14 +268,14 @@ def _frame(rows: list) -> pd.DataFrame:
     return df
 
 
-def pair_spans(hooks: DataFrame, watermark: str = "10 minutes", idle_hours: float = V.IDLE_SESSION_HOURS) -> DataFrame:
+def pair_spans(hooks: DataFrame, watermark: str = "10 minutes", idle_hours: float = V.IDLE_SESSION_HOURS, groups: int = GROUPS) -> DataFrame:
     """ST02 — spans of a hook stream; needs the RocksDB state store.
 
     Columns: ts, tie, hook, session_id, prompt_id, tool_name, tool_use_id, tool_execution_time_ms, agent_id, agent_type, model,
-    total_in, output_tokens, cache_read_tokens.
+    total_in, output_tokens, cache_read_tokens. Sessions are dealt over ``groups`` state groups; a checkpoint keeps to the number it began with.
     """
-    rows = hooks.withColumn("us", F.unix_micros("ts")).withWatermark("ts", watermark)
-    return rows.groupBy("session_id").transformWithStateInPandas(
+    rows = hooks.withColumns({"us": F.unix_micros("ts"), "state_group": _group(groups)}).withWatermark("ts", watermark)
+    return rows.groupBy("state_group").transformWithStateInPandas(
         statefulProcessor=SpanPairing(idle_hours), outputStructType=SPAN_SCHEMA, outputMode="append", timeMode="eventTime")
 
 
