@@ -240,3 +240,25 @@ def test_sessions_share_state_groups(spark, tmp_path, batch, files):
         assert _rows(S.drain(S.pair_spans(stream, groups=3), "pair")) == _final(rows)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+@pytest.mark.parametrize("batch,files", [(10_000, 1), (7, 4)])
+def test_turn_usage_of_sessions_in_one_group(spark, tmp_path, batch, files):
+    rnd, start = random.Random(4), dt.datetime(2026, 1, 1)
+    rows = [(start + dt.timedelta(seconds=i), i, rnd.choice([None, "a", "b", "c"]), rnd.choice(["p1", "p2", "", None]), rnd.choice(["m1", "m2", None]), rnd.randrange(50), rnd.randrange(5), 0, rnd.randrange(9)) for i in range(400)]
+    for i in range(files):
+        df = spark.createDataFrame(rows[i::files], "ts timestamp, step_no bigint, session_id string, prompt_id string, model string, input_tokens bigint, cache_read_tokens bigint, cache_creation_tokens bigint, output_tokens bigint")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    want = {}
+    for _, _, session, prompt, model, tokens, cached, _, made in rows:
+        if prompt:
+            _, most, out, read = want.get((session, prompt), (None, 0, 0, 0))
+            want[session, prompt] = (model, max(most, tokens + cached), out + made, read + cached)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+        got = S.drain_updates(S.last_turns(stream, groups=2), "turns", ["session_id", "prompt_id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {(r.session_id, r.prompt_id): (r.model, r.prompt_tokens, r.completion_tokens, r.cache_read_tokens) for r in got} == want

@@ -303,62 +303,75 @@ def failure_rate(events: DataFrame, width: str = "1 day", slide: str = "6 hours"
 TURN_SCHEMA = "model string, prompt_tokens bigint, completion_tokens bigint, cache_read_tokens bigint"
 
 
+TURN_KEY = ["session_id", "prompt_id"]
+
+
 class TurnUsage(StatefulProcessor):
-    """ST08 — usage of a session's running turns, each forgotten when the watermark is ``keep_hours`` past its last step."""
+    """ST08 — usage of running turns, each forgotten when the watermark is ``keep_hours`` past its last step.
+
+    A state group holds the sessions of one hash value; its running turns are one list, read and written in one go. Each
+    Arrow batch is folded to one row per turn before it meets the others.
+    """
 
     def __init__(self, keep_hours: float = V.IDLE_SESSION_HOURS):
         self.keep_us = int(keep_hours * 3600 * _US)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.turns = handle.getMapState("turns", "prompt_id string", f"last_us bigint, last_no bigint, {TURN_SCHEMA}")
+        self.turns = handle.getListState("turns", f"session_id string, prompt_id string, last_us bigint, last_no bigint, {TURN_SCHEMA}")
 
-    def _wake(self, first: int | None, watermark: int) -> None:
-        """One timer for the turn that ends first; it may come early, then it is set anew."""
-        if first is not None:
-            self.handle.registerTimer(max((first + self.keep_us) // 1000, watermark + 1))
+    def _load(self) -> dict[tuple, tuple]:
+        return {row[:2]: row[2:] for row in self.turns.get()} if self.turns.exists() else {}
+
+    def _store(self, turns: dict[tuple, tuple], watermark: int) -> None:
+        """The running turns, and one timer for the turn that ends first."""
+        if turns:
+            self.turns.put([k + s for k, s in turns.items()])
+        else:
+            self.turns.clear()
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if turns:
+            self.handle.registerTimer(max((min(s[0] for s in turns.values()) + self.keep_us) // 1000, watermark + 1))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        seen: dict[str, tuple] = {}
+        turns, seen = self._load(), {}
         for chunk in rows:
-            by_turn = chunk.sort_values(["us", "step_no"]).groupby("prompt_id")
-            last, most, total = by_turn[["us", "step_no", "model"]].tail(1), by_turn["total"].max(), by_turn[["output_tokens", "cache_read_tokens"]].sum()
-            for i, us, no, model in zip(chunk["prompt_id"].loc[last.index], last["us"], last["step_no"], last["model"]):
-                old = seen.get(i) or (self.turns.getValue((i,)) if self.turns.containsKey((i,)) else (-1, -1, None, 0, 0, 0))
-                newest = (us, no) >= old[:2]
-                seen[i] = (int(us) if newest else old[0], int(no) if newest else old[1], model if newest else old[2], max(old[3], int(most[i])),
-                           old[4] + int(total["output_tokens"][i]), old[5] + int(total["cache_read_tokens"][i]))
-        for i, s in seen.items():
-            self.turns.updateValue((i,), s)
-        if seen and not any(True for _ in self.handle.listTimers()):
-            self._wake(min(s[0] for s in seen.values()), timerValues.getCurrentWatermarkInMs())
-        names = [f.split()[0] for f in TURN_SCHEMA.split(", ")]
+            chunk = chunk.sort_values(["us", "step_no"], ignore_index=True)
+            by_turn = chunk.groupby(TURN_KEY, dropna=False, sort=False)
+            most, made, cached = by_turn["total"].transform("max"), by_turn["output_tokens"].transform("sum"), by_turn["cache_read_tokens"].transform("sum")
+            last = by_turn.tail(1).index
+            cells = [chunk[c] for c in (*TURN_KEY, "us", "step_no", "model")] + [most, made, cached]
+            for session, prompt, us, no, model, most, made, cached in zip(*(c.loc[last].tolist() for c in cells)):
+                at = (session, prompt)
+                old = turns.get(at, (-1, -1, None, 0, 0, 0))
+                head = (int(us), int(no), model) if (us, no) >= old[:2] else old[:3]
+                turns[at] = seen[at] = (*head, max(old[3], most), old[4] + made, old[5] + cached)
+        self._store(turns, timerValues.getCurrentWatermarkInMs())
         if seen:
-            yield pd.DataFrame([{"session_id": key[0], "prompt_id": i, **dict(zip(names, s[2:]))} for i, s in seen.items()])
+            names = TURN_KEY + [f.split()[0] for f in TURN_SCHEMA.split(", ")]
+            yield pd.DataFrame([at + s[2:] for at, s in seen.items()], columns=names)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        known = {k[0]: v[0] for k, v in self.turns.iterator()}
-        over = [i for i, last in known.items() if last + self.keep_us < watermark * 1000]
-        for i in over:
-            self.turns.removeKey((i,))
-        self._wake(min((last for i, last in known.items() if i not in set(over)), default=None), watermark)
+        self._store({at: s for at, s in self._load().items() if s[0] + self.keep_us >= watermark * 1000}, watermark)
         return iter([])
 
     def close(self) -> None:
         pass
 
 
-def last_turns(steps: DataFrame, watermark: str = "10 minutes", keep_hours: float = V.IDLE_SESSION_HOURS) -> DataFrame:
+def last_turns(steps: DataFrame, watermark: str = "10 minutes", keep_hours: float = V.IDLE_SESSION_HOURS, groups: int = GROUPS) -> DataFrame:
     """ST08 — usage of each turn so far; a step without a prompt is left out, so it never counts for another turn.
 
-    A turn's state lives until the watermark is ``keep_hours`` past its last step, so the store holds running turns only.
+    A turn's state lives until the watermark is ``keep_hours`` past its last step, so the store holds running turns only. Sessions are dealt over
+    ``groups`` state groups; a checkpoint keeps to the number it began with.
     """
     total = X.total_input("input_tokens", "cache_read_tokens", "cache_creation_tokens")
     rows = steps.filter(F.coalesce("prompt_id", F.lit("")) != "").withWatermark("ts", watermark).select(
-        "session_id", "prompt_id", "ts", F.unix_micros("ts").alias("us"), F.col("step_no").cast("bigint").alias("step_no"), "model",
+        "session_id", "prompt_id", "ts", _group(groups).alias("state_group"), F.unix_micros("ts").alias("us"), F.col("step_no").cast("bigint").alias("step_no"), "model",
         *[F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for c, n in ((total, "total"), (F.col("output_tokens"), "output_tokens"), (F.col("cache_read_tokens"), "cache_read_tokens"))])
-    return rows.groupBy("session_id").transformWithStateInPandas(
+    return rows.groupBy("state_group").transformWithStateInPandas(
         statefulProcessor=TurnUsage(keep_hours), outputStructType=f"session_id string, prompt_id string, {TURN_SCHEMA}", outputMode="update", timeMode="eventTime")
 
 
