@@ -16,6 +16,24 @@ from turnstone.functions import fixed_values as V
 
 _TOKEN = r"(?U)[\w'’-]+"
 _EDGE = r"[\w'’-]"
+SAMPLE = 100              # one text in so many is looked at for frequent words; it only decides how rows are spread
+FREQUENT = 1_000          # rows of a word in that sample (some 100,000 in all) from which its rows go to several tasks
+SPREAD = 16               # tasks that share a frequent word
+
+
+def spread_join(rows: DataFrame, key: str, names: DataFrame, name_key: str, how: str = "inner") -> DataFrame:
+    """``rows`` (with ``text_id``) joined to ``names`` where ``key`` equals ``name_key``; a frequent word does not meet in one task.
+
+    Rows of a frequent word are dealt to ``SPREAD`` parts by their text, and its names are repeated for every part; all others are part 0.
+    A word the sample misses is joined in one part: the result does not depend on it.
+    """
+    seen = rows.filter(F.pmod(F.xxhash64("text_id"), F.lit(SAMPLE)) == 0).groupBy(F.col(key).alias("_often")).agg(F.count(F.lit(1)).alias("_c"))
+    often = F.broadcast(seen.filter(F.col("_c") >= FREQUENT).select("_often"))               # at most one word in FREQUENT rows of the sample
+    mine = F.when(F.col("_often").isNotNull(), F.pmod(F.xxhash64("text_id", F.lit("part")), F.lit(SPREAD))).otherwise(0).cast("int")
+    parts = F.when(F.col("_often").isNotNull(), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.join(often, F.col(key) == F.col("_often"), "left").withColumn("_part", mine).drop("_often")
+    copies = names.join(often, F.col(name_key) == F.col("_often"), "left").withColumn("_copy", F.explode(parts)).drop("_often")
+    return dealt.join(copies, (F.col(key) == F.col(name_key)) & (F.col("_part") == F.col("_copy")), how).drop("_part", "_copy")
 
 
 def _pieces(text: Column) -> Column:
@@ -39,7 +57,7 @@ def mentions(texts: DataFrame, names: DataFrame, keep: list[str] | None = None)
     """J16 — which names occur in which text, as whole words, with an optional plural ``s``, case ignored.
 
     A name is found by its whole run of words: a text's runs of as many words as names have meet the names in one equi join, whatever
-    the length of the name, and no text is looked at twice. Names that don't begin and end with a word character have no such run; these
+    the length of the name. A run counts once per text, and frequent ones are spread (``spread_join``). Names that don't begin and end with a word character have no such run; these
     few meet the texts that hold their words and are searched there.
     """
     keep = keep or ["entity"]
@@ -47,13 +65,14 @@ def mentions(texts: DataFrame, names: DataFrame, keep: list[str] | None = None)
                          F.col("alias").rlike(r"(?U)^[\w'’-](.*[\w'’-])?$").alias("_whole"))
     whole = shape.filter("_whole").withColumn("_n", F.ceil(F.size("_p") / 2).cast("int"))
     lengths = whole.agg(F.coalesce(F.array_sort(F.collect_set("_n")), F.array().cast("array<int>")).alias("_lengths"))          # one row: the names' lengths in words
-    runs = texts.select("text_id", "text").crossJoin(F.broadcast(lengths)).select("text_id", F.explode(word_runs(F.col("text"), F.col("_lengths"))).alias("_run"))
+    runs = texts.select("text_id", "text").crossJoin(F.broadcast(lengths)).select("text_id", F.explode(F.array_distinct(word_runs(F.col("text"), F.col("_lengths")))).alias("_run"))
     forms = whole.select(*keep, F.explode(F.array("_alias", F.concat("_alias", F.lit("s")))).alias("_form"))
-    found = runs.join(forms, F.col("_run") == F.col("_form")).select("text_id", *keep)
+    found = spread_join(runs, "_run", forms, "_form").select("text_id", *keep)
     literal = F.concat(F.lit(V.UNICODE_FLAGS + f"(?<!{_EDGE})" + r"\Q"), "_alias", F.lit(r"\E" + f"s?(?!{_EDGE})"))
-    words = lambda c: F.explode(F.transform(F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0)), lambda x: F.lower(x)))
+    words = lambda c: F.explode(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0)), lambda x: F.lower(x))))
     odd = shape.filter("NOT _whole").select(*keep, "_alias", words(F.col("_alias")).alias("_w"))
-    maybe = texts.select("text_id", words(F.col("text")).alias("_w")).join(odd, "_w").select("text_id", *keep, "_alias").distinct()
+    some = F.broadcast(odd.agg(F.count(F.lit(1)).alias("_odd")).filter("_odd > 0"))                  # a row when there are such names: only then texts are cut
+    maybe = texts.select("text_id", "text").crossJoin(some).select("text_id", words(F.col("text")).alias("_w")).join(odd, "_w").select("text_id", *keep, "_alias").distinct()
     rest = maybe.join(texts.select("text_id", "text"), "text_id").filter(F.rlike(F.col("text"), literal)).select("text_id", *keep)
     return found.unionByName(rest).distinct()
 
@@ -69,14 +88,14 @@ def unknown_names(texts: DataFrame, names: DataFrame, terms: DataFrame) -> DataF
     common = [w.lower() for w in V.CLAIM_COMMON_WORDS]
     found = found.filter(~F.col("_low").isin(common) & ~F.col("candidate").isin(V.CLAIM_SIDE_NAMES))
     mechanics = terms.filter("kind = 'mechanic'") if "kind" in terms.columns else terms
-    known = names.select(F.lower("alias").alias("_k")).union(mechanics.select(F.lower("term"))).distinct()
+    known = names.select(F.lower("alias").alias("_k")).union(mechanics.select(F.lower("term")))
     units = names.select(F.lower("alias").alias("_k")).distinct()
     # a candidate may also be the beginning of a longer name: every leading part of a name, cut at a blank
     parts = F.split(F.lower("alias"), " ")
     prefixes = names.filter(F.contains("alias", F.lit(" "))).select(F.explode(F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), " "))).alias("_k")).distinct()
-    out = found.join(known, F.col("_low") == F.col("_k"), "left_anti").join(units, F.col("_head") == F.col("_k"), "left_anti")
-    return out.join(prefixes, F.col("_low") == F.col("_k"), "left_anti").select("text_id", "candidate")
+        F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), " "))).alias("_k"))
+    out = spread_join(found, "_low", known.union(prefixes).distinct(), "_k", "left_anti")
+    return spread_join(out, "_head", units, "_k", "left_anti").select("text_id", "candidate")
 
 
 def wrong_side(texts: DataFrame, names: DataFrame) -> DataFrame:
